@@ -34,6 +34,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bagminhash import classes
+
+    return classes(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,7 +62,7 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op4_maxscore, op5_quality, op7_bpe_codec, op9_warc, op10_token_count)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op4_maxscore, op5_quality, op6_bagminhash, op7_bpe_codec, op9_warc, op10_token_count)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_maxscore": """
