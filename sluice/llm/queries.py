@@ -21,6 +21,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import flagged
+
+    return flagged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .maxscore import top_k
 
@@ -62,7 +68,7 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op4_maxscore, op5_quality, op6_bagminhash, op7_bpe_codec, op9_warc, op10_token_count)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_decontaminate, op4_maxscore, op5_quality, op6_bagminhash, op7_bpe_codec, op9_warc, op10_token_count)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_maxscore": """
