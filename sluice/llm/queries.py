@@ -54,6 +54,12 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op8_fmindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fmindex import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
@@ -68,7 +74,7 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_decontaminate, op4_maxscore, op5_quality, op6_bagminhash, op7_bpe_codec, op9_warc, op10_token_count)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_decontaminate, op4_maxscore, op5_quality, op6_bagminhash, op7_bpe_codec, op8_fmindex, op9_warc, op10_token_count)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_maxscore": """
@@ -78,6 +84,16 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DO
            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
      r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
 SELECT query_id, k::INTEGER AS rank, vec_id, score FROM r WHERE k <= 10""",
+    "op8_fmindex": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+     x AS (SELECT doc_id, unnest(range(1, len(words) - 33)) AS i, words FROM w),
+     h AS (SELECT doc_id, i, md5(array_to_string(words[i : i + 34], ' ')) AS h FROM x),
+     r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY h) AS n FROM h) WHERE n > 1),
+     g AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 35)))) AS gone FROM r GROUP BY doc_id),
+     k AS (SELECT doc_id, words, coalesce(len(gone), 0) AS n_removed,
+                  array_to_string(list_filter(words, lambda v, i: gone IS NULL OR NOT list_contains(gone, i)), ' ') AS kept
+           FROM w LEFT JOIN g USING (doc_id))
+SELECT doc_id, len(words)::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(kept) AS kept_sha256 FROM k""",
     "op9_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
      d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest FROM p),
