@@ -167,72 +167,80 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
+def compact(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """A checkpoint of the rows, in partitions of about so many; small tables then make few tasks and few shuffle files."""
+    out = common.checkpointed(df)
+    return out.coalesce(max(1, -(-out.count() // rows)))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of all nodes in links (a, b): the smallest node each one is connected with.
 
     Alternates stars: neighbours larger than a node hang onto its smallest neighbour, then smaller ones do. The number
     of rounds grows with the logarithm of the longest path. A hub's edges meet in sums or in joins that can be split.
     """
-    edges = common.checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = compact(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    digest = lambda x: tuple(x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first())
+    before = digest(edges)
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        new = common.checkpointed(small)
+        edges = compact(small)
         # at the end edges are stars: every node but the root has one edge, to its root
-        sums = [tuple(x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()) for x in (edges, new)]
-        if sums[0] == sums[1]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
-        edges = new
+        after = digest(edges)
+        if before == after:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
+        before = after
 
 
 def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def links(nodes: DataFrame, source: DataFrame, threshold: float = THRESHOLD, residue: int = 32, rounds: int = 3) -> DataFrame:
-    """Compared pairs (a, b) of at least the threshold that connect all similar nodes that share a bucket.
+def linked(nodes: DataFrame, source: DataFrame, threshold: float = THRESHOLD, residue: int = 32, rounds: int = 3) -> DataFrame:
+    """(node, root) of all nodes that have similar ones among those that share a bucket.
 
     nodes: (node, doc_id, th, bands); source: (doc_id, th, text). The weighted Jaccard distance is a metric, so that two
     members of a bucket whose distances to its first pivot differ by more than 1 - threshold can't be similar.
     """
     spread = nodes.select("node", F.posexplode("bands").alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("bucket"))
     size = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = common.checkpointed(spread.join(size, "bucket"))
+    shared = compact(spread.join(size, "bucket"))
     weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
-    members = common.checkpointed(shared.join(weight, "node").select("bucket", "node", "weight"))
+    members = compact(shared.join(weight, "node").select("bucket", "node", "weight"))
     wanted = nodes.join(members.select("node").distinct(), "node").select("node", "doc_id", "th")
     texts = source.join(wanted, ["doc_id", "th"]).groupBy("node").agg(F.first("text").alias("text"))
     texts = common.written(texts, "node-texts")
-    left, tried, good, first = members, None, None, None
+    left, tried, first = members, None, None
     for k in range(rounds):
         top = left.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("top"), F.count("*").alias("n"))
-        pivot = common.checkpointed(top.where("n > 1" if k == 0 else f"n > {residue}").select("bucket", F.col("top.node").alias("pivot")))
+        pivot = compact(top.where("n > 1" if k == 0 else f"n > {residue}").select("bucket", F.col("top.node").alias("pivot")))
         if k and pivot.isEmpty():
             break
         pairs = members.join(pivot, "bucket").where("node <> pivot").select(*_pair("node", "pivot")).distinct()
-        new = common.checkpointed(_compared(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), texts))
+        new = compact(_compared(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), texts))
         tried = new if tried is None else tried.union(new)
-        good = tried.where(F.col("similarity") >= threshold).select("a", "b")
-        first = first or pivot.select("bucket", F.col("pivot").alias("p"))
-        root = components(good)
-        named = members.join(root, "node", "left").select("bucket", "node", "weight", F.coalesce("root", "node").alias("root"))
-        main = first.join(named.select("bucket", F.col("node").alias("p"), F.col("root").alias("main")), ["bucket", "p"])
-        named = named.join(main, "bucket")
-        left = common.checkpointed(named.where("root <> main"))  # members that are in no class with their bucket's first pivot
-    # what is left out meets every member of its bucket that is in another class and near enough
-    far = F.lit(1 - threshold + 1e-9)
-    base = named.join(tried.select("a", "b", "similarity"), (F.least("node", "p") == F.col("a")) & (F.greatest("node", "p") == F.col("b")), "left")
-    base = base.select("bucket", "node", "root", (1 - F.coalesce("similarity", F.lit(1.0))).alias("distance"))
-    open_buckets = left.select("bucket").distinct()
-    base = common.checkpointed(base.join(open_buckets, "bucket"))
-    one = base.join(left.select("bucket", "node"), ["bucket", "node"]).select("bucket", F.col("node").alias("one"), F.col("root").alias("one_root"), F.col("distance").alias("one_distance"))
-    rest = base.join(one, "bucket").where((F.col("root") != F.col("one_root")) & (F.abs(F.col("distance") - F.col("one_distance")) <= far))
+        with_pivot = left.join(pivot, "bucket").select("*", *_pair("node", "pivot")).join(tried, ["a", "b"], "left")
+        if first is None:  # the pivot's own similarity is null
+            first = compact(with_pivot.select("bucket", "node", "weight", "pivot", F.coalesce("similarity", F.lit(1.0)).alias("similarity")))
+            left = first.where(F.col("similarity") < threshold).select("bucket", "node", "weight")
+        else:
+            left = compact(with_pivot.where(F.col("similarity") < threshold).select("bucket", "node", "weight"))
+    root = components(tried.where(F.col("similarity") >= threshold))
+    # what isn't similar to its bucket's first pivot meets every member of another class that is near enough
+    base = first.join(first.where(F.col("similarity") < threshold).select("bucket").distinct(), "bucket").join(root, "node", "left")
+    base = compact(base.select("bucket", "node", F.coalesce("root", "node").alias("root"), "similarity"))
+    one = base.where(F.col("similarity") < threshold).select("bucket", F.col("node").alias("one"), F.col("root").alias("one_root"), F.col("similarity").alias("one_similarity"))
+    near = F.abs(F.col("similarity") - F.col("one_similarity")) <= F.lit(1 - threshold + 1e-9)
+    rest = base.join(one, "bucket").where((F.col("root") != F.col("one_root")) & near)
     rest = rest.select(*_pair("node", "one")).distinct().join(tried, ["a", "b"], "left_anti")
-    last = common.checkpointed(_compared(rest, texts))
-    return good.union(last.where(F.col("similarity") >= threshold).select("a", "b"))
+    last = compact(_compared(rest, texts).where(F.col("similarity") >= threshold))
+    if last.isEmpty():
+        return root
+    return components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(last.select("a", "b")))
 
 
 def _named(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -241,11 +249,11 @@ def _named(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> tup
     rows = common.written(_signed(source.select("doc_id", "text", "th")), "signatures")
     # copies meet within tasks before the shuffle
     node = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("own"), F.first("bands").alias("bands"))
-    node = common.checkpointed(node.select("node", "own.doc_id", "own.th", "bands"))
-    root = components(links(node, source.where(F.col("text") != ""), threshold))
+    node = compact(node.select("node", "own.doc_id", "own.th", "bands"))
+    root = linked(node, source.where(F.col("text") != ""), threshold)
     named = node.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.struct("doc_id", "th").alias("own"))
     head = named.groupBy("root").agg(F.min("own").alias("head"))
-    return rows.select("doc_id", "th", "node"), common.checkpointed(named.join(head, "root").select("node", F.col("head.doc_id").alias("class_id"), F.col("head.th").alias("class_th")))
+    return rows.select("doc_id", "th", "node"), compact(named.join(head, "root").select("node", F.col("head.doc_id").alias("class_id"), F.col("head.th").alias("class_th")))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
