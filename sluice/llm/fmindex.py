@@ -163,7 +163,7 @@ class Texts:
             self.least = _sliding(self.gram, grams, np.minimum)[self.at]
 
     def minimisers(self) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, text) of every gram that is the least of some window; equal grams at two places are two."""
+        """(hash, text) of every gram that is the least of some window; twice if the text has it at several places."""
         if not len(self.at):
             return np.empty(0, np.uint64), np.empty(0, np.int64)
         grams = self.window - self.k + 1
@@ -171,7 +171,12 @@ class Texts:
         top[self.at + grams - 1] = self.least
         most = _sliding(top, grams, np.maximum)[: len(self.gram)]
         where = np.flatnonzero((most == self.gram) & (most != 0))
-        return self.gram[where], np.searchsorted(self.first, where, "right") - 1
+        h, text = self.gram[where], np.searchsorted(self.first, where, "right") - 1
+        order = np.lexsort((h, text))
+        h, text = h[order], text[order]
+        third = np.zeros(len(h), bool)
+        third[2:] = (h[2:] == h[:-2]) & (text[2:] == text[:-2])
+        return h[~third], text[~third]
 
     def member(self, sets: pa.Array) -> np.ndarray:
         """Whether each window's minimiser is in its text's set."""
@@ -345,11 +350,13 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, k: int = GRAM, hot: int
     copies = common.checkpointed(copies)
     grams = scan.join(copies.select("rid"), "rid", "left_semi").select("rid", F.explode("least").alias("h"))
     grams = common.checkpointed(grams)
-    repeated = grams.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    # a table of its own, so that a very frequent gram's partition can be split in the join
+    repeated = common.checkpointed(grams.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
     sets = grams.join(repeated, "h").groupBy("rid").agg(F.collect_set("h").alias("repeated"), F.collect_set(F.when(F.col("n") > hot, F.col("h"))).alias("hot"))
     texts = common.written(_packed(base).join(sets, "rid"), "candidates")
     again = common.checkpointed(_hot_windows(texts.where(F.size("hot") > 0), window, k))
-    good = again.join(again.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "h").groupBy("rid").agg(F.collect_set("pos").alias("good"))
+    twice = common.checkpointed(again.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    good = again.join(twice, "h").groupBy("rid").agg(F.collect_set("pos").alias("good"))
     none = F.array().cast("array<bigint>")
     rows = texts.join(good, "rid", "left").withColumn("good", F.coalesce("good", none))
     shards = max(1, -(-int(texts.agg(F.sum(F.octet_length("z"))).first()[0] or 0) // shard_bytes))
