@@ -9,8 +9,9 @@ ascending order and only up to a time at which all components are surely filled;
 
 Copies (equal word sequences) are one node. Nodes that share a band's hash meet in a bucket. In each bucket all members
 are compared with a pivot, the member whose buckets hold most nodes; buckets with more than `residue` members left out
-of the pivot's class get further pivots, and what is left is compared with every member of another class that the
-triangle inequality allows, so that no link between classes is lost and no bucket emits all its pairs. Comparisons are exact multiset overlaps. Classes are the
+of the pivot's class get further pivots, and what is left is compared with every member of another class (small buckets
+as pairs that the triangle inequality allows, large ones in blocks over postings), so that no link between classes is
+lost and no bucket emits all its pairs. Comparisons are exact multiset overlaps. Classes are the
 connected components of the links.
 
 Texts without a word (null, empty) resemble nothing and are classes of their own. Repeated rows are in one class and
@@ -200,6 +201,47 @@ def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _searched(queries: DataFrame, members: DataFrame, texts: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
+    """Links (a, b) of left-out members of large buckets to members of other classes: exact, in blocks, without pairs as rows.
+
+    A task gets a block of a bucket's members and a block of its queries, adds up overlaps over the members' postings of
+    a query's shingles, and gives one link for each query and class.
+    """
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
+    spread = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    keys = ["bucket", "part", "block"]
+    fresh = lambda: [F.col(c).alias(c) for c in (*keys, "node", "root", "text")]  # noqa: E731  both sides come from the same tables
+    left = queries.select("bucket", "node", "root", spread("n_left").alias("part"), all_of("n").alias("block")).join(texts, "node").select(*fresh())
+    right = members.select("bucket", "node", "root", spread("n").alias("block"), all_of("n_left").alias("part")).join(texts, "node").select(*fresh())
+
+    def multisets(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return counted(*shingles(*common.buffers(common.as_array(t["text"]))))
+
+    def run(q: pa.Table, x: pa.Table) -> pa.Table:
+        out = []
+        if q.num_rows and x.num_rows:
+            h, member, count = multisets(x)
+            weight = np.bincount(member, count, x.num_rows)
+            order = np.argsort(h, kind="stable")
+            h, member, count = h[order], member[order], count[order]
+            node, root = x["node"].to_numpy(), x["root"].to_numpy()
+            hq, of, cq = multisets(q)
+            cut = np.searchsorted(of, np.arange(q.num_rows + 1))
+            for i, (a, b) in enumerate(zip(q["node"].to_pylist(), q["root"].to_pylist(), strict=True)):
+                own, n = hq[cut[i] : cut[i + 1]], cq[cut[i] : cut[i + 1]]
+                low = np.searchsorted(h, own, "left")
+                size = np.searchsorted(h, own, "right") - low
+                at = wordhash.ranges(low, size)
+                both = np.bincount(member[at], np.minimum(count[at], np.repeat(n, size)), x.num_rows)
+                hits = np.flatnonzero((both >= threshold * (weight + n.sum() - both)) & (root != b))
+                _, one = np.unique(root[hits], return_index=True)
+                out += [(min(a, c), max(a, c)) for c in node[hits[one]].tolist()]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "a long, b long")
+
+
 def linked(nodes: DataFrame, source: DataFrame, threshold: float = THRESHOLD, residue: int = 32, rounds: int = 3) -> DataFrame:
     """(node, root) of all nodes that have similar ones among those that share a bucket.
 
@@ -230,14 +272,17 @@ def linked(nodes: DataFrame, source: DataFrame, threshold: float = THRESHOLD, re
         else:
             left = compact(with_pivot.where(F.col("similarity") < threshold).select("bucket", "node", "weight"))
     root = components(tried.where(F.col("similarity") >= threshold))
-    # what isn't similar to its bucket's first pivot meets every member of another class that is near enough
-    base = first.join(first.where(F.col("similarity") < threshold).select("bucket").distinct(), "bucket").join(root, "node", "left")
-    base = compact(base.select("bucket", "node", F.coalesce("root", "node").alias("root"), "similarity"))
-    one = base.where(F.col("similarity") < threshold).select("bucket", F.col("node").alias("one"), F.col("root").alias("one_root"), F.col("similarity").alias("one_similarity"))
+    # what isn't similar to its bucket's first pivot meets every member of another class
+    open_buckets = first.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(F.col("similarity") < threshold).alias("n_left")).where("n_left > 0")
+    base = first.join(open_buckets, "bucket").join(root, "node", "left")
+    base = compact(base.select("bucket", "node", F.coalesce("root", "node").alias("root"), "similarity", "n", "n_left"))
+    out = base.where(F.col("similarity") < threshold)
+    one = out.where(f"n <= {2 * residue}").select("bucket", F.col("node").alias("one"), F.col("root").alias("one_root"), F.col("similarity").alias("one_similarity"))
     near = F.abs(F.col("similarity") - F.col("one_similarity")) <= F.lit(1 - threshold + 1e-9)
     rest = base.join(one, "bucket").where((F.col("root") != F.col("one_root")) & near)
     rest = rest.select(*_pair("node", "one")).distinct().join(tried, ["a", "b"], "left_anti")
-    last = compact(_compared(rest, texts).where(F.col("similarity") >= threshold))
+    found = _compared(rest, texts).where(F.col("similarity") >= threshold).select("a", "b")
+    last = compact(found.union(_searched(out.where(f"n > {2 * residue}"), base.where(f"n > {2 * residue}"), texts, threshold)))
     if last.isEmpty():
         return root
     return components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(last.select("a", "b")))
