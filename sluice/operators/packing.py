@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.functions.text import byte_ids, let
+
 from .prefix import accumulated
 
 
 def byte_tokens(text: Column) -> Column:
     """Ids 0 to 255: the text's UTF-8 bytes."""
-    h = F.hex(F.encode(text, "utf-8"))
-    return F.transform(F.when(F.length(h) > 0, F.sequence(F.lit(1), F.length(h) - 1, F.lit(2))).otherwise(F.array().cast("array<int>")), lambda i: F.conv(F.substring(h, i, 2), 16, 10).cast("int"))
+    return byte_ids(text)
 
 
 def tokenised(df: DataFrame, text: str = "text", tokenizer: Callable[[Column], Column] = byte_tokens, eos: int | None = None, skip_empty: bool = False) -> DataFrame:
@@ -103,7 +104,9 @@ def fingerprint(df: DataFrame, order: list[str], fields: list[str]) -> DataFrame
 def segments(ids: Column, seq_len: int) -> Column:
     """Overlapping parts of an id array: seq_len long, each beginning with the last token of the one before."""
     n = F.size(ids)
-    return F.when(n < 2, F.array().cast("array<array<int>>")).otherwise(F.transform(F.sequence(F.lit(0), n - 2, F.lit(seq_len - 1)), lambda i: F.slice(ids, i + 1, seq_len)))
+    at = F.when(n >= 2, F.sequence(F.lit(0), n - 2, F.lit(seq_len - 1)))
+    parts = let(F.struct(ids.alias("ids"), at.alias("at")), lambda x: F.transform(x["at"], lambda i: F.slice(x["ids"], i + 1, seq_len)))
+    return F.coalesce(parts, F.array().cast("array<array<int>>"))
 
 
 def shard_of(position: Column, shard_tokens: int) -> Column:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.functions.text import let
+
 from .filters import is_usable, token_weight
 from .prefix import accumulated
 
@@ -321,18 +323,17 @@ def row_mask(scores: Column, valid: Column, k: float, middle: bool = False) -> C
     own = F.filter(F.zip_with(paired, valid, lambda x, v: F.when(v, x)), lambda x: x.isNotNull())
     falling = lambda a, b: F.when(a["s"] < b["s"], 1).when(a["s"] > b["s"], -1).otherwise(a["i"] - b["i"])
     ranked = F.array_sort(own) if middle else F.array_sort(own, falling)
-    n = F.size(ranked)
-    kept = F.greatest(F.lit(1), F.least(n, F.bround(n * F.lit(float(k))).cast("int")))
-    skip = F.floor((n - kept) / 2).cast("int") if middle else F.lit(0)
-    chosen = F.transform(F.slice(ranked, skip + 1, kept), lambda x: x["i"])
-    return F.when(n == 0, F.transform(scores, lambda s: F.lit(0))).otherwise(F.transform(scores, lambda s, i: F.array_contains(chosen, i).cast("int")))
+    kept = lambda r: F.greatest(F.lit(1), F.least(F.size(r), F.bround(F.size(r) * F.lit(float(k))).cast("int")))
+    skip = lambda r: F.floor((F.size(r) - kept(r)) / 2).cast("int") if middle else F.lit(0)
+    chosen = let(ranked, lambda r: F.transform(F.slice(r, skip(r) + 1, kept(r)), lambda x: x["i"]))
+    return let(F.struct(chosen.alias("c"), scores.alias("s")), lambda x: F.transform(x["s"], lambda s, i: F.array_contains(x["c"], i).cast("int")))
 
 
 def row_min_max(scores: Column, valid: Column, eps: float = 1e-8) -> Column:
     """Scores from 0 to 1 within the row; invalid positions get 0."""
     own = F.filter(F.zip_with(scores, valid, lambda s, v: F.when(v, s.cast("double"))), lambda s: s.isNotNull())
-    low, spread = F.array_min(own), F.greatest(F.array_max(own) - F.array_min(own), F.lit(eps))
-    return F.zip_with(scores, valid, lambda s, v: F.when(v, (s.cast("double") - low) / spread).otherwise(0.0))
+    parts = F.struct(F.array_min(own).alias("low"), F.greatest(F.array_max(own) - F.array_min(own), F.lit(eps)).alias("spread"), scores.alias("s"), valid.alias("v"))
+    return let(parts, lambda x: F.zip_with(x["s"], x["v"], lambda s, v: F.when(v, (s.cast("double") - x["low"]) / x["spread"]).otherwise(0.0)))
 
 
 def loss_mask(method: str, valid: Column, k: float, current: Column | None = None, history: Column | None = None, reference: Column | None = None, early: Column | None = None, late: Column | None = None, attention: Column | None = None, seed: int = 42, row: Column | None = None, warmup: bool = False) -> Column:

@@ -224,13 +224,13 @@ def lookup_reasons(spark, d):
     return joins.with_lookup(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id", [("quality", F.col("quality") == 1), ("toxic", F.col("toxic") == 0)]).select("doc_id", "reason")
 
 
-OWNERS = "WITH p AS (SELECT source, doc_id, strlen(text) + 1 AS n, sum(strlen(text) + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS stop FROM documents), t AS (SELECT source, max(stop) AS total FROM p GROUP BY source), c AS (SELECT source, unnest(range(0, greatest(0, (total - 1) // 2048))) AS chunk FROM t), o AS (SELECT c.source, c.chunk, p.doc_id FROM c ASOF JOIN (SELECT *, stop - n AS start FROM p) p ON c.source = p.source AND c.chunk * 2048 >= p.start)"
+OWNERS = "WITH p AS (SELECT source, doc_id, strlen(text) + 1 AS n, sum(strlen(text) + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS stop FROM documents), t AS (SELECT source, max(stop) AS total FROM p GROUP BY source), c AS (SELECT source, unnest(range(0, greatest(0, (total - 1) // 2048)::BIGINT)) AS chunk FROM t), o AS (SELECT c.source, c.chunk, p.doc_id FROM c ASOF JOIN (SELECT *, stop - n AS start FROM p) p ON c.source = p.source AND c.chunk * 2048 >= p.start)"
 
 
 def chunk_owners(spark, d):
     own = documents(spark, d).select("source", "doc_id", (F.col("tok") + 1).alias("n"))
     layout = selection.source_offsets(own, "source", "doc_id", "n").withColumn("end", F.col("start") + F.col("n"))
-    points = layout.groupBy("source").agg(F.max("end").alias("total")).select("source", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), packing.n_chunks(F.col("total"))) - 1)).alias("chunk")).withColumn("offset", F.col("chunk") * 2048)
+    points = layout.groupBy("source").agg(F.max("end").alias("total")).where(packing.n_chunks(F.col("total")) > 0).select("source", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), packing.n_chunks(F.col("total"))) - 1)).alias("chunk")).withColumn("offset", F.col("chunk") * 2048)
     return joins.owners(points, layout.select("source", "doc_id", "start", "end"), "source", strict=True).select("source", "chunk", "doc_id")
 
 
