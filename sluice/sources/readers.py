@@ -245,4 +245,4 @@ def log_points(raw: DataFrame, step: str = r"step[= ](\d+)", value: str = r"^\s*
     w = Window.partitionBy("path").orderBy("line_index").rowsBetween(Window.unboundedPreceding, 0)
     own = raw.withColumn("step", F.last(F.when(head != "", head.cast("long")), ignorenulls=True).over(w))
     key = F.regexp_extract("value", value, 1)
-    return own.where((key != "") & F.col("step").isNotNull()).select("path", "step", key.alias("key"), F.regexp_extract("value", value, 2).cast("double").alias("value"))
+    return own.where((key != "") & (head == "") & F.col("step").isNotNull()).select("path", "step", key.alias("key"), F.regexp_extract("value", value, 2).cast("double").alias("value"))
