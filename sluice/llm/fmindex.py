@@ -203,7 +203,7 @@ def _scan(docs: DataFrame, window: int, k: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(cut, pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(key, pa.binary()), pa.array(t.size, pa.int64()), lists], ["doc_id", "rid", "key", "n_words", "least"])
 
-    return docs.mapInArrow(run, "doc_id long, rid long, key binary, n_words long, least array<bigint>")
+    return docs.mapInArrow(run, "doc_id long, rid binary, key binary, n_words long, least array<bigint>")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -214,7 +214,7 @@ def _packed(docs: DataFrame) -> DataFrame:
             z = [len(b).to_bytes(8, "little") + pa.compress(b, codec="zstd", asbytes=True) for b in (x.as_buffer().to_pybytes() if x.as_buffer() else b"" for x in batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], ["rid", "z"])
 
-    return docs.select("rid", "text").mapInArrow(run, "rid long, z binary")
+    return docs.select("rid", "text").mapInArrow(run, "rid binary, z binary")
 
 
 def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -245,7 +245,7 @@ def _hot_windows(rows: DataFrame, window: int, k: int) -> DataFrame:
                 rid = part.column(0).take(pa.array(t.text[hot]))
                 yield pa.RecordBatch.from_arrays([rid, pa.array(t.at[hot] - t.first[t.text[hot]], pa.int64()), pa.array(wordhash.mix(h).view(np.int64))], ["rid", "pos", "h"])
 
-    return rows.select("rid", "z", "hot").mapInArrow(run, "rid long, pos long, h long")
+    return rows.select("rid", "z", "hot").mapInArrow(run, "rid binary, pos long, h long")
 
 
 def _segments(rows: DataFrame, shards: int, window: int, k: int) -> DataFrame:
@@ -286,7 +286,7 @@ def _segments(rows: DataFrame, shards: int, window: int, k: int) -> DataFrame:
                 cols = [part.column(0).take(pa.array(text)), pa.array(at - t.first[text], pa.int64()), pa.array(count, pa.int64()), pa.array(h.view(np.int64)), pa.array((least % U(shards)).astype(np.int64)), pa.array(n), pa.array(words, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["rid", "start", "count", "seg", "shard", "n", "words"])
 
-    return rows.select("rid", "z", "repeated", "hot", "good").mapInArrow(run, "rid long, start long, count long, seg long, shard long, n long, words binary")
+    return rows.select("rid", "z", "repeated", "hot", "good").mapInArrow(run, "rid binary, start long, count long, seg long, shard long, n long, words binary")
 
 
 def _searched(segments: DataFrame, window: int, k: int) -> DataFrame:
@@ -338,22 +338,23 @@ def _removed(rows: DataFrame, window: int) -> DataFrame:
                 kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(number, pa.int64()), pa.array(digest), pa.array(spans, kind)], ["rid", "n_removed", "kept_sha256", "spans"])
 
-    return rows.select("rid", "z", "found").mapInArrow(run, "rid long, n_removed long, kept_sha256 string, spans array<struct<from:bigint,to:bigint>>")
+    return rows.select("rid", "z", "found").mapInArrow(run, "rid binary, n_removed long, kept_sha256 string, spans array<struct<from:bigint,to:bigint>>")
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, k: int = GRAM, hot: int = 200, shard_bytes: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, spans) of every row; spans (from, to) are the removed word intervals."""
-    base = common.id_text(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("rid"))
+    # texts are known by half of their SHA-256, which stays the same however often and wherever a row is computed
+    rid = F.unhex(F.substring(F.sha2("text", 256), 1, 32)).alias("rid")
+    base = common.id_text(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", rid)
     scan = common.written(_scan(base, window, k), "words")
     # copies meet within tasks before the shuffle; one of them is searched
-    copies = scan.where(F.col("n_words") >= window).groupBy("key").agg(F.min("rid").alias("rid"), F.count("*").alias("copies"))
+    copies = scan.where(F.col("n_words") >= window).groupBy("key").agg(F.min("rid").alias("rid"), F.count("*").alias("copies"), F.first("least").alias("least"))
     copies = common.checkpointed(copies)
-    grams = scan.join(copies.select("rid"), "rid", "left_semi").select("rid", F.explode("least").alias("h"))
-    grams = common.checkpointed(grams)
+    grams = copies.select("rid", F.explode("least").alias("h"))
     # a table of its own, so that a very frequent gram's partition can be split in the join
     repeated = common.checkpointed(grams.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
     sets = grams.join(repeated, "h").groupBy("rid").agg(F.collect_set("h").alias("repeated"), F.collect_set(F.when(F.col("n") > hot, F.col("h"))).alias("hot"))
-    texts = common.written(_packed(base).join(sets, "rid"), "candidates")
+    texts = common.written(_packed(base).join(sets, "rid").groupBy("rid").agg(*[F.first(c).alias(c) for c in ("z", "repeated", "hot")]), "candidates")
     again = common.checkpointed(_hot_windows(texts.where(F.size("hot") > 0), window, k))
     twice = common.checkpointed(again.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
     good = again.join(twice, "h").groupBy("rid").agg(F.collect_set("pos").alias("good"))
@@ -364,7 +365,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, k: int = GRAM, hot: int
     found = _searched(segments, window, k).where(F.hex("flags").rlike("[^0]"))
     hits = segments.select("rid", "start", "count", "seg").join(found, "seg").groupBy("rid").agg(F.collect_list(F.struct("start", "count", "flags")).alias("found"))
     cut = _removed(texts.select("rid", "z").join(hits, "rid"), window)
-    out = scan.select("doc_id", "rid", "key", "n_words").join(copies.select("key", "copies"), "key", "left").join(cut, "rid", "left")
+    out = scan.select("doc_id", "key", "n_words").join(copies.select("key", "rid", "copies").join(cut, "rid", "left"), "key", "left")
     whole = F.coalesce(F.col("copies") > 1, F.lit(False))
     all_words = F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("n_words").alias("to")))
     return out.select(
