@@ -306,7 +306,7 @@ class Encoded:
 class Codec:
     """Encodes runs of texts. The cache keeps about `cache` slices by hash and length, and starts anew beyond that."""
 
-    def __init__(self, path: str, cache: int = 1_000_000):
+    def __init__(self, path: str, cache: int = 150_000):
         with open(path, "rb") as f:
             self.merges = Merges({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
         self.limit = cache
@@ -364,6 +364,8 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+#: Bytes of text encoded at once; with the cache's limit this keeps a worker under 300 MB.
+CHUNK = 1 << 19
 FIELDS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -373,7 +375,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            for part in common.pieces(batch):
+            for part in common.pieces(batch, size=CHUNK):
                 e = own.encode(*common.buffers(common.as_array(part.column(1))))
                 at = e.piece_first.tolist()
                 spelled = [hashlib.sha256(" ".join(e.pieces[a:b]).encode()).hexdigest() for a, b in zip(at, at[1:])]
