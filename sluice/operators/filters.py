@@ -99,8 +99,8 @@ def replace_scored_span(text: Column, start: Column, end: Column, score: Column,
 
 def is_usable(metric: Column) -> Column:
     """A number, neither NaN nor infinite. (Null and NaN are different and both fail.)"""
-    x = metric.try_cast("double")
-    return F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
+    # one mention of the metric, so that an expensive one is computed once; NaN counts as greater than infinity
+    return F.coalesce(F.abs(metric.try_cast("double")) < float("inf"), F.lit(False))
 
 
 def token_weight(*counts: Column) -> Column:
