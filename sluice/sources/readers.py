@@ -103,7 +103,7 @@ def records(spark: SparkSession, path: str, text_field: str = "text", schema: st
     if stem in ("csv", "tsv"):
         return read.option("header", "true").option("sep", "\t" if stem == "tsv" else ",").option("multiLine", "true").csv(path)
     if stem == "txt":
-        return spark.read.option("wholetext", "true").text(path).withColumnRenamed("value", text_field)
+        return spark.read.text(path, wholetext=True).withColumnRenamed("value", text_field)
     out = read.option("multiLine", "true" if stem == "json" else "false").json(path)
     if stem == "json" and out.columns == ["data"] and isinstance(out.schema["data"].dataType, T.ArrayType):
         return out.select(F.inline("data"))
