@@ -162,10 +162,10 @@ class Texts:
         if len(self.at):
             self.least = _sliding(self.gram, grams, np.minimum)[self.at]
 
-    def minimisers(self) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, text) of every gram that is the least of some window; twice if the text has it at several places."""
+    def minimisers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, text, places) of each text's different grams that are the least of some window."""
         if not len(self.at):
-            return np.empty(0, np.uint64), np.empty(0, np.int64)
+            return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         grams = self.window - self.k + 1
         top = np.zeros(len(self.gram) + grams, np.uint64)  # by first word of the window, shifted by grams - 1
         top[self.at + grams - 1] = self.least
@@ -174,9 +174,10 @@ class Texts:
         h, text = self.gram[where], np.searchsorted(self.first, where, "right") - 1
         order = np.lexsort((h, text))
         h, text = h[order], text[order]
-        third = np.zeros(len(h), bool)
-        third[2:] = (h[2:] == h[:-2]) & (text[2:] == text[:-2])
-        return h[~third], text[~third]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+        at = np.flatnonzero(new)
+        return h[at], text[at], np.diff(np.append(at, len(h)))
 
     def member(self, sets: pa.Array) -> np.ndarray:
         """Whether each window's minimiser is in its text's set."""
@@ -198,12 +199,13 @@ def _scan(docs: DataFrame, window: int, k: int) -> DataFrame:
                 s, e = t.start.tolist(), t.end.tolist()
                 for a, b in zip(t.first.tolist(), t.first[1:].tolist(), strict=False):
                     key.append(hashlib.sha256(b" ".join(map(raw.__getitem__, map(slice, s[a:b], e[a:b])))).digest())
-                h, text = t.minimisers()
+                h, text, places = t.minimisers()
                 cut = pa.array(np.searchsorted(text, np.arange(part.num_rows + 1)), pa.int32())
                 lists = pa.ListArray.from_arrays(cut, pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(key, pa.binary()), pa.array(t.size, pa.int64()), lists], ["doc_id", "rid", "key", "n_words", "least"])
+                times = pa.ListArray.from_arrays(cut, pa.array(places, pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(key, pa.binary()), pa.array(t.size, pa.int64()), lists, times], ["doc_id", "rid", "key", "n_words", "least", "places"])
 
-    return docs.mapInArrow(run, "doc_id long, rid binary, key binary, n_words long, least array<bigint>")
+    return docs.mapInArrow(run, "doc_id long, rid binary, key binary, n_words long, least array<bigint>, places array<int>")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -348,11 +350,11 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, k: int = GRAM, hot: int
     base = common.id_text(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", rid)
     scan = common.written(_scan(base, window, k), "words")
     # copies meet within tasks before the shuffle; one of them is searched
-    copies = scan.where(F.col("n_words") >= window).groupBy("key").agg(F.min("rid").alias("rid"), F.count("*").alias("copies"), F.first("least").alias("least"))
+    copies = scan.where(F.col("n_words") >= window).groupBy("key").agg(F.min("rid").alias("rid"), F.count("*").alias("copies"), F.first("least").alias("least"), F.first("places").alias("places"))
     copies = common.checkpointed(copies)
-    grams = copies.select("rid", F.explode("least").alias("h"))
+    grams = copies.select("rid", F.inline(F.arrays_zip("least", "places"))).withColumnRenamed("least", "h")
     # a table of its own, so that a very frequent gram's partition can be split in the join
-    repeated = common.checkpointed(grams.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    repeated = common.checkpointed(grams.groupBy("h").agg(F.sum("places").alias("n")).where("n > 1"))
     sets = grams.join(repeated, "h").groupBy("rid").agg(F.collect_set("h").alias("repeated"), F.collect_set(F.when(F.col("n") > hot, F.col("h"))).alias("hot"))
     texts = common.written(_packed(base).join(sets, "rid").groupBy("rid").agg(*[F.first(c).alias(c) for c in ("z", "repeated", "hot")]), "candidates")
     again = common.checkpointed(_hot_windows(texts.where(F.size("hot") > 0), window, k))
