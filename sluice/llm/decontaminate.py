@@ -2,13 +2,12 @@
 
 Texts become tokens: numbers, runs of capitalised words, words. In the template numbers, names and units of measure (a
 unit's word after a number) are typed placeholders and words are in lower case. Windows of `width` template tokens are
-hashed and joined: every window of the benchmark that has at least `literals` plain words, every `stride`-th window of
-a document. Matches of a document and an item on one diagonal (equal shift of positions) count if their slots are
+hashed and joined: every window of the benchmark that has at least `literals` plain words, every window of a document.
+An item with fewer tokens is one window of its own length. Matches of a document and an item on one diagonal (equal shift of positions) count if their slots are
 consistent: equal fillers in the item have equal fillers in the document in at least `consistent` of the pairs. A
 document is flagged with an item if such matches cover at least `coverage` of the item's tokens. Re-parameterised
 copies differ in fillers only, so they match; `n_changed` counts the fillers that differ.
 
-Benchmark items with fewer tokens than a window are too short to be told from common phrases and are not searched.
 Null and empty texts have no tokens and are never flagged. Rows with the same id and text are one document; a null id is
 an id like any other. The benchmark's windows are broadcast only if a count has shown at most `broadcast_rows`.
 """
@@ -20,6 +19,8 @@ from pyspark.sql import functions as F
 
 TOKEN = r"\d+(?:[.,]\d+)*|\p{Lu}[\p{L}\p{M}]*(?: \p{Lu}[\p{L}\p{M}]*)*|[\p{L}\p{M}]+"
 NUMBER, NAME, UNIT = "<0>", "<N>", "<U>"
+#: Columns of the words and of the tokens that are hashed, by key.
+KEYS = {0: ("words", "form")}
 #: Units of measure: fixed values.
 UNITS = "mm cm m km in ft yd mi mg g kg t lb oz ml cl l gal s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years kmh mph percent pct dollar dollars euro euros cent cents usd eur gbp j kj w kw v a hz khz mhz ghz kb mb gb tb deg degrees c f k".split()
 
@@ -37,40 +38,58 @@ def templated(df: DataFrame) -> DataFrame:
     return df.withColumn("kind", kind).withColumn("form", F.slice(unit, 1, F.size("kind"))).drop("kind")
 
 
-def _windowed(df: DataFrame, width: int, stride: int) -> DataFrame:
-    """Adds (pos, hash) of the windows of column `form`; one row each."""
-    n = F.size("form")
-    starts = F.when(n >= width, F.sequence(F.lit(0), n - width, F.lit(stride)))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice("form", i + 1, width)))
-    return df.select("*", F.posexplode(hashes).alias("k", "hash")).withColumn("pos", F.col("k") * stride).drop("k")
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, width: int = 8, stride: int = 4, literals: int = 4, consistent: float = 0.8, coverage: float = 0.4, broadcast_rows: int = 200_000) -> DataFrame:
+def _searched(df: DataFrame, keys: list[tuple[int, int]]) -> DataFrame:
+    """Adds (key, width, said, pos, hash) of every window of these keys and widths; one row each. said: the key's words."""
+    both = []
+    for key, width in keys:
+        words, form = KEYS[key]
+        n = F.size(form)
+        starts = F.when(n >= width, F.sequence(F.lit(0), n - width))
+        hashes = F.transform(starts, lambda i: F.xxhash64(F.lit(key), F.slice(form, i + 1, width)))  # noqa: B023  called at once
+        both.append(F.struct(F.lit(key).alias("key"), F.lit(width).alias("width"), F.col(words).alias("said"), hashes.alias("hashes")))
+    out = df.select("doc_id", "th", F.inline(F.array(*both)))
+    return out.select("doc_id", "th", "key", "width", "said", F.posexplode("hashes").alias("pos", "hash"))
+
+
+def _sides(items: DataFrame, width: int, literals: int) -> DataFrame:
+    """(item_id, n_tokens, key, width, item_pos, hash, kinds, item_words) of the items' windows; a shorter item is one window."""
+    out = None
+    for key, (words, form) in KEYS.items():
+        own = items.where(F.size(form) > 0).select("item_id", F.col(words).alias("words"), F.col(form).alias("form"), F.size(form).alias("n_tokens"), F.least(F.size(form), F.lit(width)).alias("width"))
+        own = own.select("*", F.explode(F.sequence(F.lit(0), F.col("n_tokens") - F.col("width"))).alias("item_pos"))
+        cut = lambda c: F.slice(c, F.col("item_pos") + 1, F.col("width"))
+        own = own.select("item_id", "n_tokens", F.lit(key).alias("key"), "width", "item_pos", F.xxhash64(F.lit(key), cut("form")).alias("hash"), cut("form").alias("kinds"), cut("words").alias("item_words"))
+        own = own.where(F.size(F.filter("kinds", lambda w: ~w.isin(NUMBER, NAME, UNIT))) >= literals)
+        out = own if out is None else out.union(own)
+    return out.distinct()
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, width: int = 8, literals: int = 4, consistent: float = 0.8, coverage: float = 0.4, broadcast_rows: int = 200_000) -> DataFrame:
     """(doc_id, th, item_id, n_windows, n_covered, n_tokens, n_changed): documents with the items they hold; th hashes the text."""
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("words"))
-    sides = _windowed(templated(items), width, 1).select("item_id", F.size("form").alias("n_tokens"), F.col("pos").alias("item_pos"), "hash", F.slice("form", F.col("pos") + 1, width).alias("kinds"), F.slice("words", F.col("pos") + 1, width).alias("item_words"))
-    plain = F.size(F.filter("kinds", lambda w: ~w.isin(NUMBER, NAME, UNIT)))
-    sides = sides.where(plain >= literals).distinct()
-    small = sides.limit(broadcast_rows + 1).count() <= broadcast_rows
+    sides = _sides(templated(benchmark.select("item_id", tokens(F.col("text")).alias("words"))), width, literals)
+    sizes = sides.groupBy("key", "width").count().collect()  # at most `width` rows a key
+    small = sum(r["count"] for r in sizes) <= broadcast_rows
+    keys = sorted((r["key"], r["width"]) for r in sizes) or [(0, width)]
 
     own = docs.select(F.col("doc_id"), F.xxhash64("text").alias("th"), tokens(F.col("text")).alias("words"))
-    own = _windowed(templated(own), width, stride)
-    said = F.slice("words", F.col("pos") + 1, width).alias("doc_words")
+    own = _searched(templated(own), keys)
+    said = F.slice("said", F.col("pos") + 1, F.col("width")).alias("doc_words")
+    sides = sides.drop("key", "width")
     if small:  # the documents' words stay in the row up to the join and are cut for matches only
-        hit = own.select("doc_id", "th", "words", "pos", "hash").join(F.broadcast(sides), "hash").withColumn("doc_words", said)
+        hit = own.join(F.broadcast(sides), "hash").withColumn("doc_words", said)
     else:
-        hit = own.select("doc_id", "th", "pos", "hash", said).join(sides, "hash")
+        hit = own.select("doc_id", "th", "key", "width", "pos", "hash", said).join(sides, "hash")
     slots = F.filter(F.arrays_zip("kinds", "item_words", "doc_words"), lambda x: x["kinds"].isin(NUMBER, NAME, UNIT))
     slots = F.transform(slots, lambda x: F.struct(F.lower(x["item_words"]).alias("i"), F.lower(x["doc_words"]).alias("d")))
-    hit = hit.select("doc_id", "th", "item_id", "n_tokens", "item_pos", (F.col("pos") - F.col("item_pos")).alias("diagonal"), slots.alias("slots"))
+    hit = hit.select("doc_id", "th", "item_id", "n_tokens", "width", "item_pos", (F.col("pos") - F.col("item_pos")).alias("diagonal"), slots.alias("slots"))
     # an item's windows bound what a group collects
-    line = hit.groupBy("doc_id", "th", "item_id", "n_tokens", "diagonal").agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("pairs"))
+    line = hit.groupBy("doc_id", "th", "item_id", "n_tokens", "width", "diagonal").agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("pairs"))
     fillers = F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
     line = line.where((F.size("pairs") == 0) | (fillers >= consistent * F.size("pairs")))
     changed = F.size(F.filter("pairs", lambda p: p["i"] != p["d"])).alias("changed")
-    line = line.select("doc_id", "th", "item_id", "n_tokens", "at", changed)
-    whole = line.groupBy("doc_id", "th", "item_id", "n_tokens").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("at"), F.sum("changed").alias("n_changed"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + width - 1)))))
+    line = line.select("doc_id", "th", "item_id", "n_tokens", "width", "at", changed)
+    whole = line.groupBy("doc_id", "th", "item_id", "n_tokens", "width").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("at"), F.sum("changed").alias("n_changed"))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("width") - 1)))))
     return whole.select("doc_id", "th", "item_id", F.size("at").cast("long").alias("n_windows"), covered.cast("long").alias("n_covered"), F.col("n_tokens").cast("long").alias("n_tokens"), "n_changed").where(F.col("n_covered") >= coverage * F.col("n_tokens"))
 
 

@@ -150,6 +150,19 @@ def test_decontamination(spark):
     assert decontaminate.kept(special(spark), bench.limit(0)).count() == 9
 
 
+def test_decontamination_finds_passages_at_any_alignment(spark):
+    rnd = random.Random(8)
+    words = {1: 8, 2: 9, 3: 10, 4: 5, 5: 40}
+    items = {i: prose(rnd, n, 10**6) for i, n in words.items()}
+    said = {i: t if i < 5 else " ".join(t.split()[:17]) for i, t in items.items()}  # of the last item only a part
+    docs = [(10 * i + shift, f"{prose(rnd, 20 + shift, 10**6)} {said[i]} {prose(rnd, 30, 10**6)}") for i in items for shift in range(4)]
+    df, bench = spark.createDataFrame([*docs, (99, prose(rnd, 50, 10**6))], "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    want = {(i, i // 10) for i, _ in docs}
+    for rows in (200_000, 0):
+        assert {(r.doc_id, r.item_id) for r in decontaminate.flagged(df, bench, broadcast_rows=rows).collect()} == want
+    assert [r.doc_id for r in decontaminate.kept(df, bench).collect()] == [99]
+
+
 # --- 4 search ---
 
 
