@@ -163,6 +163,19 @@ def test_decontamination_finds_passages_at_any_alignment(spark):
     assert [r.doc_id for r in decontaminate.kept(df, bench).collect()] == [99]
 
 
+def test_decontamination_in_capitals_names_and_numbers(spark):
+    rnd = random.Random(9)
+    items = {1: prose(rnd, 30, 10**6), 2: prose(rnd, 12, 10**6), 3: "Berlin Paris Rome Oslo Bern Riga Kyiv Baku Lima Doha", 4: "31 41 59 26 53 58 97 93 23 84 62", 5: "7 kg of Zinc", 6: f"It weighs 12 kg when {prose(rnd, 9, 10**6)}"}
+    said = {1: items[1].upper(), 2: items[2].title(), 3: items[3], 4: items[4], 5: items[5], 6: items[6].upper().replace("12 KG", "40 LB")}
+    rows = [(i, f"{prose(rnd, 21, 10**6)}. {t}. {prose(rnd, 30, 10**6)}") for i, t in said.items()] + [(7, "8 kg of Zinc"), (8, "31 41 59 27 53 58 98 93 23 85 62"), (9, prose(rnd, 40, 10**6).upper())]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    for n in (200_000, 0):
+        got = {(r.doc_id, r.item_id): r for r in decontaminate.flagged(df, bench, broadcast_rows=n).collect()}
+        assert set(got) == {(i, i) for i in items}
+        assert got[1, 1].n_covered == got[1, 1].n_tokens == 30 and got[6, 6].n_changed == 2
+    assert sorted(r.doc_id for r in decontaminate.kept(df, bench).collect()) == [7, 8, 9]
+
+
 # --- 4 search ---
 
 
