@@ -254,7 +254,9 @@ def linked(nodes: DataFrame, source: DataFrame, threshold: float = THRESHOLD, re
     weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
     members = compact(shared.join(weight, "node").select("bucket", "node", "weight"))
     wanted = nodes.join(members.select("node").distinct(), "node").select("node", "doc_id", "th")
-    texts = source.join(wanted, ["doc_id", "th"]).groupBy("node").agg(F.first("text").alias("text"))
+    # a null id is an id like any other
+    wanted = wanted.select("node", F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+    texts = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).groupBy("node").agg(F.first("text").alias("text"))
     texts = common.written(texts, "node-texts")
     left, tried, first = members, None, None
     for k in range(rounds):
@@ -266,8 +268,11 @@ def linked(nodes: DataFrame, source: DataFrame, threshold: float = THRESHOLD, re
         new = compact(_compared(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), texts))
         tried = new if tried is None else tried.union(new)
         with_pivot = left.join(pivot, "bucket").select("*", *_pair("node", "pivot")).join(tried, ["a", "b"], "left")
-        if first is None:  # the pivot's own similarity is null
-            first = compact(with_pivot.select("bucket", "node", "weight", "pivot", F.coalesce("similarity", F.lit(1.0)).alias("similarity")))
+        # a pivot is like itself; every other member was compared
+        known = F.when(F.col("node") == F.col("pivot"), 1.0).when(F.col("similarity").isNotNull(), F.col("similarity")).otherwise(F.raise_error(F.concat(F.lit("no similarity of node "), F.col("node").cast("string"))).cast("double"))
+        with_pivot = with_pivot.withColumn("similarity", known)
+        if first is None:
+            first = compact(with_pivot.select("bucket", "node", "weight", "pivot", "similarity"))
             left = first.where(F.col("similarity") < threshold).select("bucket", "node", "weight")
         else:
             left = compact(with_pivot.where(F.col("similarity") < threshold).select("bucket", "node", "weight"))

@@ -230,6 +230,17 @@ def test_near_duplicates(spark):
     assert bagminhash.classes(special(spark)).count() == 9 and bagminhash.classes(empty(spark)).count() == 0
 
 
+def test_near_duplicates_with_a_null_id(spark):
+    rnd = random.Random(12)
+    base = prose(rnd, 120, 10**6).split()
+    near = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in (20, 60, 100)]
+    rows = [(None, " ".join(base)), *[(i, " ".join(base)) for i in range(10, 14)], *[(20 + i, t) for i, t in enumerate(near)], (40, prose(rnd, 90, 10**6)), (41, prose(rnd, 90, 10**6))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.class_id for r in bagminhash.classes(df).collect()}
+    assert got == {i: i if i in (40, 41) else None for i, _ in rows}
+    assert sorted(str(r.doc_id) for r in bagminhash.kept(df).collect()) == ["40", "41", "None"]
+
+
 # --- 7, 10 tokens ---
 
 
