@@ -101,7 +101,7 @@ def trained(labelled: list[tuple[str, int]], min_chars: int = 20, quantile: floa
 def fit(docs: DataFrame, limit: int = 400, n: int = 6000, min_chars: int = 20, text_col: str = "text") -> Detector:
     """Identifiers are made of the words of at most `limit` documents (a documented bound) without any pattern's match."""
     plain = (
-        docs.select(F.substring(text_col, 1, 2000).alias("text"), F.xxhash64(text_col).alias("h"))  # for training only
+        docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))  # for training only
         .where(F.col("text") != "")
         .orderBy("h", "text")
         .limit(limit)

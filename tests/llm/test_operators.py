@@ -128,6 +128,13 @@ def test_classifiers(spark, module, name):
     assert module.scored(special(spark), blank).where("score between 0 and 1").count() == 9
 
 
+def test_identifier_words_come_from_whole_texts(spark, monkeypatch):
+    seen, samples = [], secret_scan.samples
+    monkeypatch.setattr(secret_scan, "samples", lambda words, n: seen.extend(words) or samples(words, n))
+    secret_scan.fit(spark.createDataFrame([(1, "near " * 500 + "farther")], "doc_id long, text string"), n=50)
+    assert seen == ["farther", "near"]
+
+
 # --- 3 decontamination ---
 
 
