@@ -7,7 +7,8 @@ on one of m signature components. A component is the smallest point, over all sh
 count; two signatures agree in a component with the probability of the weighted Jaccard similarity. Points are made in
 ascending order and only up to a time at which all components are surely filled; a text for which they aren't goes on.
 
-Copies (equal word sequences) are one node. Nodes that share a band's hash meet in a bucket. In each bucket all members
+Copies (equal word sequences) are one node. A node is named by a 64-bit digest; a second one beside it tells word
+sequences of one name apart, and where it does all but one of them get other names. Nodes that share a band's hash meet in a bucket. In each bucket all members
 are compared with a pivot, the member whose buckets hold most nodes; buckets with more than `residue` members left out
 of the pivot's class get further pivots, and what is left is compared with every member of another class (small buckets
 as pairs that the triangle inequality allows, large ones in blocks over postings), so that no link between classes is
@@ -128,7 +129,7 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, node, bands) of every row: a 64-bit digest of its word sequence, null without words; th: hash of the text."""
+    """(doc_id, th, node, check, bands) of every row: two 64-bit digests of its word sequence, null without words; th: hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,34 +139,43 @@ def _signed(docs: DataFrame) -> DataFrame:
                 low = wordhash.LOWER[buf]
                 start, end, first = wordhash.spans(low, offsets, wordhash.NOT_ALNUM)
                 w, size = wordhash.span_hashes(low, start, end), np.diff(first)
-                place = (np.arange(len(w)) - np.repeat(first[:-1], size)).astype(np.uint64)
-                total = np.append(U(0), np.cumsum(wordhash.mix(w ^ wordhash.mix(place + U(3)))))
-                node = wordhash.mix(total[first[1:]] - total[first[:-1]] + size.astype(np.uint64)).astype(np.int64)
+                node, check = (pa.array(x.view(np.int64), mask=size == 0) for x in wordhash.digests(w, first[:-1], size))
                 h, text, count = counted(*shingles(buf, offsets))
                 got = bands(signatures(h, text, count, n, BANDS * ROWS)).astype(np.int64).reshape(-1)
                 cut = pa.array(np.arange(n + 1) * BANDS, pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(node, mask=size == 0), pa.ListArray.from_arrays(cut, pa.array(got))], ["doc_id", "th", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), node, check, pa.ListArray.from_arrays(cut, pa.array(got))], ["doc_id", "th", "node", "check", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, th long, node long, bands array<bigint>")
+    return docs.mapInArrow(run, "doc_id long, th long, node long, check long, bands array<bigint>")
+
+
+def _multisets(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(different shingles ascending, counts) of each compressed text, unpacked a run of bounded bytes at a time."""
+    out = []
+    for buf, offsets in common.unpacked(texts):
+        h, text, count = counted(*shingles(buf, offsets))
+        cut = np.searchsorted(text, np.arange(len(offsets)))
+        # copies, so that no result holds the arrays of its whole run
+        out += [(h[a:b].copy(), count[a:b].copy()) for a, b in zip(cut, cut[1:], strict=False)]
+    return out
 
 
 def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, similarity) of pairs of nodes, exact; the texts (node, text) are joined to both sides."""
+    """(a, b, similarity) of pairs of nodes, exact; the texts (node, z) are joined to both sides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.pieces(batch, "text_a"):
-                both = []
-                for i in (2, 3):
-                    h, text, count = counted(*shingles(*common.buffers(common.as_array(part.column(i)))))
-                    both.append((h, count, np.searchsorted(text, np.arange(part.num_rows + 1))))
-                (ha, ca, fa), (hb, cb, fb) = both
-                out = [overlap((ha[a:b], ca[a:b]), (hb[c:d], cb[c:d])) for a, b, c, d in zip(fa, fa[1:], fb, fb[1:], strict=False)]
+            for part in common.packed_pieces(batch, "z_a", "z_b"):
+                # a node that stands in many pairs of the run is unpacked once
+                nodes = np.concatenate([part.column(0).to_numpy(), part.column(1).to_numpy()])
+                _, one, each = np.unique(nodes, return_index=True, return_inverse=True)
+                both = pa.concat_arrays([part.column(2), part.column(3)])
+                sets = _multisets(both.take(pa.array(one)))
+                out = [overlap(sets[i], sets[j]) for i, j in zip(each[: part.num_rows].tolist(), each[part.num_rows :].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.float64())], ["a", "b", "similarity"])
 
-    a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
+    a = texts.select(F.col("node").alias("a"), F.col("z").alias("z_a"))
+    b = texts.select(F.col("node").alias("b"), F.col("z").alias("z_b"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "z_a", "z_b").mapInArrow(run, "a long, b long, similarity double")
 
 
 def compact(df: DataFrame, rows: int = 50_000) -> DataFrame:
@@ -211,12 +221,15 @@ def _searched(queries: DataFrame, members: DataFrame, texts: DataFrame, threshol
     spread = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
     keys = ["bucket", "part", "block"]
-    fresh = lambda: [F.col(c).alias(c) for c in (*keys, "node", "root", "text")]  # noqa: E731  both sides come from the same tables
+    fresh = lambda: [F.col(c).alias(c) for c in (*keys, "node", "root", "z")]  # noqa: E731  both sides come from the same tables
     left = queries.select("bucket", "node", "root", spread("n_left").alias("part"), all_of("n").alias("block")).join(texts, "node").select(*fresh())
     right = members.select("bucket", "node", "root", spread("n").alias("block"), all_of("n_left").alias("part")).join(texts, "node").select(*fresh())
 
     def multisets(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return counted(*shingles(*common.buffers(common.as_array(t["text"]))))
+        """(shingle, row, count), rows in order."""
+        sets = _multisets(common.as_array(t["z"]))
+        row = np.repeat(np.arange(len(sets)), [len(h) for h, _ in sets])
+        return np.concatenate([h for h, _ in sets]), row, np.concatenate([n for _, n in sets])
 
     def run(q: pa.Table, x: pa.Table) -> pa.Table:
         out = []
@@ -245,18 +258,19 @@ def _searched(queries: DataFrame, members: DataFrame, texts: DataFrame, threshol
 def linked(nodes: DataFrame, source: DataFrame, threshold: float = THRESHOLD, residue: int = 32, rounds: int = 3) -> DataFrame:
     """(node, root) of all nodes that have similar ones among those that share a bucket.
 
-    nodes: (node, doc_id, th, bands); source: (doc_id, th, text). The weighted Jaccard distance is a metric, so that two
+    nodes: (node, doc_id, th, bands); source: (doc_id, th, z), the texts compressed. The weighted Jaccard distance is a metric, so that two
     members of a bucket whose distances to its first pivot differ by more than 1 - threshold can't be similar.
     """
     spread = nodes.select("node", F.posexplode("bands").alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("bucket"))
-    size = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    # sizes are a table of their own here and below, so that a large bucket's partition can be split in the join
+    size = compact(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), 500_000)
     shared = compact(spread.join(size, "bucket"))
     weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
     members = compact(shared.join(weight, "node").select("bucket", "node", "weight"))
     wanted = nodes.join(members.select("node").distinct(), "node").select("node", "doc_id", "th")
     # a null id is an id like any other
     wanted = wanted.select("node", F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
-    texts = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).groupBy("node").agg(F.first("text").alias("text"))
+    texts = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).groupBy("node").agg(F.first("z").alias("z"))
     texts = common.written(texts, "node-texts")
     left, tried, first = members, None, None
     for k in range(rounds):
@@ -278,7 +292,7 @@ def linked(nodes: DataFrame, source: DataFrame, threshold: float = THRESHOLD, re
             left = compact(with_pivot.where(F.col("similarity") < threshold).select("bucket", "node", "weight"))
     root = components(tried.where(F.col("similarity") >= threshold))
     # what isn't similar to its bucket's first pivot meets every member of another class
-    open_buckets = first.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(F.col("similarity") < threshold).alias("n_left")).where("n_left > 0")
+    open_buckets = compact(first.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(F.col("similarity") < threshold).alias("n_left")).where("n_left > 0"))
     base = first.join(open_buckets, "bucket").join(root, "node", "left")
     base = compact(base.select("bucket", "node", F.coalesce("root", "node").alias("root"), "similarity", "n", "n_left"))
     out = base.where(F.col("similarity") < threshold)
@@ -293,23 +307,33 @@ def linked(nodes: DataFrame, source: DataFrame, threshold: float = THRESHOLD, re
     return components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(last.select("a", "b")))
 
 
+def _renamed(nodes: DataFrame) -> DataFrame:
+    """Nodes (node, check, ...) with names of their own where different word sequences share one."""
+    shared = compact(nodes.groupBy("node").agg(F.min("check").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    if shared.isEmpty():
+        return nodes.withColumn("name", F.col("node"))
+    other = F.when(F.col("check") > F.col("least"), F.xxhash64("node", "check")).otherwise(F.col("node"))
+    return nodes.join(shared, "node", "left").withColumn("name", other).drop("least")
+
+
 def _named(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows (doc_id, th, node), classes (node, class_id, class_th)): a class's document is its smallest (doc_id, th)."""
+    """(rows (doc_id, th, node, check), classes (node, check, class_id, class_th)): a class's document is its smallest (doc_id, th)."""
     source = common.id_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("th", F.xxhash64("text"))
     rows = common.written(_signed(source.select("doc_id", "text", "th")), "signatures")
     # copies meet within tasks before the shuffle
-    node = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("own"), F.first("bands").alias("bands"))
-    node = compact(node.select("node", "own.doc_id", "own.th", "bands"))
-    root = linked(node, source.where(F.col("text") != ""), threshold)
-    named = node.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.struct("doc_id", "th").alias("own"))
-    head = named.groupBy("root").agg(F.min("own").alias("head"))
-    return rows.select("doc_id", "th", "node"), compact(named.join(head, "root").select("node", F.col("head.doc_id").alias("class_id"), F.col("head.th").alias("class_th")))
+    node = rows.where("node is not null").groupBy("node", "check").agg(F.min(F.struct("doc_id", "th")).alias("own"), F.first("bands").alias("bands"))
+    node = compact(_renamed(compact(node)).select("node", "check", "name", "own", "bands"))
+    packed = common.packed(source.where(F.col("text") != ""), ["doc_id", "th"])
+    root = linked(node.select(F.col("name").alias("node"), "own.doc_id", "own.th", "bands"), packed, threshold)
+    named = node.join(root.withColumnRenamed("node", "name"), "name", "left").select("node", "check", F.coalesce("root", "name").alias("root"), "own")
+    head = compact(named.groupBy("root").agg(F.min("own").alias("head")))
+    return rows.select("doc_id", "th", "node", "check"), compact(named.join(head, "root").select("node", "check", F.col("head.doc_id").alias("class_id"), F.col("head.th").alias("class_th")))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id): one row per row of docs."""
     rows, named = _named(docs, threshold, id_col, text_col)
-    return rows.join(named, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    return rows.join(named, ["node", "check"], "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def kept(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

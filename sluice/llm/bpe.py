@@ -347,8 +347,6 @@ class Codec:
         if not len(start):
             return Encoded(np.empty(0, np.int64), np.zeros(len(offsets), np.int64), [], first, self.merges)
         key, raw = wordhash.span_hashes(buf, start, end), buf.tobytes()
-        for i in np.flatnonzero(end - start > 256).tolist():  # too long for the polynomial to be trusted
-            key[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]], digest_size=8).digest(), "little")
         order = np.argsort(key)
         ordered = key[order]
         fresh = np.append(True, ordered[1:] != ordered[:-1])

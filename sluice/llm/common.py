@@ -43,11 +43,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, in a folder for each value of `by`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,10 +56,11 @@ def fold(id_col: Column | str) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col.cast("string")), F.lit(5))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, held_out: bool = False) -> DataFrame:
-    """At most `limit` labelled rows (text, label) outside the held-out fold, lowest hash of the id first.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, held_out: bool = False, lang: bool = False) -> DataFrame:
+    """At most `limit` labelled ids outside the held-out fold, lowest hash of the id first: (doc_id, text, label[, lang]).
 
-    The hash order makes the sample the same at every partitioning. The bound is a parameter of every fit.
+    The hash order makes the sample the same at every partitioning. The bound is a parameter of every fit. A doc_id that
+    stands in several rows has them all here; `bounded` leaves one.
     """
     known = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1))
     part = fold("doc_id") == 0
@@ -71,7 +72,29 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
         .limit(limit)
     )
     # the sample is bounded by `limit` rows, so its ids may be broadcast
-    return id_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    extra = [F.col("lang").cast("string").alias("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")] if lang else []
+    own = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *extra)
+    return own.join(F.broadcast(chosen), "doc_id")
+
+
+def bounded(features: DataFrame, sizes: list[str], limit_bytes: int) -> list[dict]:
+    """The rows of a labelled sample's features, one for each doc_id, in the order of ids, of at most `limit_bytes` together.
+
+    Rows are taken by the hash of their ids as long as they fit; one that doesn't is left out. Only their sizes come to
+    the driver before that.
+    """
+    rest = [c for c in features.columns if c != "doc_id"]
+    one = checkpointed(features.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("r")).select("doc_id", "r.*"))
+    size = sum((F.octet_length(c) for c in sizes), F.lit(0)).cast("long")
+    at = one.select(size.alias("n"), F.xxhash64("doc_id").alias("h"), "doc_id").toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")]).to_pydict()
+    have, chosen = 0, []
+    for n, i in zip(at["n"], at["doc_id"], strict=True):
+        if have + n <= limit_bytes:
+            have += n
+            chosen.append(i)
+    if len(chosen) < len(at["n"]):
+        one = one.join(F.broadcast(features.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")), "doc_id")
+    return one.toArrow().sort_by("doc_id").to_pylist()
 
 
 def as_array(col: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -92,14 +115,54 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def pieces(batch: pa.RecordBatch, text: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts have about `size` bytes together; at least one row each."""
-    col = batch.column(batch.schema.get_field_index(text))
-    _, offsets = buffers(as_array(col))
-    at, n = 0, batch.num_rows
-    while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
+    _, offsets = buffers(as_array(batch.column(batch.schema.get_field_index(text))))
+    for at, to in _runs(np.diff(offsets), size):
         yield batch.slice(at, to - at)
+
+
+def packed(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, z): each text compressed for the shuffle, behind its length; rows and tasks as they were."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = (x.as_buffer().to_pybytes() if x.as_buffer() else b"" for x in batch.column(len(keys)))
+            z = [len(b).to_bytes(8, "little") + pa.compress(b, codec="zstd", asbytes=True) for b in raw]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(z, pa.binary())], [*keys, "z"])
+
+    kinds = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys)
+    return docs.select(*keys, text).mapInArrow(run, f"{kinds}, z binary")
+
+
+def _sizes(col: pa.Array) -> np.ndarray:
+    """Bytes of each compressed text when unpacked."""
+    raw, offsets = buffers(col)
+    if not len(col):
+        return np.empty(0, np.int64)
+    return raw[offsets[:-1, None] + np.arange(8)].copy().view(np.int64)[:, 0]
+
+
+def _runs(sizes: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    offsets, at = np.append(0, np.cumsum(sizes)), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
+        yield at, to
         at = to
 
 
+def packed_pieces(batch: pa.RecordBatch, *texts: str, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """As `pieces`, by the unpacked bytes of all the columns named."""
+    sizes = sum(_sizes(batch.column(batch.schema.get_field_index(t))) for t in texts)
+    for at, to in _runs(sizes, size):
+        yield batch.slice(at, to - at)
+
+
+def unpacked(col: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, offsets) of runs of compressed texts with about `size` bytes each; at least one text each."""
+    sizes = _sizes(col)
+    for at, to in _runs(sizes, size):
+        texts = [pa.decompress(x.as_py()[8:], n, codec="zstd", asbytes=True) for x, n in zip(col.slice(at, to - at), sizes[at:to].tolist(), strict=True)]
+        yield np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum(sizes[at:to]))
+
+
 def crc_fold(ids: list) -> np.ndarray:
     return np.array([zlib.crc32(str(i).encode()) % 5 for i in ids])

@@ -8,10 +8,11 @@ length of the longest pattern, Burrows-Wheeler transform in a wavelet matrix of
 segment is then streamed backwards through the index: matching statistics with multiplicities, a mismatch skipping all
 windows that hold it, and intervals of at least `window` words come back. Segments of very frequent minimisers are first
 cut to windows whose 64-bit hash occurs again, so that a passage that very many documents share brings its own words to
-a shard and not each document's context.
+a shard and not each document's context, and are dealt by a second minimiser as well.
 
 Copies (equal word sequences) are searched once; each of their windows starts elsewhere. Texts of fewer than `window`
-words lose nothing; null and empty texts have no words. Repeated rows are copies. Words are compared by 64-bit hashes.
+words lose nothing; null and empty texts have no words. Repeated rows are copies. Words are compared by 64-bit hashes, segments
+by 128 bits, copies by SHA-256.
 """
 
 from __future__ import annotations
@@ -179,6 +180,12 @@ class Texts:
         at = np.flatnonzero(new)
         return h[at], text[at], np.diff(np.append(at, len(h)))
 
+    def second(self) -> np.ndarray:
+        """Each window's least gram by another hash."""
+        if not len(self.at):
+            return self.least
+        return _sliding(wordhash.mix(self.gram ^ U(0xA0761D6478BD642F)), self.window - self.k + 1, np.minimum)[self.at]
+
     def member(self, sets: pa.Array) -> np.ndarray:
         """Whether each window's minimiser is in its text's set."""
         offsets, values = sets.offsets.to_numpy().astype(np.int64), sets.values.to_numpy(zero_copy_only=False)
@@ -208,29 +215,21 @@ def _scan(docs: DataFrame, window: int, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, rid binary, key binary, n_words long, least array<bigint>, places array<int>")
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """(rid, z): texts compressed for the shuffle."""
+def _binary16(x: np.ndarray) -> pa.Array:
+    """Values of 16 bytes as a binary column."""
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(len(x) + 1, dtype=np.int32) * 16), pa.py_buffer(np.ascontiguousarray(x))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            z = [len(b).to_bytes(8, "little") + pa.compress(b, codec="zstd", asbytes=True) for b in (x.as_buffer().to_pybytes() if x.as_buffer() else b"" for x in batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], ["rid", "z"])
 
-    return docs.select("rid", "text").mapInArrow(run, "rid binary, z binary")
+def _fixed16(col: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(common.buffers(common.as_array(col))[0].tobytes(), "S16")
 
 
 def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Runs of rows with their texts as (bytes, offsets); column 1 has the compressed texts."""
-    sizes = [int.from_bytes(x.as_py()[:8], "little") for x in batch.column(1)]
     at = 0
-    while at < batch.num_rows:
-        to, total = at, 0
-        while to < batch.num_rows and (to == at or total + sizes[to] <= common.CHUNK_BYTES):
-            total, to = total + sizes[to], to + 1
-        part = batch.slice(at, to - at)
-        texts = [pa.decompress(x.as_py()[8:], n, codec="zstd", asbytes=True) for x, n in zip(part.column(1), sizes[at:to], strict=True)]
-        yield part, np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum(sizes[at:to])).astype(np.int64)
-        at = to
+    for buf, offsets in common.unpacked(batch.column(1)):
+        yield batch.slice(at, len(offsets) - 1), buf, offsets
+        at += len(offsets) - 1
 
 
 def _hot_windows(rows: DataFrame, window: int, k: int) -> DataFrame:
@@ -257,7 +256,10 @@ def _segments(rows: DataFrame, shards: int, window: int, k: int) -> DataFrame:
         for batch in batches:
             for part, buf, offsets in _unpacked(batch):
                 t = Texts(buf, offsets, window, k)
-                ok = t.member(part.column(2)) & ~t.member(part.column(3))
+                hot = t.member(part.column(3))
+                ok = t.member(part.column(2)) & ~hot
+                # windows of one very frequent minimiser are dealt by a second one, so that no shard has them all
+                least = np.where(hot, wordhash.mix(t.least ^ t.second()), t.least) if hot.any() else t.least
                 pos = part.column(4)
                 if len(pos.values):
                     off = pos.offsets.to_numpy().astype(np.int64)
@@ -268,27 +270,25 @@ def _segments(rows: DataFrame, shards: int, window: int, k: int) -> DataFrame:
                 if not len(w):
                     continue
                 new = np.ones(len(w), bool)
-                new[1:] = (np.diff(w) != 1) | (t.text[w][1:] != t.text[w][:-1]) | (t.least[w][1:] != t.least[w][:-1])
+                new[1:] = (np.diff(w) != 1) | (t.text[w][1:] != t.text[w][:-1]) | (least[w][1:] != least[w][:-1])
                 head = np.flatnonzero(new)
                 nth = np.arange(len(w)) - head[np.cumsum(new) - 1]
                 head = np.flatnonzero(nth % (window - k + 1) == 0)  # no segment has more windows than a gram lies in
                 count = np.diff(np.append(head, len(w)))
-                at, text, least = t.at[w[head]], t.text[w[head]], t.least[w[head]]
+                at, text, key = t.at[w[head]], t.text[w[head]], least[w[head]]
                 size = count + window - 1
-                # hash of a segment's words and their order
-                idx = ranges(at, size)
-                place = (idx - np.repeat(at, size)).astype(np.uint64)
-                h = wordhash.mix(np.add.reduceat(wordhash.mix(t.word[idx] ^ wordhash.mix(place + U(9))), np.cumsum(size) - size) + size.astype(np.uint64))
+                # a segment is known by 128 bits of its words and their order
+                h = np.stack(wordhash.digests(t.word, at, size), axis=1).view("S16")[:, 0]
                 _, first, again = np.unique(h, return_index=True, return_counts=True)
                 n = np.zeros(len(h), np.int64)
                 n[first] = again
                 words: list = [None] * len(h)
                 for j in first.tolist():
                     words[j] = t.word[at[j] : at[j] + size[j]].tobytes()
-                cols = [part.column(0).take(pa.array(text)), pa.array(at - t.first[text], pa.int64()), pa.array(count, pa.int64()), pa.array(h.view(np.int64)), pa.array((least % U(shards)).astype(np.int64)), pa.array(n), pa.array(words, pa.binary())]
+                cols = [part.column(0).take(pa.array(text)), pa.array(at - t.first[text], pa.int64()), pa.array(count, pa.int64()), _binary16(h), pa.array((key % U(shards)).astype(np.int64)), pa.array(n), pa.array(words, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["rid", "start", "count", "seg", "shard", "n", "words"])
 
-    return rows.select("rid", "z", "repeated", "hot", "good").mapInArrow(run, "rid binary, start long, count long, seg long, shard long, n long, words binary")
+    return rows.select("rid", "z", "repeated", "hot", "good").mapInArrow(run, "rid binary, start long, count long, seg binary, shard long, n long, words binary")
 
 
 def _searched(segments: DataFrame, window: int, k: int) -> DataFrame:
@@ -296,7 +296,7 @@ def _searched(segments: DataFrame, window: int, k: int) -> DataFrame:
     depth = 1 << (2 * window - 1 - k).bit_length()
 
     def run(shard: pa.Table) -> pa.Table:
-        seg = shard["seg"].to_numpy()
+        seg = _fixed16(shard["seg"])
         ids, first, group = np.unique(seg, return_index=True, return_inverse=True)
         n = np.bincount(group, shard["n"].to_numpy()).astype(np.int64)
         parts = [np.frombuffer(x.as_py(), np.uint64) for x in shard["words"].take(pa.array(first))]
@@ -310,9 +310,9 @@ def _searched(segments: DataFrame, window: int, k: int) -> DataFrame:
         index = FMIndex(text, weight, depth)
         flags = repeated_windows(index, text, start, size, window)
         cut = np.append(0, np.cumsum(size - window + 1)).tolist()
-        return pa.table({"seg": pa.array(ids), "flags": pa.array([np.packbits(flags[a:b]).tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())})
+        return pa.table({"seg": _binary16(ids), "flags": pa.array([np.packbits(flags[a:b]).tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())})
 
-    return segments.where("words is not null").select("shard", "seg", "n", "words").groupBy("shard").applyInArrow(run, "seg long, flags binary")
+    return segments.where("words is not null").select("shard", "seg", "n", "words").groupBy("shard").applyInArrow(run, "seg binary, flags binary")
 
 
 def _removed(rows: DataFrame, window: int) -> DataFrame:
@@ -356,7 +356,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, k: int = GRAM, hot: int
     # a table of its own, so that a very frequent gram's partition can be split in the join
     repeated = common.checkpointed(grams.groupBy("h").agg(F.sum("places").alias("n")).where("n > 1"))
     sets = grams.join(repeated, "h").groupBy("rid").agg(F.collect_set("h").alias("repeated"), F.collect_set(F.when(F.col("n") > hot, F.col("h"))).alias("hot"))
-    texts = common.written(_packed(base).join(sets, "rid").groupBy("rid").agg(*[F.first(c).alias(c) for c in ("z", "repeated", "hot")]), "candidates")
+    texts = common.written(common.packed(base, ["rid"]).join(sets, "rid").groupBy("rid").agg(*[F.first(c).alias(c) for c in ("z", "repeated", "hot")]), "candidates")
     again = common.checkpointed(_hot_windows(texts.where(F.size("hot") > 0), window, k))
     twice = common.checkpointed(again.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
     good = again.join(twice, "h").groupBy("rid").agg(F.collect_set("pos").alias("good"))

@@ -1,29 +1,18 @@
 """Words and their 64-bit hashes out of UTF-8 buffers, without a Python object for each word.
 
-A word's hash is a polynomial over random byte values modulo 2**64, taken as the difference of two prefix sums
-and divided by the power of its start (odd powers have inverses), then mixed.
+A word is read in blocks of eight bytes, each mixed into the state of those before it, all words at once. Unlike a
+polynomial modulo 2**64, whose prefix sums would be quicker to take, the chain has no collisions that can be written
+down (long words of two letters in the Thue-Morse order, for one). Words of over LONG bytes are hashed by BLAKE2b.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
-_BASE, _MOD = 0x9E3779B97F4A7C15 | 1, 1 << 64
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-_powers: list[np.ndarray] = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
-
-
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        for k, base in enumerate((_BASE, pow(_BASE, -1, _MOD))):
-            out, have = np.ones(size, np.uint64), 1
-            while have < size:  # doubling: the powers so far times the next one
-                out[have : 2 * have] = out[:have] * U(pow(base, have, _MOD))
-                have *= 2
-            _powers[k] = out
-    return _powers[0], _powers[1]
+LONG = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,11 +26,35 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    power, inverse = _grown(len(buf) + 1)
-    sums = np.empty(len(buf) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE[buf] * power[: len(buf)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+    """Hash of each span's bytes and their number."""
+    size = end - start
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    block = np.ndarray((len(buf) + 1,), np.uint64, padded, strides=(1,))  # the eight bytes from each place on
+    out = mix(size.astype(np.uint64) + U(0x9E3779B97F4A7C15))
+    live = np.flatnonzero(size <= LONG)
+    for at in range(0, LONG, 8):
+        live = live[size[live] > at]
+        if not len(live):
+            break
+        left = np.minimum(size[live] - at, 8)
+        word = block[start[live] + at] & (U(0xFFFFFFFFFFFFFFFF) >> (U(64) - U(8) * left.astype(np.uint64)))
+        out[live] = mix(out[live] ^ word)
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def digests(h: np.ndarray, at: np.ndarray, size: np.ndarray, lanes: int = 2) -> list[np.ndarray]:
+    """`lanes` independent 64-bit hashes of each sequence h[at : at + size]: words and their order."""
+    cut = np.append(0, np.cumsum(size))
+    idx = ranges(at, size)
+    place = (idx - np.repeat(at, size)).astype(np.uint64)
+    out = []
+    for lane in range(1, lanes + 1):
+        salt = mix(place + U(0xD1B54A32D192ED03 * lane % (1 << 64)))
+        total = np.append(U(0), np.cumsum(mix(h[idx] ^ salt)))
+        out.append(mix(total[cut[1:]] - total[cut[:-1]] + size.astype(np.uint64)))
+    return out
 
 
 SPACE = np.zeros(256, bool)
