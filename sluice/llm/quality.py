@@ -93,8 +93,11 @@ def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int, epochs: int
     return Model(w[:last].astype(np.float32), float(w[last]), bits)
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = 6000, bits: int = 18) -> Model:
-    """Learns from at most `limit` labelled rows outside the held-out fold; the driver gets their sparse features."""
+def fit(docs: DataFrame, labels: DataFrame, limit: int = 6000, bits: int = 18, limit_bytes: int = 1 << 28) -> Model:
+    """Learns from at most `limit` labelled rows outside the held-out fold.
+
+    The driver gets their sparse features, `limit_bytes` at most; a repeated doc_id counts once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,8 +112,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = 6000, bits: int = 18) -
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], ["doc_id", "label", "i", "x"])
 
     sample = common.labelled_sample(docs, labels, "quality", limit)
-    got = sample.mapInArrow(run, "doc_id long, label int, i binary, x binary").toArrow().sort_by("doc_id").to_pydict()
-    rows = [(y, np.frombuffer(i, np.int32), np.frombuffer(x, np.float32).astype(float)) for y, i, x in zip(got["label"], got["i"], got["x"], strict=True)]
+    got = common.bounded(sample.mapInArrow(run, "doc_id long, label int, i binary, x binary"), ["i", "x"], limit_bytes)
+    rows = [(r["label"], np.frombuffer(r["i"], np.int32), np.frombuffer(r["x"], np.float32).astype(float)) for r in got]
     return ftrl(rows, bits)
 
 

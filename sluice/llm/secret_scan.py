@@ -100,12 +100,10 @@ def trained(labelled: list[tuple[str, int]], min_chars: int = 20, quantile: floa
 
 def fit(docs: DataFrame, limit: int = 400, n: int = 6000, min_chars: int = 20, text_col: str = "text") -> Detector:
     """Identifiers are made of the words of at most `limit` documents (a documented bound) without any pattern's match."""
-    plain = (
-        docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))  # for training only
-        .where(F.col("text") != "")
-        .orderBy("h", "text")
-        .limit(limit)
-    )
+    own = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")).where(F.col("text") != "")  # for training only
+    # hashes first, so that no task but the last gets texts of more than `limit` documents; copies count once
+    first = own.select("h").distinct().orderBy("h").limit(limit)
+    plain = own.join(F.broadcast(first), "h").groupBy("h").agg(F.first("text").alias("text"))
     plain = plain.where(~F.col("text").rlike(MAY_ASSIGN) & ~F.col("text").rlike(MAY_HEX) & ~F.col("text").contains("AKIA"))
     words = plain.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,20}"), F.lit(0)))).alias("w")).distinct().orderBy("w")
     return trained(samples([r.w for r in words.collect()], n), min_chars)

@@ -7,7 +7,9 @@ then read one at a time by seeking.
 
 Null payloads count as empty. Of records with equal payloads of at least `min_bytes`, that with the largest page_id is
 the response and the others revisit it; rows that share this page_id are all responses. A null page_id is smaller than
-any other. Payloads are taken whole.
+any other. Payloads are taken whole. Empty tables make no archives and give no rows; further columns aren't read. An
+archive whose stream or last record is cut short, even at a record's end, is an error. Archives come as rows of up to
+2 GB (`read_files`); Spark's binary reader takes no larger file.
 """
 
 from __future__ import annotations
@@ -92,17 +94,27 @@ def archived(rows: DataFrame, level: int = 3, roll: int = ROLL) -> DataFrame:
 
 
 def inflated(content: bytes, piece: int = PIECE) -> Iterator[bytes]:
-    """The bytes of one or more gzip members, in pieces of bounded size."""
-    at, rest, z = 0, b"", zlib.decompressobj(31)
+    """The bytes of one or more gzip members, in pieces of bounded size; an error if the last one is cut short."""
+    at, rest, z, fresh = 0, b"", zlib.decompressobj(31), True
     while rest or at < len(content):
         if not rest:
             rest, at = content[at : at + piece], at + piece
+        if fresh and not rest.strip(b"\0"):  # padding behind the last member
+            rest = b""
+            continue
         yield z.decompress(rest, piece)
+        fresh = z.eof
         if z.eof:
             rest, z = z.unused_data, zlib.decompressobj(31)
         else:
             rest = z.unconsumed_tail
-    yield z.flush()
+    while not fresh and z.unconsumed_tail:
+        yield z.decompress(z.unconsumed_tail, piece)
+    if not fresh and not z.eof:
+        if tail := z.flush():
+            yield tail
+        if not z.eof:
+            raise ValueError("the archive's gzip stream ends early")
 
 
 def parsed_head(head: bytes) -> dict[str, str]:

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.llm import bagminhash, bpe, common, decontaminate, fmindex, maxscore, quality, secret_scan, token_count, toxicity, warc
+from sluice.llm import bagminhash, bpe, common, decontaminate, fmindex, maxscore, quality, secret_scan, token_count, toxicity, warc, wordhash
 from tests.conftest import rows_of
 
 DOCS = "doc_id long, text string, score double, node long, key binary, words array<string>, h long, n int"
@@ -204,6 +204,37 @@ def test_maxscore(spark):
     assert maxscore.top_k(df.limit(0)).count() == 0
 
 
+def best_products(rows, every=10, k=5):
+    valid = [(i, None if j is None else int(j), [int(np.floor(1024 * x)) if abs(x) < 2**40 else int(x) * 1024 for x in v]) for i, (j, v) in enumerate(rows) if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for i, q, a in valid:
+        if q is not None and q % every == 0:
+            scores = [(max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(a, b, strict=False)))), j) for n, j, b in valid if n != i]
+            out += [(q, s) for s, _ in sorted(scores, key=lambda x: (-x[0], x[1] is None, x[1] or 0))[:k]]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("kind", ["sparse", "clustered", "huge"])
+def test_maxscore_of_other_vectors(spark, kind):
+    rng = np.random.default_rng(5)
+    n, width = 400, 40
+    x = rng.normal(0, 0.3, (n, width))
+    if kind == "sparse":
+        x *= rng.random((n, width)) < np.where(np.arange(width) < 30, 0.05, 0.6)
+    elif kind == "clustered":
+        x = x[rng.integers(0, 12, n)] + rng.normal(0, 0.01, (n, width))
+    else:
+        x[::7] *= 10.0 ** rng.integers(0, 30, (len(x[::7]), 1))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    rows += [(None, rows[3][1]), (None, rows[10][1]), (410, []), (420, None), (20, rows[20][1]), (430, [0.0] * width)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3).withColumn("row", F.lit("clash"))
+    got = maxscore.top_k(df, 5, 10, shard_rows=37, block_rows=16).collect()
+    assert sorted((r.query_id, r.score) for r in got) == best_products(rows)
+    for q in {r.query_id for r in got} - {20}:
+        assert sorted(r["rank"] for r in got if r.query_id == q) == [1, 2, 3, 4, 5]
+    assert kind == "huge" or any(r.vec_id is None for r in got)
+
+
 # --- 6 near duplicates ---
 
 
@@ -342,6 +373,158 @@ def test_warc(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+# --- identities of words ---
+
+
+def thue_morse(n):
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_of_two_letters_are_told_apart(spark):
+    rnd, rows = random.Random(2), []
+    for size in (64, 128, 256, 512, 1024, 4096):
+        a, b = thue_morse(size)
+        raw = np.frombuffer((a + b).encode(), np.uint8)
+        one, other = wordhash.span_hashes(raw, np.array([0, size]), np.array([size, 2 * size]))
+        assert one != other
+        words = prose(rnd, 40, 10**6).split()
+        rows += [(10 * size + i, " ".join([*words[:20], w, *words[20:]])) for i, w in enumerate((a, b))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # no window of 35 words leaves out the word in the middle, and 5 of 37 shingles differ
+    assert {r.n_removed for r in fmindex.deduplicated(df).collect()} == {0}
+    assert {r.doc_id: r.class_id for r in bagminhash.classes(df).collect()} == {i: i for i, _ in rows}
+
+
+def test_word_hashes_do_not_depend_on_the_place():
+    raw = np.frombuffer(("x" * 300 + " naïve " + "y" * 9 + " " + "x" * 300 + " naïve").encode(), np.uint8)
+    start, end, _ = wordhash.spans(raw, np.array([0, len(raw)]))
+    h = wordhash.span_hashes(raw, start, end)
+    assert h[0] == h[3] and h[1] == h[4] and len(set(h.tolist())) == 3
+
+
+def test_near_duplicates_whose_names_collide(spark, monkeypatch):
+    signed = bagminhash._signed
+    monkeypatch.setattr(bagminhash, "_signed", lambda docs: signed(docs).withColumn("node", F.pmod("node", F.lit(3))))
+    rnd = random.Random(14)
+    rows = [(i, prose(rnd, 60, 10**6)) for i in range(12)] + [(20, None), (21, "")]
+    rows += [(30 + i, t + " more") for i, t in rows[:4]] + [(40 + i, t) for i, t in rows[:2]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.class_id for r in bagminhash.classes(df).collect()} == brute_classes(rows)
+
+
+def one_by_one(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw]))
+
+
+def test_toxicity_score_is_the_plain_forward_pass():
+    rng, rnd = np.random.default_rng(3), random.Random(3)
+    filters = [rng.normal(0, 1, (w * toxicity.DIM, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS]
+    emb = rng.normal(0, 1, (1 << toxicity.BITS, toxicity.DIM)).astype(np.float32)
+    k = len(toxicity.WIDTHS) * toxicity.FILTERS
+    bias, out = rng.normal(0, 1, k), rng.normal(0, 1, k)
+    model = toxicity.assembled(emb, filters, bias, out, 0.3)
+    texts = ["", "one", "One, two!", *[prose(rnd, rnd.randrange(1, 40), 200) for _ in range(30)], " \n", "é 中文 x"]
+    got = model.raw(*one_by_one(texts))
+    for t, score in zip(texts, got, strict=True):
+        w, h, _ = toxicity.words(*one_by_one([t]))
+        x = [emb[a] + emb[b] for a, b in zip(w, h, strict=True)] + [np.zeros(toxicity.DIM)] * 2
+        peak = []
+        for width, f in zip(toxicity.WIDTHS, filters, strict=True):
+            for q in range(toxicity.FILTERS):
+                sums = [sum(float(x[i + j] @ f[j * toxicity.DIM : (j + 1) * toxicity.DIM, q]) for j in range(width)) for i in range(len(w))]
+                peak.append(max([0.0, *sums]))
+        assert score == pytest.approx(float(np.maximum(np.array(peak) + bias, 0) @ out + 0.3), rel=1e-3, abs=1e-3)
+
+
+def test_quality_score_is_the_plain_dot_product():
+    rng, rnd = np.random.default_rng(4), random.Random(4)
+    model = quality.Model(rng.normal(0, 1, 1 << 12).astype(np.float32), -0.4, 12)
+    texts = ["", "A", "A a AA!! 12", *[prose(rnd, rnd.randrange(1, 40), 200).title() for _ in range(20)], "é\n中文"]
+    got = model.score(*one_by_one(texts))
+    for t, score in zip(texts, got, strict=True):
+        bucket, _ = quality.features(*one_by_one([t]), 12)
+        z = -0.4 + quality.SCALE * sum(float(model.weights[b]) for b in bucket) / max(1, len(bucket))
+        assert score == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-5)
+        plain = re.findall(r"[a-z\x80-\U0010ffff]+|[0-9]+|([^a-z0-9\s\x80-\U0010ffff])\1*", t.lower()) and [m[0] for m in re.finditer(r"[a-z\x80-\U0010ffff]+|[0-9]+|([^a-z0-9\s\x80-\U0010ffff])\1*", t.lower())]
+        assert len(bucket) == max(0, 3 * len(plain) - 1)  # words, their shapes, pairs
+
+
+def test_ftrl_follows_its_definition():
+    rng = np.random.default_rng(6)
+    rows = [(int(rng.random() < 0.4), np.unique(rng.integers(0, 16, 4)), None) for _ in range(40)]
+    rows = [(y, i, rng.random(len(i))) for y, i, _ in rows]
+    got = quality.ftrl(rows, 4, epochs=2)
+    z, n, order = [0.0] * 17, [0.0] * 17, np.random.default_rng(7)
+    weight = lambda i: 0.0 if abs(z[i]) <= 0.002 else -(z[i] - np.sign(z[i]) * 0.002) / ((1.0 + np.sqrt(n[i])) / 0.3 + 0.01)
+    for _ in range(2):
+        for k in order.permutation(len(rows)):
+            y, index, value = rows[k]
+            at = [*zip(index.tolist(), value.tolist(), strict=True), (16, 1.0)]
+            error = 1 / (1 + np.exp(-sum(weight(i) * x for i, x in at))) - y
+            for i, x in at:
+                g, w = error * x, weight(i)
+                z[i] += g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / 0.3 * w
+                n[i] += g * g
+    assert np.allclose(got.weights, [weight(i) for i in range(16)], atol=1e-5) and got.bias == pytest.approx(weight(16))
+
+
+def test_training_adds_to_the_words_it_starts_from():
+    rnd, rows = random.Random(8), []
+    for _ in range(700):
+        w, kind = prose(rnd, 30, 300).split(), rnd.randrange(4)
+        at = rnd.randrange(0, 28)
+        w[at : at + 2] = {0: ["so", "nasty"], 1: ["nasty", "so"], 2: [w[at], "so"], 3: ["nasty", w[at]]}[kind]  # only this order is toxic
+        whole, head, _ = toxicity.words(*one_by_one([" ".join(w)]))
+        rows.append((int(kind == 0), whole, head))
+    y = np.array([r[0] for r in rows[500:]])
+    of = lambda epochs: auc(np.array([toxicity._raw_of(m, w, h) for m in [toxicity.assembled(*toxicity.train(rows[:500], epochs))] for _, w, h in rows[500:]]), y)
+    before, after = of(0), of(12)
+    assert after > 0.9 and after > before + 0.05
+
+
+def test_samples_are_bounded_and_repeated_ids_count_once(spark):
+    docs, labels = labelled(spark, 300, ["fine"], 0.4)
+    both = docs.union(docs)
+    own = common.labelled_sample(both, labels.withColumnRenamed("label", "quality"), "quality", 100, lang=True)
+    rows = common.bounded(own.select("doc_id", "label", F.encode("text", "utf-8").alias("x")), ["x"], 1 << 30)
+    assert len(rows) == 100 == len({r["doc_id"] for r in rows})
+    few = common.bounded(own.select("doc_id", "label", F.encode("text", "utf-8").alias("x")), ["x"], 5000)
+    assert 0 < sum(len(r["x"]) for r in few) <= 5000 and {r["doc_id"] for r in few} < {r["doc_id"] for r in rows}
+    for module, name in ((toxicity, "toxic"), (quality, "quality")):
+        one, two = (module.fit(d, labels.withColumnRenamed("label", name), 80) for d in (docs, both))
+        assert [r.score for r in module.scored(docs, one).orderBy("doc_id").limit(20).collect()] == [r.score for r in module.scored(docs, two).orderBy("doc_id").limit(20).collect()]
+
+
+def test_slots_have_to_be_consistent(spark):
+    rnd = random.Random(15)
+    fill = " ".join(f"then {{a}} {prose(rnd, 6, 10**6)} {{b}} {prose(rnd, 6, 10**6)}" for _ in range(4))
+    item = fill.format(a="Anna", b="Berta")
+    docs = [(1, fill.format(a="Maria", b="Luisa")), (2, re.sub("Anna|Berta", lambda m, n=iter("Maria Zoe Ida Eva Uma Ada Lea Kim".split()): next(n), item))]
+    df = spark.createDataFrame([(i, f"{prose(rnd, 10, 10**6)} {t} {prose(rnd, 10, 10**6)}") for i, t in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    # each window has a name, so that only templates can match; one name became four in the second document
+    got = {r.doc_id: r for r in decontaminate.flagged(df, bench).collect()}
+    assert set(got) == {1} and got[1].n_covered == got[1].n_tokens and got[1].n_changed == 2
+    loose = {r.doc_id for r in decontaminate.flagged(df, bench, consistent=0.0).collect()}
+    assert loose == {1, 2}
+
+
+def test_streams_that_end_early_are_errors(spark):
+    pages = spark.createDataFrame([(i, "u", "payload " * 50) for i in range(5)], "page_id long, url string, html string").coalesce(1)
+    content = bytes(warc.archived(warc.typed(pages)).collect()[0].content)
+    assert len(list(warc.records(warc.inflated(content)))) == 5
+    assert len(list(warc.records(warc.inflated(content + b"\0" * 300)))) == 5
+    assert len(list(warc.records(warc.inflated(content + content, 7)))) == 10
+    whole = gzip.decompress(content)
+    z = __import__("zlib").compressobj(6, 8, 31)
+    cut = z.compress(whole) + z.flush(2)  # all records, but no end of the stream
+    for bad in (cut, content[:-1], content[: len(content) // 2]):
+        with pytest.raises(ValueError, match="early|within"):
+            list(warc.records(warc.inflated(bad)))
+
+
 # --- queries and pipeline ---
 
 
