@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .filters import is_usable
+from .prefix import accumulated
 
 
 def totals(df: DataFrame, tokens: str = "n_tokens") -> DataFrame:
@@ -153,6 +154,19 @@ def window_stats(df: DataFrame, by: str, token: str = "token", doc: str = "doc")
     return df.groupBy(by).agg(F.avg((F.col(token) != 0).cast("double")).alias("nonzero"), F.count_distinct(token).alias("n_distinct"), F.min(doc).alias("first_doc"), F.max(doc).alias("last_doc"))
 
 
+def window_violations(df: DataFrame, by: str, token: str = "token", doc: str = "doc", min_nonzero: float = 0.5, min_distinct: int = 2) -> DataFrame:
+    """(window, reason) of windows that are mostly zeros, hardly vary or whose documents go backwards."""
+    s = window_stats(df, by, token, doc)
+    reason = F.when(F.col("nonzero") < min_nonzero, "zeros").when(F.col("n_distinct") < min_distinct, "constant").when(F.col("first_doc") < 0, "document")
+    return s.select(by, reason.alias("reason")).where("reason is not null")
+
+
+def chunk_rollup(shards: DataFrame, by: str = "domain", tokens: str = "n_tokens", seq_len: int = 2048) -> DataFrame:
+    """Chunks of each domain's shards and the tokens they hold."""
+    n = F.greatest(F.lit(0), F.floor((F.col(tokens) - 1) / seq_len))
+    return shards.groupBy(by).agg(F.count("*").alias("n_shards"), F.sum(n).cast("long").alias("n_chunks"), (F.sum(n) * seq_len).cast("long").alias("chunk_tokens"))
+
+
 def ema_weights(n: int, alpha: float) -> list[float]:
     """Weights of n checkpoints, oldest first, that the recursion m <- alpha m + (1 - alpha) x gives."""
     return [alpha ** (n - 1) if i == 0 else alpha ** (n - 1 - i) * (1 - alpha) for i in range(n)]
@@ -193,4 +207,5 @@ def remeasured(manifest: DataFrame, measured: DataFrame, on: str = "path", estim
     both = manifest.join(measured.select(on), on, "left_anti").unionByName(measured, allowMissingColumns=True)
     if exact not in both.columns:
         both = both.withColumn(exact, F.lit(None).cast("long"))
-    return both.withColumn("index", F.row_number().over(Window.orderBy(on)) - 1).withColumn("tokens", F.coalesce(exact, estimate))
+    numbered = accumulated(both, [on]).withColumn("index", F.col("rn") - 1).drop("rn", "incl", "excl", "total")
+    return numbered.withColumn("tokens", F.coalesce(exact, estimate))

@@ -82,6 +82,24 @@ def english_score(score: Column, least: float = 0.5) -> Column:
     return F.coalesce(score >= least, F.lit(False))
 
 
+# Frequent English words, for the score that stands in where no language model is given.
+ENGLISH_WORDS = ("the", "of", "and", "to", "in", "is", "that", "it", "for", "was", "on", "as", "with", "be", "by", "at", "this", "are", "from", "or")
+
+
+def english_share(paragraph: Column) -> Column:
+    """Four times the share of frequent English words, 1 at most."""
+    own = F.regexp_extract_all(F.lower(paragraph), F.lit("[a-z]+"), F.lit(0))
+    return F.least(F.lit(1.0), 4.0 * F.size(F.filter(own, lambda w: w.isin(*ENGLISH_WORDS))) / F.greatest(F.lit(1), F.size(own)))
+
+
+def document_score(text: Column, score: Callable[[Column], Column] = english_share) -> Column:
+    """Mean of the scores of a text's paragraphs (lines that aren't blank), by their lengths; null without any."""
+    own = F.filter(F.split(text, "\n"), lambda p: tx.strip(p) != "")
+    scored = F.transform(own, lambda p: F.struct((score(p) * F.length(p)).alias("s"), F.length(p).alias("n")))
+    total = lambda xs: F.aggregate(xs, F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda a, x: F.struct((a["s"] + x["s"]).alias("s"), (a["n"] + x["n"]).alias("n")))
+    return tx.let(total(scored), lambda t: F.when(t["n"] > 0, t["s"] / t["n"]))
+
+
 SECRETS = r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\s*[:=]\s*[\"']?[A-Za-z0-9+/_.=-]{8,}|AKIA[A-Z0-9]{16}|-----BEGIN [A-Z ]*PRIVATE KEY-----"
 
 
@@ -97,6 +115,14 @@ def replace_scored_span(text: Column, start: Column, end: Column, score: Column,
     return F.when(score >= least, cut).otherwise(text)
 
 
+def replace_scored_spans(text: Column, spans: Column, least: float = 0.3, by: str = "") -> Column:
+    """The text with all spans (s, e, score) replaced whose score is high enough; they don't overlap."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    chosen = F.array_sort(F.transform(F.filter(spans, lambda x: x["score"] >= least), lambda x: F.struct(x["s"].cast("int").alias("s"), x["e"].cast("int").alias("e"))))
+    step = lambda a, x: F.struct(x["e"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, x["s"] - a["at"]), F.lit(by)).alias("out"))
+    return F.aggregate(chosen, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+
+
 def is_usable(metric: Column) -> Column:
     """A number, neither NaN nor infinite. (Null and NaN are different and both fail.)"""
     # one mention of the metric, so that an expensive one is computed once; NaN counts as greater than infinity

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import accumulated, carried
+
 
 def joined_labels(left: DataFrame, right: DataFrame, on: str = "id", keep_left: tuple[str, ...] = ("domain",)) -> DataFrame:
     """Inner join; columns that both have come from the right, but for keep_left, where the left wins unless null."""
@@ -29,15 +31,14 @@ def coverage(left: DataFrame, right: DataFrame, on: str = "id") -> DataFrame:
 
 
 def owners(points: DataFrame, intervals: DataFrame, by: str, at: str = "offset", start: str = "start", end: str = "end", strict: bool = False) -> DataFrame:
-    """Each point with the interval [start, end) of its group that holds it: a sort and a running last value, no range join.
+    """Each point with the interval [start, end) of its group that holds it: a sort and a running last value (prefix.carried), no range join.
 
     Points outside all intervals have nulls, or are an error if strict. Intervals of a group don't overlap.
     """
     rest = [c for c in intervals.columns if c not in (by, start)]
     side = intervals.select(by, F.col(start).alias("_at"), F.lit(0).alias("_kind"), F.struct(F.col(start).alias(start), *rest).alias("_own"), *[F.lit(None).cast(points.schema[c].dataType).alias(f"_p_{c}") for c in points.columns if c != by])
     rows = points.select(by, F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(side.schema["_own"].dataType).alias("_own"), *[F.col(c).alias(f"_p_{c}") for c in points.columns if c != by])
-    w = Window.partitionBy(by).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    last = side.unionByName(rows).withColumn("_last", F.last("_own", ignorenulls=True).over(w)).where("_kind = 1")
+    last = carried(side.unionByName(rows), ["_at", "_kind"], "_own", [by]).where("_kind = 1")
     inside = F.col("_at") < F.col(f"_last.{end}")
     own = F.when(inside, F.col("_last"))
     if strict:
@@ -77,8 +78,8 @@ def with_lookup(docs: DataFrame, table: DataFrame, on: str, rules: list[tuple[st
 
 def zipped(left: DataFrame, right: DataFrame, by: str, left_order: list[str], right_order: list[str]) -> DataFrame:
     """The k-th row of each group of one side with the k-th of the other; sides of different length leave nulls."""
-    number = lambda order: F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
-    return left.withColumn("ordinal", number(left_order)).join(right.withColumn("ordinal", number(right_order)), [by, "ordinal"], "full")
+    number = lambda df, order: accumulated(df, order, None, [by]).withColumn("ordinal", F.col("rn") - 1).drop("rn", "incl", "excl", "total")
+    return number(left, left_order).join(number(right, right_order), [by, "ordinal"], "full")
 
 
 def to_do(manifest: DataFrame, done: DataFrame, failed: DataFrame | None = None, on: str = "path", order: str = "index") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.text import byte_ids, let
+from sluice.sources.storage import checkpointed
 
 from .prefix import accumulated
 
@@ -94,11 +95,21 @@ def one_epoch(shards: DataFrame, seq_len: int, needed: int | None = None, tokens
     return out.withColumn("n_sequences", F.when(F.col("n_sequences") < needed, F.raise_error(F.lit("more than one epoch")).cast("long")).otherwise(F.col("n_sequences")))
 
 
-def fingerprint(df: DataFrame, order: list[str], fields: list[str]) -> DataFrame:
-    """SHA-256 of the ordered rows' canonical JSON (fields by name), by digests of rows: one digest a row goes to one task."""
+def fingerprint(df: DataFrame, order: list[str], fields: list[str], fan: int = 4096) -> DataFrame:
+    """SHA-256 over the ordered rows' canonical JSON (fields by name), as a tree.
+
+    Each `fan` neighbouring digests are joined by newlines and hashed again, until one is left; no task gets more. Of no
+    rows it is the hash of nothing.
+    """
     row = F.sha2(F.to_json(F.struct(*sorted(fields))), 256)
-    one = df.select(F.struct(*order).alias("o"), row.alias("h"))
-    return one.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "h"))), lambda x: x["h"]), "\n"), 256).alias("fingerprint"))
+    level = accumulated(df.select(*order, row.alias("h")), list(order)).select((F.col("rn") - 1).alias("i"), "h")
+    n = level.count()
+    while True:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]), "\n")
+        if n <= fan:
+            return level.agg(F.sha2(joined, 256).alias("fingerprint"))
+        level = checkpointed(level.groupBy(F.floor(F.col("i") / fan).alias("g")).agg(F.sha2(joined, 256).alias("h")).select(F.col("g").alias("i"), "h"))
+        n = -(-n // fan)
 
 
 def segments(ids: Column, seq_len: int) -> Column:

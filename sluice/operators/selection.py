@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.text import let
+from sluice.sources.storage import checkpointed
 
 from .filters import is_usable, token_weight
 from .prefix import accumulated
@@ -148,7 +151,11 @@ def capped_prefix(df: DataFrame, tokens: str, cap: int, order: list, by: list[st
 def estimated(files: DataFrame, pool: Column | float, size: str = "size", by: list[str] | None = None) -> DataFrame:
     """est_tokens: each file's share of the pool's tokens by its bytes."""
     pool = pool if isinstance(pool, Column) else F.lit(float(pool))
-    return files.withColumn("est_tokens", pool * F.col(size) / F.sum(size).over(Window.partitionBy(*(by or []))))
+    by = by or []
+    sums = files.groupBy(*by).agg(F.sum(size).alias("_all")).withColumnsRenamed({b: f"_b_{b}" for b in by})
+    on = reduce(lambda x, b: x & F.col(b).eqNullSafe(F.col(f"_b_{b}")), by, F.lit(True))
+    # without groups the sums are one row
+    return files.join(sums if by else F.broadcast(sums), on).withColumn("est_tokens", pool * F.col(size) / F.col("_all")).drop("_all", *[f"_b_{b}" for b in by])
 
 
 def shard_sample(files: DataFrame, target: Column | float, key: str, by: list[str] | None = None, seed: int = 42, over: float = 1.0, tokens: str = "est_tokens", one_at_least: bool = True) -> DataFrame:
@@ -181,17 +188,28 @@ def sha_budget(files: DataFrame, budget: float, keys: list[str], size: str = "si
     return accumulated(files, [sha_order(*keys), *keys], size).where(F.col("excl") < over * budget).drop("total")
 
 
-def _greedy(files: list[tuple[str, float]], target: float) -> list[str]:
-    """Fits in the given order; what is more than twice too large waits while something smaller fits."""
-    left, chosen, got = list(files), [], 0.0
-    while left and got < target:
+def _fitting(sizes: np.ndarray, target: float) -> list[int]:
+    """Places taken, in the order of taking, until the sizes reach the target.
+
+    What a need of x admits has at most max(2 x, x + 1) tokens. Needs only fall, so a place that is admitted late was so
+    before: one pass over the places, which leaves out those too large for good, and then, as long as the target isn't
+    reached, the smallest ones left.
+    """
+    taken, got = [], 0.0
+    for i, n in enumerate(sizes):
         need = target - got
-        fits = [f for f in left if f[1] <= max(2 * need, need + 1)]
-        pick = fits[0] if fits else min(left, key=lambda f: f[1])
-        left.remove(pick)
-        chosen.append(pick[0])
-        got += pick[1]
-    return chosen
+        if need <= 0:
+            return taken
+        if n <= max(2 * need, need + 1):
+            taken.append(i)
+            got += n
+    rest = np.setdiff1d(np.arange(len(sizes)), taken)
+    for i in rest[np.argsort(sizes[rest], kind="stable")].tolist():
+        if got >= target:
+            break
+        taken.append(i)
+        got += sizes[i]
+    return taken
 
 
 def fitting_sample(files: DataFrame, by: str, key: str, tokens: str = "est_tokens", target: str = "target", seed: int = 42) -> DataFrame:
@@ -199,9 +217,8 @@ def fitting_sample(files: DataFrame, by: str, key: str, tokens: str = "est_token
     schema = files.schema
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_order")
-        picked = _greedy(list(zip(pdf[key], pdf[tokens].astype(float), strict=True)), float(pdf[target].iloc[0]))
-        return pdf.set_index(key, drop=False).loc[picked][schema.names]
+        pdf = pdf.sort_values(["_order", key])
+        return pdf.iloc[_fitting(pdf[tokens].to_numpy(float), float(pdf[target].iloc[0]))][schema.names]
 
     return files.withColumn("_order", seeded(seed, key)).groupBy(by).applyInPandas(run, schema)
 
@@ -278,21 +295,28 @@ def random_blocks(domains: DataFrame, block: int, by: str = "domain", available:
     return got.unionByName(tail).unionByName(tiny)
 
 
-def near_optimal(candidates: DataFrame, weights: list[str], score: str, band: float, distance: float, keep: int = 8) -> list[dict]:
-    """At most `keep` candidates within the band of the best score, pairwise farther apart than `distance` (L1).
+def near_optimal(candidates: DataFrame, weights: list[str], score: str, band: float, distance: float, keep: int = 8, metric: str = "l1") -> list[dict]:
+    """At most `keep` candidates within the band of the best score, pairwise at least `distance` apart (L1 or largest).
 
-    The candidates are deduplicated by weights to two decimals before the few best come to the driver.
+    The best candidate by score and weights is taken, those near it go, and so on. Candidates are deduplicated by
+    weights to two decimals first; one row a turn comes to the driver.
     """
     best = candidates.agg(F.min(score)).first()[0]
-    close = candidates.where(F.col(score) <= best + band)
+    if best is None:
+        return []
     rounded = [F.round(w, 2).alias(f"_{w}") for w in weights]
-    one = close.select("*", *rounded).groupBy(*[f"_{w}" for w in weights]).agg(F.min_by(F.struct(*weights, score), score).alias("r")).select("r.*")
+    close = candidates.where(F.col(score) <= best + band).select(*weights, score, *rounded)
+    one = close.groupBy(*[f"_{w}" for w in weights]).agg(F.min(F.struct(score, *weights)).alias("r"))
+    left = checkpointed(one.select("r.*"))
     out: list[dict] = []
-    for row in one.orderBy(score, *weights).limit(1000 * keep).collect():
-        if all(sum(abs(row[w] - o[w]) for w in weights) >= distance for o in out):
-            out.append(row.asDict())
-        if len(out) == keep:
+    while len(out) < keep:
+        row = left.agg(F.min(F.struct(score, *weights)).alias("r")).first()["r"]
+        if row is None:
             break
+        out.append(row.asDict())
+        gaps = [F.abs(F.col(w) - F.lit(row[w])) for w in weights]
+        apart = reduce(lambda a, b: a + b, gaps) if metric == "l1" else F.greatest(*gaps, F.lit(0.0))
+        left = left.where(apart >= distance)
     return out
 
 

@@ -1,0 +1,4 @@
+"""Registered queries; importing the package registers them all."""
+
+from . import registry  # noqa: F401  isort: skip
+from . import operator_queries  # noqa: F401

@@ -152,7 +152,8 @@ def reservoir_sample(spark, d):
 
 @query("WITH c AS (SELECT doc_id, source, strlen(text) AS tok, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, avg(strlen(text)) OVER (PARTITION BY source) AS per FROM documents) SELECT doc_id, floor(i / greatest(4, floor(20000 / greatest(per, 1))))::INTEGER AS chunk FROM c")
 def lm_chunks(spark, d):
-    own = documents(spark, d).select("doc_id", "source", F.avg("tok").over(Window.partitionBy("source")).alias("per"))
+    docs = documents(spark, d).select("doc_id", "source", "tok")
+    own = docs.join(docs.groupBy("source").agg(F.avg("tok").alias("per")), "source")
     return selection.work_chunks(own, "doc_id", "per", 20000, 4, ["source"]).select("doc_id", "chunk")
 
 
@@ -203,9 +204,9 @@ def random_block_plan(spark, d):
 # --- joins ---
 
 
-@query("WITH a AS (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT doc_id FROM labels), j AS (SELECT count(*) FILTER (a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL) AS n_joined, count(*) FILTER (b.doc_id IS NULL) AS n_left_only, count(*) FILTER (a.doc_id IS NULL) AS n_right_only FROM a FULL JOIN b ON a.doc_id = b.doc_id) SELECT *, round(n_joined / (n_joined + n_left_only), 6) AS left_rate, round(n_joined / (n_joined + n_right_only), 6) AS right_rate FROM j")
+@query("WITH a AS (SELECT doc_id FROM documents), b AS (SELECT doc_id FROM labels), j AS (SELECT count(*) FILTER (a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL) AS n_joined, count(*) FILTER (b.doc_id IS NULL) AS n_left_only, count(*) FILTER (a.doc_id IS NULL) AS n_right_only FROM a FULL JOIN b ON a.doc_id = b.doc_id) SELECT *, round(n_joined / (n_joined + n_left_only), 6) AS left_rate, round(n_joined / (n_joined + n_right_only), 6) AS right_rate FROM j")
 def label_coverage(spark, d):
-    out = joins.coverage(table(spark, d, "documents").where("doc_id % 3 <> 0"), table(spark, d, "labels"), "doc_id")
+    out = joins.coverage(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id")
     return out.withColumn("left_rate", r6("left_rate")).withColumn("right_rate", r6("right_rate"))
 
 
@@ -401,12 +402,15 @@ def proof_gate(spark, d):
     return table(spark, d, "pages").select("page_id", tx.proof_environments(F.col("html")).alias("n_proofs"), F.length("html").between(1000, 200000).alias("fits"))
 
 
-@query()
+@query("WITH i AS (SELECT substr(text, 1, 40) AS span, row_number() OVER (ORDER BY item_id) - 1 AS k, count(*) OVER () AS n FROM benchmark), j AS (SELECT doc_id, source, text, substr(text, 1, 12) AS a, span AS b FROM documents JOIN i ON k = doc_id % n), p AS (SELECT *, len(a) > 0 AS first, CASE WHEN len(a) > 0 THEN '<FACT>' || a || '</FACT>' ELSE '' END AS head, substr(text, 1 + len(a)) AS rest FROM j), q AS (SELECT *, CASE WHEN len(b) > 0 THEN strpos(rest, b) ELSE 0 END AS hit FROM p) SELECT doc_id, source, sha256(head || CASE WHEN hit > 0 THEN substr(rest, 1, hit - 1) || '<FACT>' || b || '</FACT>' || substr(rest, hit + len(b)) ELSE rest END) AS marked, 2 AS n_facts, (first::INT + (hit > 0)::INT)::INTEGER AS n_facts_placed FROM q")
 def mark_facts(spark, d):
     docs, bench = table(spark, d, "documents"), table(spark, d, "benchmark")
-    # facts of a document: the first sentence-long piece of up to three items chosen by hash, one of them its own beginning
-    facts = docs.select("doc_id", F.substring("text", 1, 12).alias("span"), F.lit(0).alias("fact_idx")).unionByName(docs.select("doc_id", F.pmod(F.col("doc_id"), F.lit(40)).alias("item_id")).join(bench, "item_id").select("doc_id", F.substring("text", 1, 40).alias("span"), F.lit(1).alias("fact_idx")))
-    marked = joins.with_spans(docs.select("doc_id", "source", "text"), facts).withColumn("m", tx.mark_spans(F.col("text"), F.col("spans")))
+    # facts of a document: its own beginning, and the beginning of the benchmark item that its id points to
+    items = accumulated(bench.select("item_id", F.substring("text", 1, 40).alias("span")), ["item_id"]).select((F.col("rn") - 1).alias("k"), "span", F.col("total").alias("n"))
+    n = bench.agg(F.count("*").alias("n_items"))  # one row
+    own = docs.select("doc_id", F.substring("text", 1, 12).alias("span"), F.lit(0).alias("fact_idx"))
+    other = docs.select("doc_id").crossJoin(F.broadcast(n)).select("doc_id", F.pmod(F.col("doc_id"), F.col("n_items")).alias("k")).join(items.drop("n"), "k").select("doc_id", "span", F.lit(1).alias("fact_idx"))
+    marked = joins.with_spans(docs.select("doc_id", "source", "text"), own.unionByName(other)).withColumn("m", tx.mark_spans(F.col("text"), F.col("spans")))
     return marked.select("doc_id", "source", F.sha2("m.text", 256).alias("marked"), F.coalesce(F.size("spans"), F.lit(0)).alias("n_facts"), F.col("m.placed").alias("n_facts_placed"))
 
 

@@ -12,15 +12,22 @@ from pyspark.sql import functions as F
 
 from sluice.operators.prefix import accumulated
 
+from . import files
+
 
 def jsonl(df: DataFrame, path: str, docs_per_shard: int = 50_000, compression: str = "gzip") -> None:
     df.write.option("maxRecordsPerFile", docs_per_shard).option("compression", compression).json(path)
 
 
-def jsonl_by_domain(df: DataFrame, path: str, by: str = "domain", docs_per_shard: int = 10_000) -> DataFrame:
-    """Writes shards by domain; gives the counts, from the writing itself."""
-    df.repartition(by, F.floor(F.rand(7) * 16)).write.option("maxRecordsPerFile", docs_per_shard).option("compression", "gzip").partitionBy(by).json(path)
-    return df.groupBy(by).agg(F.count("*").alias("n_docs"))
+def jsonl_by_domain(df: DataFrame, path: str, by: str = "domain", docs_per_shard: int = 10_000, key: str | None = None, parts: int = 16) -> DataFrame:
+    """Writes shards by domain; gives the counts (by, n_docs) of the domains, read from what was written.
+
+    A domain's rows are dealt to `parts` tasks by a hash of the key (of the whole row without one), which a task that is
+    run again repeats.
+    """
+    salt = F.pmod(F.xxhash64(key or F.to_json(F.struct(*df.columns))), F.lit(parts))
+    df.repartition(by, salt).write.option("maxRecordsPerFile", docs_per_shard).option("compression", "gzip").partitionBy(by).json(path)
+    return df.sparkSession.read.schema(df.select(by).schema).json(path).groupBy(by).agg(F.count("*").alias("n_docs"))
 
 
 def size_capped(df: DataFrame, order: list[str], cap: int = 1 << 30, by: list[str] | None = None) -> DataFrame:
@@ -33,12 +40,36 @@ def jsonl_capped(df: DataFrame, path: str, order: list[str], cap: int = 1 << 30)
     size_capped(df, order, cap).repartition("shard").write.partitionBy("shard").option("compression", "none").json(path)
 
 
-def jsonl_zstd(df: DataFrame, path: str, text: str = "text", name: str = "zstd_jsonl") -> dict:
-    """Zstandard JSON lines (needs Hadoop's native codec; else Parquet's own zstd) with counts observed while writing."""
+def jsonl_zstd(df: DataFrame, path: str, text: str = "text", docs_per_shard: int = 50_000, prefix: str = "part") -> dict:
+    """Zstandard JSON lines, at most `docs_per_shard` records a file; gives n_docs and n_chars, counted while writing."""
     from pyspark.sql import Observation
 
-    seen = Observation(name)
-    df.observe(seen, F.count("*").alias("n_docs"), F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("n_chars")).write.option("compression", "zstd").parquet(path)
+    seen = Observation()
+    counted = df.observe(seen, F.count("*").alias("n_docs"), F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("n_chars"))
+    rows = counted.select(F.spark_partition_id().alias("task"), F.to_json(F.struct(*df.columns)).alias("line"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        def shard(number: int, task: int, parts: list[bytes]) -> pa.RecordBatch:
+            # frames one after another are a Zstandard file like any other
+            return pa.RecordBatch.from_arrays([pa.array([f"{prefix}-{task:05d}-{number:05d}.jsonl.zst"]), pa.array([b"".join(parts)], pa.binary())], ["name", "content"])
+
+        number, have, task, parts = 0, 0, 0, []
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                to = min(batch.num_rows, at + docs_per_shard - have)
+                task = batch.column(0)[at].as_py()
+                parts.append(zstandard.ZstdCompressor().compress("".join(x + "\n" for x in batch.column(1).slice(at, to - at).to_pylist()).encode()))
+                have, at = have + to - at, to
+                if have == docs_per_shard:
+                    yield shard(number, task, parts)
+                    number, have, parts = number + 1, 0, []
+        if have:
+            yield shard(number, task, parts)
+
+    files.write(rows.mapInArrow(run, "name string, content binary"), path)
     return seen.get
 
 
@@ -74,35 +105,71 @@ def token_shards(df: DataFrame, ids: str, order: list[str], shard_tokens: int, e
     return cut.groupBy(*keys).applyInArrow(run_group, schema)
 
 
-def byte_shards(docs: DataFrame, order: list[str], by: str, text: str = "text", shard_tokens: int = 1 << 30) -> DataFrame:
-    """(by, shard, n_docs, n_bytes): byte streams that rotate before a document that would overflow the open shard.
+def token_files(shards: DataFrame, path: str, by: list[str] | None = None, suffix: str = ".u32le.bin") -> None:
+    """Writes the content of token_shards as raw files [by/]shard-00000.u32le.bin."""
+    number = F.format_string("shard-%05d" + suffix, F.col("shard").cast("int"))
+    files.write(shards.select(F.concat_ws("/", *[F.col(b).cast("string") for b in by or []], number).alias("name"), "content"), path)
+
 
-    Documents end in a newline; two newlines stand between documents of a shard. The rotation depends on all documents
-    before, so a group is read in order by one task, row by row, and only lengths go there.
+def rotated(docs: DataFrame, order: list[str], by: str, text: str = "text", shard_tokens: int = 1 << 30) -> DataFrame:
+    """(by, order, n, shard, nth): which shard each document goes to, as its nth, if a shard is closed before a document
+    that would overflow it.
+
+    Documents end in one newline, two newlines stand between documents of a shard. Where a shard ends depends on all
+    before it, so a group's lengths (and nothing else) are read in order by one task, a step for each shard.
     """
     n = F.octet_length(F.regexp_replace(text, r"\n*\z", "")) + 1
     own = docs.select(by, *order, n.cast("long").alias("n")).repartition(by).sortWithinPartitions(by, *order)
     by_at, n_at = own.columns.index(by), len(own.columns) - 1
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, shard, size, count, rows = None, 0, 0, 0, []
+        group, shard, size, count = object(), 0, 0, 0  # of the open shard
         for batch in batches:
-            for g, k in zip(batch.column(by_at).to_pylist(), batch.column(n_at).to_pylist(), strict=True):
-                if g != group or (count and size + 2 + k > shard_tokens):
-                    if count:
-                        rows.append((group, shard, count, size))
-                    shard, size, count, group = (shard + 1 if g == group else 0), 0, 0, g
-                size += k + (2 if count else 0)
-                count += 1
-        if count:
-            rows.append((group, shard, count, size))
-        cols = list(zip(*rows, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch_type), *[pa.array(c, pa.int64()) for c in cols[1:]]], [by, "shard", "n_docs", "n_bytes"])
+            if not batch.num_rows:
+                continue
+            n = batch.column(n_at).to_numpy()
+            key = batch.column(by_at).to_pylist()
+            number, nth = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
+            edges = [i for i in range(len(n)) if i == 0 or key[i] != key[i - 1]] + [len(n)]
+            total = np.append(0, np.cumsum(n + 2))
+            for a, b in zip(edges, edges[1:], strict=False):
+                if key[a] != group:
+                    group, shard, size, count = key[a], 0, 0, 0
+                at = a
+                while at < b:
+                    # with its separators, all but the last, the shard may hold so much more
+                    to = min(b, int(np.searchsorted(total, total[at] + shard_tokens + 2 - size, "right")) - 1)
+                    if to <= at and not count:
+                        to = at + 1  # a document of its own, however long
+                    if to > at:
+                        number[at:to], nth[at:to] = shard, count + np.arange(to - at)
+                        size, count, at = size + int(total[to] - total[at]), count + to - at, to
+                    if at < b:
+                        shard, size, count = shard + 1, 0, 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number), pa.array(nth)], [*batch.schema.names, "shard", "nth"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields)
+    return own.mapInArrow(fold, f"{kinds}, shard long, nth long")
+
+
+def byte_shards(docs: DataFrame, order: list[str], by: str, text: str = "text", shard_tokens: int = 1 << 30) -> DataFrame:
+    """(by, shard, n_docs, n_bytes) of the shards that `rotated` makes."""
+    out = rotated(docs, order, by, text, shard_tokens).groupBy(by, "shard")
+    return out.agg(F.count("*").alias("n_docs"), (F.sum("n") + 2 * F.count("*") - 2).alias("n_bytes"))
 
-    from pyspark.sql.pandas.types import to_arrow_type
 
-    batch_type = to_arrow_type(own.schema[by].dataType)
-    return own.mapInArrow(fold, f"{by} {own.schema[by].dataType.simpleString()}, shard long, n_docs long, n_bytes long")
+def byte_shard_contents(docs: DataFrame, order: list[str], by: str, text: str = "text", shard_tokens: int = 1 << 30) -> DataFrame:
+    """(by, shard, content): the bytes of each shard. The order names each document once; a shard's documents meet in one task."""
+    place = rotated(docs, order, by, text, shard_tokens).drop("n")
+    body = F.encode(F.concat(F.regexp_replace(text, r"\n*\z", ""), F.lit("\n")), "utf-8")
+    rows = docs.select(by, *order, body.alias("body")).join(place, [by, *order]).select(by, "shard", "nth", "body")
+
+    def joined(t: pa.Table) -> pa.Table:
+        t = t.sort_by("nth")
+        content = b"\n\n".join(t["body"].to_pylist())
+        return pa.table({by: t[by].slice(0, 1), "shard": t["shard"].slice(0, 1), "content": pa.array([content], pa.binary())})
+
+    return rows.groupBy(by, "shard").applyInArrow(joined, f"{by} {docs.schema[by].dataType.simpleString()}, shard long, content binary")
 
 
 def merged_parts(parts: DataFrame, order: str = "part", content: str = "content", item_bytes: int = 4) -> DataFrame:
@@ -126,16 +193,24 @@ def csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.option("header", "true").csv(path)  # a report of few rows
 
 
-def publish(df: DataFrame, path: str, done: DataFrame | None = None, key: str | None = None) -> None:
-    """Adds the rows whose key isn't done yet; Spark's committer makes them visible at once, so a rerun is harmless."""
+def publish(df: DataFrame, path: str, done: DataFrame | None = None, key: str | None = None, ready: bool = False) -> None:
+    """Adds the rows whose key isn't done yet; Spark's committer makes them visible at once, so a rerun is harmless.
+
+    With a key, a marker `<key>.done` for each key follows below path/_done; with `ready`, the file path/_state/READY.
+    """
     new = df if done is None else df.join(done.select(key), key, "left_anti")
     new.write.mode("append").parquet(path)
+    if key is not None:
+        files.mark_done(df.select(key).distinct(), f"{path}/_done", key)
+    if ready:
+        files.mark_ready(df.sparkSession, f"{path}/_state")
 
 
-def annotations(df: DataFrame, path: str, docs_per_shard: int = 50_000) -> None:
-    """Annotation records (id, source, text?, annotations), as Parquet with zstd; nothing is written for an empty table."""
-    if not df.isEmpty():
-        df.write.option("maxRecordsPerFile", docs_per_shard).option("compression", "zstd").parquet(path)
+def annotations(df: DataFrame, path: str, docs_per_shard: int = 50_000) -> dict | None:
+    """Annotation records (id, source, text?, annotations) as Zstandard JSON lines; nothing is written for an empty table."""
+    if df.isEmpty():
+        return None
+    return jsonl_zstd(df, path, next((c for c in ("text", "id") if c in df.columns), df.columns[0]), docs_per_shard, "annotations")
 
 
 def u32le(values: list[int]) -> bytes:
