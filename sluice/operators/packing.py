@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sluice.functions.text import byte_ids, let
+from sluice.functions.text import byte_ids, labels_with_mask, let
 from sluice.sources.storage import checkpointed
 
 from .prefix import accumulated
@@ -18,6 +22,47 @@ def byte_tokens(text: Column) -> Column:
     return byte_ids(text)
 
 
+def tokenizer_ids(path: str, pattern: str | None = None) -> Callable[[Column], Column]:
+    """A tokenizer for `tokenised` out of a vocabulary file: .json by `tokenizers`, .model by `sentencepiece`, ranks by
+    `tiktoken` with the pattern that splits texts. No special tokens; null counts as empty."""
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def ids(text: pd.Series) -> pd.Series:
+        encode = _encoder(path, pattern)
+        return pd.Series([np.asarray(x, np.int32) for x in encode([s or "" for s in text])])
+
+    return ids
+
+
+@lru_cache(4)
+def _encoder(path: str, pattern: str | None):
+    if path.endswith(".json"):
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(path)
+        own.no_truncation()
+        own.no_padding()
+        return lambda texts: [x.ids for x in own.encode_batch(texts, add_special_tokens=False)]
+    if path.endswith(".model"):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        return lambda texts: model.encode(texts, num_threads=1)
+    import base64
+
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    own = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return lambda texts: [own.encode_ordinary(t) for t in texts]
+
+
+def training_rows(rows: DataFrame, ignore: int = -100) -> DataFrame:
+    """Packed rows (input_ids, loss_mask) with `labels`: the ids, but `ignore` where the mask is set."""
+    return rows.withColumn("labels", labels_with_mask(F.col("input_ids"), F.col("loss_mask"), ignore))
+
+
 def tokenised(df: DataFrame, text: str = "text", tokenizer: Callable[[Column], Column] = byte_tokens, eos: int | None = None, skip_empty: bool = False) -> DataFrame:
     """ids and n_tokens; with an end token, which a document without tokens has alone unless it's skipped."""
     ids = tokenizer(F.col(text))
@@ -131,10 +176,21 @@ def usable_prefix(shards: DataFrame, by: list[str], order: list[str], seq_len: i
     return run.withColumn("kept", F.greatest(F.lit(0), F.least(F.col(tokens), usable - F.col("excl"))).cast("long")).drop("rn", "incl", "excl", "total")
 
 
+def usable_content(shards: DataFrame, by: list[str], order: list[str], seq_len: int, content: str = "content", item_bytes: int = 4) -> DataFrame:
+    """Shards' raw content, cut so that their concatenation is whole sequences; shards without any left go."""
+    own = shards.withColumn("_n", F.floor(F.octet_length(content) / item_bytes))
+    own = usable_prefix(own, by, order, seq_len, "_n").where("kept > 0")
+    return own.withColumn(content, F.substring(content, F.lit(1), (F.col("kept") * item_bytes).cast("int"))).drop("_n", "kept")
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def attention_of_rows(q: pd.Series, k: pd.Series) -> pd.Series:
+    """attention_received of each row's arrays (positions x dimensions)."""
+    return pd.Series([attention_received([list(x) for x in a], [list(x) for x in b]) if a is not None and len(a) else [] for a, b in zip(q, k, strict=True)])
+
+
 def attention_received(q: list[list[float]], k: list[list[float]]) -> list[float]:
     """Causal softmax attention that each position gets, summed over later queries; for one small sequence."""
-    import numpy as np
-
     a = np.asarray(q, float) @ np.asarray(k, float).T / np.sqrt(len(q[0]))
     a[np.triu_indices(len(a), 1)] = -np.inf
     p = np.exp(a - a.max(1, keepdims=True))

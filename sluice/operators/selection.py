@@ -255,9 +255,17 @@ def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """A whole shuffle, which a buffer of 10 000 rows only comes near to."""
     return df.orderBy(seeded(seed, key), key)
 
 
+def buffered_shuffle(df: DataFrame, order: list[str], key: str, buffer: int = 10_000, seed: int = 42) -> DataFrame:
+    """Adds `position`: a shuffle within each `buffer` neighbours of the order, as a stream with a buffer gives it."""
+    block = accumulated(df, order).withColumn("_block", F.floor((F.col("rn") - 1) / buffer)).drop("rn", "incl", "excl", "total")
+    w = Window.partitionBy("_block").orderBy(seeded(seed, key), key)
+    return block.withColumn("position", F.col("_block") * buffer + F.row_number().over(w) - 1).drop("_block")
+
+
 def assigned(df: DataFrame, order: str, n: int, k: int | None = None) -> DataFrame:
     """Round-robin worker of each row in order; only worker k's rows if given."""
     out = accumulated(df, [order]).withColumn("worker", F.pmod(F.col("rn") - 1, F.lit(n)).cast("int")).drop("rn", "incl", "excl", "total")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.functions import text as tx
+from sluice.operators.prefix import accumulated
 
 DOC = "id string, text string, source string, metadata string"
 
@@ -123,6 +124,19 @@ def metadata_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return own.select("path", "line_index", F.from_json("value", schema).alias("r")).where("r is not null").select("path", "line_index", "r.*")
 
 
+def metadata_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """As metadata_lines; a file that gives no object that way is read whole, as one JSON list or object."""
+    by_line = metadata_lines(spark, path, schema).where(F.coalesce(*[F.col(f.name).cast("string") for f in T._parse_datatype_string(schema).fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]).isNotNull())
+    whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    left = whole.join(by_line.select("path").distinct(), "path", "left_anti").where(F.try_parse_json("value").isNotNull())
+    many = F.from_json("value", f"array<struct<{_colons(schema)}>>")
+    return by_line.unionByName(left.select("path", F.posexplode(many).alias("line_index", "r")).select("path", F.col("line_index").cast("long").alias("line_index"), "r.*"))
+
+
+def _colons(schema: str) -> str:
+    return ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in T._parse_datatype_string(schema).fields)
+
+
 def last_by_id(df: DataFrame, key: str = "id") -> DataFrame:
     rest = [c for c in df.columns if c not in (key, "path", "line_index")]
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("path", "line_index")).alias("r")).select(key, "r.*")
@@ -133,6 +147,25 @@ def select_parquet(spark: SparkSession, path: str, predicate: Column | str, colu
     return spark.read.parquet(path).where(predicate).select(*columns)
 
 
+def batches(df: DataFrame, columns: list[str], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """The chosen columns in Arrow batches of at most so many rows; one partition at a time comes to the driver."""
+    names = {c: df.schema[c].dataType for c in columns}
+    have: list = []
+    for row in df.select(*columns).toLocalIterator(prefetchPartitions=True):
+        have.append(row.asDict(True))
+        if len(have) == rows:
+            yield pa.RecordBatch.from_pylist(have, schema=to_arrow_schema(names))
+            have = []
+    if have:
+        yield pa.RecordBatch.from_pylist(have, schema=to_arrow_schema(names))
+
+
+def to_arrow_schema(columns: dict) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return pa.schema([(name, to_arrow_type(kind)) for name, kind in columns.items()])
+
+
 def key_ranges(spark: SparkSession, low: int, high: int, n: int) -> DataFrame:
     """(part, lo, hi): [low, high] in n ranges of equal length, rounded up; hi is exclusive."""
     step = max(1, -(-(high - low + 1) // n))
@@ -162,11 +195,18 @@ def sqlite_ranges(spark: SparkSession, path: str, query: str, ranges: DataFrame,
     return ranges.select("lo", "hi").repartition(max(1, ranges.count())).mapInArrow(run, schema)
 
 
-def projected(df: DataFrame, repo: str, text_fields: list[str], id_fields: list[str] = ["id", "url"]) -> DataFrame:  # noqa: B006
-    """(id, text): the first filled text field; rows of white space only go; ids fall back to repo-i."""
+def projected(df: DataFrame, repo: str, text_fields: list[str], id_fields: list[str] = ["id", "url"], order: list[str] | None = None) -> DataFrame:  # noqa: B006
+    """(id, text): the first filled text field; rows of white space only go; ids fall back to repo-i.
+
+    i is the row's number by `order` (a file and a line, say), or by the hash of its content: the same however often and
+    in whatever partitions the rows are read.
+    """
     have = [F.col(c).cast("string") for c in dict.fromkeys(text_fields + ["content", "text"]) if c in df.columns]
     ids = [tx.blank_to_null(F.col(c).cast("string")) for c in id_fields if c in df.columns]
-    own = df.select(F.coalesce(*ids, F.concat(F.lit(f"{repo}-"), F.monotonically_increasing_id().cast("string"))).alias("id"), tx.first_text(*have).alias("text"))
+    if order is None:
+        df, order = df.withColumn("_content", F.sha2(F.to_json(F.struct(*df.columns)), 256)), ["_content"]
+    numbered = accumulated(df, order)
+    own = numbered.select(F.coalesce(*ids, F.concat(F.lit(f"{repo}-"), (F.col("rn") - 1).cast("string"))).alias("id"), tx.first_text(*have).alias("text"))
     return own.where(F.coalesce(tx.strip(F.col("text")) != "", F.lit(False)))
 
 
@@ -176,6 +216,20 @@ def snapshots(spark: SparkSession, path: str, min_bytes: int = 1024) -> DataFram
     return raw.where(F.col("_metadata.file_size") >= min_bytes).select("value")
 
 
+def instruct_rows(spark: SparkSession, path: str, schema: str, fallback: DataFrame | None = None, min_bytes: int = 1024) -> DataFrame:
+    """Rows of the local snapshots; of `fallback` (the rows of another source) if there are none. Lines that aren't JSON go."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        own = snapshots(spark, path, min_bytes).where(F.try_parse_json("value").isNotNull()).select(F.from_json("value", schema).alias("r")).select("r.*")
+        if fallback is None or not own.isEmpty():
+            return own
+    except AnalysisException as e:
+        if fallback is None or "PATH_NOT_FOUND" not in str(e):
+            raise
+    return fallback
+
+
 def fixtures(spark: SparkSession, path: str, config_field: str = "_config") -> DataFrame:
     """Fixture rows with their configuration apart."""
     df = spark.read.json(path)
@@ -189,9 +243,11 @@ TOKENS = "path string, n_tokens long, dtype string, ids array<bigint>"
 def _dtype_of(content: bytes, dtype: str | None) -> tuple[str, np.ndarray]:
     if content[:6] == b"\x93NUMPY":
         return "npy", np.load(io.BytesIO(content), allow_pickle=False).reshape(-1)
-    if dtype is None:  # 16-bit pairs of 32-bit ids show as values over any vocabulary
-        head = np.frombuffer(content[: 4 * (min(len(content), 1 << 16) // 4)], "<u4")
-        dtype = "<u4" if len(head) and head.max() < 100_000 else "<u2"
+    if dtype is None:  # 16 bits if the first values may be ids of a vocabulary, else 32
+        head = np.frombuffer(content[: 2 * min(4096, len(content) // 2)], "<u2")
+        dtype = "<u2" if len(content) % 2 == 0 and len(head) and head.max() < 100_000 else "<u4"
+        if dtype == "<u2" and len(content) % 4 == 0 and len(head) >= 2 and not head[1::2].any():
+            dtype = "<u4"  # every other value is 0: upper halves
     size = np.dtype(dtype).itemsize
     if len(content) % size:
         raise ValueError(f"{len(content)} bytes are no whole number of {size}-byte tokens")
@@ -226,6 +282,14 @@ def shard_listing(spark: SparkSession, root: str) -> DataFrame:
     return own.withColumn("domain", tx.domain_of_path(F.col("path"))).orderBy("path")
 
 
+def manifest_listing(spark: SparkSession, path: str) -> DataFrame:
+    """As shard_listing, from a manifest of JSON lines (path, size or bytes)."""
+    from sluice.operators.filters import is_data_file
+
+    rows = spark.read.schema("path string, size long, bytes long").json(path).where(is_data_file(F.lower("path")))
+    return rows.select("path", F.coalesce("size", "bytes").alias("size"), tx.domain_of_path(F.col("path")).alias("domain")).orderBy("path")
+
+
 def curves(spark: SparkSession, path: str) -> DataFrame:
     """(run_name, step, label, loss) of JSON-lines loss curves, one folder for each run; the last row of a step counts."""
     raw = lines(spark, path)

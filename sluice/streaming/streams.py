@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sluice.operators.prefix import accumulated
+from sluice.sources.storage import checkpointed
+
 
 def ingest_until(stream: DataFrame, sink: str, checkpoint: str, budget: int, tokens: str = "n_tokens"):
     """Appends micro-batches until the sink holds the budget's tokens; what is there is counted before each batch.
@@ -41,6 +45,27 @@ def poll_evaluations(spark: SparkSession, folder: str, labels: int, max_files: i
     return whole.withColumn("macro", macro).dropDuplicates(["step"])
 
 
+def poll_into(spark: SparkSession, folder: str, sink: str, labels: int) -> int:
+    """Appends the evaluations (step, labels, macro) that are complete by now and not in the sink yet; how many.
+
+    Called again and again: a suite that was incomplete is read again under the same name, and each step is added once.
+    """
+    from pyspark.errors import AnalysisException
+
+    rows = spark.read.schema("step long, labels map<string,double>").json(folder).where((F.size("labels") == labels) & F.col("step").isNotNull())
+    macro = F.aggregate(F.map_values("labels"), F.lit(0.0), lambda a, x: a + x) / F.size("labels")
+    new = rows.groupBy("step").agg(F.max_by("labels", F.to_json("labels")).alias("labels")).withColumn("macro", macro)
+    try:
+        new = new.join(spark.read.schema("step long").parquet(sink), "step", "left_anti")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    new = checkpointed(new)
+    if n := new.count():
+        new.write.mode("append").parquet(sink)
+    return n
+
+
 ACCUMULATED = "id string, n_loss_tokens long, sum_loss double, n_segments long"
 
 
@@ -80,11 +105,45 @@ def adaptive_updates(weights: DataFrame, steps: list[int], evaluate: Callable[[D
 
 def epoch_order(df: DataFrame, key: str, epochs: int, seed: int = 42) -> DataFrame:
     """Each epoch's rows in an order of its own: (epoch, position)."""
-    from pyspark.sql import Window
-
     own = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.col(key).cast("string")))
-    return own.withColumn("position", F.row_number().over(Window.partitionBy("epoch").orderBy(order, key)) - 1)
+    return accumulated(own, [order, key], None, ["epoch"]).withColumn("position", F.col("rn") - 1).drop("rn", "incl", "excl", "total")
+
+
+def epochs(df: DataFrame, key: str, batch_rows: int, seed: int = 42) -> Iterator[DataFrame]:
+    """Without end, an epoch's batches of rows (epoch, batch, position) after another's; whole batches only."""
+    for epoch in itertools.count():
+        order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), F.col(key).cast("string")))
+        own = accumulated(df, [order, key]).withColumn("position", F.col("rn") - 1).withColumn("batch", F.floor(F.col("position") / batch_rows))
+        whole = own.where((F.col("batch") + 1) * batch_rows <= F.col("total"))
+        yield whole.withColumn("epoch", F.lit(epoch)).drop("rn", "incl", "excl", "total")
+
+
+class CounterError(ValueError):
+    pass
+
+
+def log_metrics(rows: DataFrame, log: str, by: str = "run_name") -> None:
+    """Appends metric rows (run, step, n_tokens) of schema 2 with running totals to a log of JSON lines.
+
+    Steps have to grow from row to row and beyond what the log has, tokens must not be negative; else nothing is written.
+    """
+    from pyspark.errors import AnalysisException
+
+    spark = rows.sparkSession
+    try:
+        had = spark.read.schema(f"{by} string, step long, total_tokens long").json(log).groupBy(by).agg(F.max("step").alias("_step"), F.max("total_tokens").alias("_total"))
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        had = spark.createDataFrame([], f"{by} string, _step long, _total long")
+    run = checkpointed(accumulated(rows.select(by, "step", "n_tokens"), ["step"], "n_tokens", [by]).join(had, by, "left"))
+    again = run.groupBy(by, "step").count().where("count > 1").select(by, "step")
+    bad = run.where("step <= _step OR n_tokens < 0 OR step IS NULL OR n_tokens IS NULL").select(by, "step").union(again)
+    if first := bad.limit(3).collect():
+        raise CounterError(f"counters don't grow: {first}")
+    out = run.select(F.lit(2).alias("schema_version"), by, "step", "n_tokens", (F.coalesce("_total", F.lit(0)) + F.col("incl")).alias("total_tokens"))
+    out.write.mode("append").json(log)
 
 
 def migrated(metrics: DataFrame) -> DataFrame:
