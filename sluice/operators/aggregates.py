@@ -2,26 +2,55 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.sources.storage import checkpointed
+
 from .filters import is_usable
-from .prefix import accumulated
+from .prefix import SINGLE_TASK_ROWS, accumulated, planned_bytes
 
 
 def totals(df: DataFrame, tokens: str = "n_tokens") -> DataFrame:
     return df.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(tokens), F.lit(0)).alias("n_tokens"))
 
 
+def with_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], by: list[str], others: list[Column], single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
+    """By group: the other aggregates, and exact quantiles (linear between neighbours) of the values that aren't null.
+
+    Spark's exact percentile holds all different values of a group in one buffer. Beyond small inputs the two ranks at a
+    quantile's place are looked up instead, in ranks that no single task has to make.
+    """
+    if planned_bytes(df) <= 16 * single_task_rows:
+        return df.groupBy(*by).agg(*others, *[F.percentile(value, F.lit(q)).alias(k) for k, q in quantiles.items()])
+    df = checkpointed(df)
+    ranked = accumulated(df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v")), ["_v"], None, by, single_task_rows)
+
+    def at(q: float) -> Column:
+        place = (F.col("total") - 1) * F.lit(q)
+        low = F.floor(place)
+        share = F.when(F.col("rn") - 1 == low, 1 - (place - low)).when(F.col("rn") - 1 == low + 1, place - low)
+        return F.sum(F.when(share > 0, F.col("_v") * share))
+
+    found = ranked.groupBy(*by).agg(*[at(q).alias(k) for k, q in quantiles.items()]).withColumnsRenamed({b: f"_b_{b}" for b in by})
+    rest = df.groupBy(*by).agg(*others)
+    on = reduce(lambda x, b: x & F.col(b).eqNullSafe(F.col(f"_b_{b}")), by, F.lit(True))
+    # without groups both sides are one row
+    return rest.join(found if by else F.broadcast(found), on, "left").drop(*[f"_b_{b}" for b in by])
+
+
 def quality_report(df: DataFrame, tokens: str = "n_tokens", facts: str | None = None, exact: bool = True) -> DataFrame:
     """Count, sum, mean, median and 95th percentile of tokens; facts per document and documents without any."""
-    at = F.percentile if exact else F.percentile_approx
-    cols = [F.count("*").alias("n_docs"), F.coalesce(F.sum(tokens), F.lit(0)).alias("n_tokens"), F.avg(tokens).alias("avg_tokens"), at(tokens, F.lit(0.5)).alias("p50_tokens"), at(tokens, F.lit(0.95)).alias("p95_tokens")]
+    cols = [F.count("*").alias("n_docs"), F.coalesce(F.sum(tokens), F.lit(0)).alias("n_tokens"), F.avg(tokens).alias("avg_tokens")]
     if facts:
         cols += [F.avg(facts).alias("avg_facts"), F.count_if(F.col(facts) == 0).alias("n_without_facts")]
-    return df.agg(*cols)
+    places = {"p50_tokens": 0.5, "p95_tokens": 0.95}
+    if exact:
+        return with_quantiles(df.select(tokens, *([facts] if facts else [])), tokens, places, [], cols)
+    return df.agg(*cols, *[F.percentile_approx(tokens, F.lit(q)).alias(k) for k, q in places.items()])
 
 
 def by_group(df: DataFrame, by: str, tokens: str = "n_tokens") -> DataFrame:
@@ -112,12 +141,13 @@ def choice_scores(df: DataFrame, item: str = "item", choice: str = "choice", bpb
 
 
 def loss_summary(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    return df.groupBy(*(by or [])).agg(F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.percentile(value, F.lit(0.9)).alias("p90"), F.percentile(value, F.lit(0.99)).alias("p99"))
+    by = by or []
+    return with_quantiles(df.select(*by, value), value, {"median": 0.5, "p90": 0.9, "p99": 0.99}, by, [F.avg(value).alias("mean")])
 
 
 def plausibility(df: DataFrame, by: str, value: str, low: float, high: float, above: float) -> DataFrame:
-    at = {f"p{int(100 * q)}": F.percentile(value, F.lit(q)) for q in (0.05, 0.5, 0.95, 0.99)}
-    return df.groupBy(by).agg(F.min(value).alias("min"), *[c.alias(k) for k, c in at.items()], F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), (100.0 * F.avg(F.col(value).between(low, high).cast("double"))).alias("pct_in_range"), F.count_if(F.col(value) > above).alias("n_above"))
+    at = {f"p{int(100 * q)}": q for q in (0.05, 0.5, 0.95, 0.99)}
+    return with_quantiles(df.select(by, value), value, at, [by], [F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), (100.0 * F.avg(F.col(value).between(low, high).cast("double"))).alias("pct_in_range"), F.count_if(F.col(value) > above).alias("n_above")])
 
 
 def fit_errors(df: DataFrame, by: str, predicted: str = "predicted", observed: str = "observed") -> DataFrame:

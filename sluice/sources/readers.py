@@ -50,8 +50,9 @@ def lines(spark: SparkSession, path: str, zstd: bool = False) -> DataFrame:
     if zstd or path.endswith((".zst", ".zstd")):
         return _zstd_lines(_binary(spark, path))
     raw = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"), "value")
-    at = F.row_number().over(Window.partitionBy("path").orderBy("_b", "_i")) - 1
-    return raw.withColumn("line_index", at.cast("long")).select("path", "line_index", "value")
+    # a split's rows have growing numbers, the splits of a file growing starts; a very long file is no single task
+    at = accumulated(raw, ["_b", "_i"], None, ["path"])
+    return at.select("path", (F.col("rn") - 1).cast("long").alias("line_index"), "value")
 
 
 def documents_strict(spark: SparkSession, path: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sluice.functions import text as tx
+from sluice.operators import aggregates as ag
 from sluice.operators import contracts, joins, mixing, packing, prefix, selection
 from sluice.sources import files, readers, sinks
 
@@ -67,6 +68,27 @@ def test_fingerprint_is_a_tree(spark):
     assert packing.fingerprint(df.limit(0), ["id"], ["id", "x"]).count() == 1
 
 
+def test_quantiles_by_ranks(spark):
+    df = grouped(spark).withColumn("v", F.when(F.col("k") % 13 != 0, F.col("v").cast("double")))
+    args = (df, "v", {"a": 0.5, "b": 0.95, "c": 1.0}, ["g"], [F.count("*").alias("n")])
+    plain, ranks = (sorted((str(r.g), r.n, *(round(x, 9) for x in (r.a, r.b, r.c))) for r in ag.with_quantiles(*args, single_task_rows=n).collect()) for n in (10**6, 15))
+    assert plain == ranks and len(plain) == 4
+    one = ag.with_quantiles(df, "v", {"a": 0.9}, [], [F.max("v").alias("m")], single_task_rows=15).first()
+    assert one.a == pytest.approx(df.agg(F.percentile("v", F.lit(0.9))).first()[0]) and one.m == df.agg(F.max("v")).first()[0]
+
+
+def test_lines_of_a_file_in_many_splits(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("".join(f"line {i} {'x' * (i % 50)}\n" for i in range(3000)))
+    (tmp_path / "b.txt").write_text("only\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = readers.lines(spark, str(tmp_path)).collect()
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {(r.path[-5:], r.line_index): r.value.split()[-1 if r.path.endswith("b.txt") else 1] for r in got} == {("b.txt", 0): "only"} | {("a.txt", i): str(i) for i in range(3000)}
+
+
 # --- files ---
 
 
