@@ -37,6 +37,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables, in the shared folder."""
+    return f"{shared_dir(spark)}/sluice-{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes the application's intermediate tables; no result that still reads them may be used afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage with files in the shared folder; a lost executor costs nothing that is done."""
     shared_dir(df.sparkSession)
@@ -46,7 +57,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """The rows as a Parquet table in the shared folder, in a folder for each value of `by`."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

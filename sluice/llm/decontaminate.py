@@ -12,7 +12,9 @@ single words; n_windows, n_covered, n_tokens and n_changed are those of the way
 copies differ in fillers only, so they match; `n_changed` counts the fillers that differ.
 
 Null and empty texts have no tokens and are never flagged. Rows with the same id and text are one document; a null id is
-an id like any other. The benchmark's windows are broadcast only if a count has shown at most `broadcast_rows`.
+an id like any other. Empty tables flag nothing. Texts are searched whole; a very long one is one row of tokens and of
+window hashes, some 30 times its bytes. The benchmark's windows are broadcast only if a count has shown at most
+`broadcast_rows`. Of the tables' columns only ids and texts are read.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ byte) is joined to the stored counts of the same tokenizer version, which is a d
 library's version and the options. Only distinct texts without a stored count are encoded, and their counts are
 appended to the cache, a Parquet folder in storage that all executors share.
 
-Empty texts have no tokens. Repeated rows share one encoding and come back each by itself. Texts are encoded whole.
+Empty texts have no tokens. Repeated rows share one encoding and come back each by itself. Texts are encoded whole. An
+empty table gives no rows and leaves an empty cache. Only the id and the text are read, so no other column can clash.
 """
 
 from __future__ import annotations
@@ -67,7 +68,7 @@ def _stored(spark: SparkSession, cache: str, tag: str) -> DataFrame | None:
 def counted(docs: DataFrame, path: str, cache: str | None = None, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row. `cache` is the cache's folder; by default a new one."""
     spark, tag = docs.sparkSession, version(path)
-    cache = cache or f"{common.shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
+    cache = cache or f"{common.scratch(spark)}/token-counts-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
@@ -82,6 +83,7 @@ def counted(docs: DataFrame, path: str, cache: str | None = None, limit: int = 5
         missing = missing.join(stored, "digest", "left_anti")
     distinct = missing.groupBy("digest").agg(F.first("text").alias("text"))  # copies meet within tasks before the shuffle
     distinct.mapInArrow(run, CACHE).write.mode("append").parquet(cache)
-    known = _stored(spark, cache, tag)
+    # a table of its own, so that the rows of a text with very many copies can be split in the join
+    known = common.checkpointed(_stored(spark, cache, tag))
     own = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
     return own.join(known, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

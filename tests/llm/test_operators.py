@@ -552,7 +552,44 @@ def test_pipeline(spark, sf_dir):
         if name != pipeline.STAGES[-1][0]:
             assert docs.columns == before.columns and 0 < docs.count() <= before.count()
     assert docs.count() == before.count() and docs.where(F.col("n_tokens") < 0).isEmpty()
-    odd = special(spark)
-    for _, stage in pipeline.STAGES[1:4]:
-        odd = stage(spark, odd, sf_dir)
-    assert odd.columns == special(spark).columns and odd.count() > 0
+
+
+@pytest.mark.parametrize("make", [special, empty])
+def test_pipeline_of_special_rows(spark, sf_dir, make):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = make(spark).withColumn("lang", F.lit("en"))
+    for name, stage in pipeline.STAGES:
+        out = common.written(stage(spark, docs, sf_dir), "test")
+        if name == pipeline.STAGES[-1][0]:
+            assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == docs.count()
+            break
+        assert out.columns == docs.columns and (out.count() > 0) == (make is special)
+        # quality may drop rows; what the other stages keep of these rows is fixed
+        docs = out if name != pipeline.STAGES[0][0] else docs
+    if make is special:
+        assert sorted(str(r.doc_id) for r in docs.collect()) == sorted(["1", "2", "3", "None", "4", "5", "7"])
+
+
+def test_pipeline_against_brute_force(spark, sf_dir):
+    """Near duplicates, contamination and tokens of a small table, stage by stage."""
+    pipeline, vocab = pytest.importorskip("corpus_pipeline"), pytest.importorskip("public_tokenizers")
+    tiktoken = pytest.importorskip("tiktoken")
+    rnd = random.Random(31)
+    items = [r.text for r in common.table(spark, sf_dir, "benchmark").orderBy("item_id").limit(2).collect()]
+    base = prose(rnd, 90, 10**6).split()
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:40], "other", *base[41:]])), (3, prose(rnd, 60, 10**6)), (4, f"{prose(rnd, 30, 10**6)} {items[0]} {prose(rnd, 9, 10**6)}"), (5, prose(rnd, 40, 10**6) + " AKIA" + "Q" * 16), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = dict(rows)
+    stages = dict(pipeline.STAGES)
+    docs = stages["near-duplicate removal"](spark, docs, sf_dir)
+    classes = brute_classes(rows)
+    want = {i: t for i, t in want.items() if classes[i] == i}
+    assert {r.doc_id: r.text for r in docs.collect()} == want == {i: t for i, t in rows if i != 2}
+    docs = stages["benchmark decontamination"](spark, docs, sf_dir)
+    del want[4]
+    assert {r.doc_id: r.text for r in docs.collect()} == want
+    docs = stages["secret redaction"](spark, docs, sf_dir)
+    want[5] = want[5].replace("AKIA" + "Q" * 16, "[SECRET]")
+    assert {r.doc_id: (r.text, r.n_chars) for r in docs.collect()} == {i: (t, len(t)) for i, t in want.items()}
+    own = tiktoken.Encoding("own", pat_str=vocab.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(vocab.path("byte_bpe_50k.tiktoken"), "rb"))}, special_tokens={})
+    assert {r.doc_id: r.n_tokens for r in stages["byte-level BPE"](spark, docs, sf_dir).collect()} == {i: len(own.encode_ordinary(t)) for i, t in want.items()}
