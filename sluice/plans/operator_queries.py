@@ -5,12 +5,16 @@ Inputs that the driver's tables lack (counters, tags, manifests, spans) are deri
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sluice.functions import text as tx
 from sluice.operators import aggregates as ag
 from sluice.operators import contracts, filters, joins, mixing, packing, rules, selection, sets
-from sluice.sources import sinks
+from sluice.sources import readers, sinks
+from sluice.sources.storage import shared_dir
+from sluice.streaming import streams
 
 from .registry import ORACLE_SQL, documents, mixtures, query, r6, table
 from .registry import MIXTURES, OWNERS, SCORES, chunk_owners, vectors
@@ -728,3 +732,122 @@ def dependency_checks(spark, d):
 @query("SELECT count(*) = count(DISTINCT doc_id) AND min(doc_id) = 0 AND max(doc_id) = count(*) - 1 AS ok FROM documents")
 def permutation_check(spark, d):
     return packing.is_permutation(table(spark, d, "documents"), "doc_id")
+
+
+# --- sources and sinks, written and read back ---
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/sluice-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT doc_id::VARCHAR AS id, sha256(text) AS text FROM documents WHERE text <> ''")
+def gzip_lines(spark, d):
+    path = _folder(spark, "gzip-lines")
+    sinks.jsonl(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text"), path, 300)
+    return readers.documents_strict(spark, path).select(F.get_json_object("value", "$.id").alias("id"), F.sha2("text", 256).alias("text"))
+
+
+@query("SELECT doc_id::VARCHAR AS id, sha256(text) AS text, source FROM documents")
+def zstandard_lines(spark, d):
+    path = _folder(spark, "zstandard-lines")
+    sinks.jsonl_zstd(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", "source"), path, docs_per_shard=300)
+    return readers.mixed(spark, path).select("id", F.sha2("text", 256).alias("text"), "source")
+
+
+@query("SELECT doc_id, coalesce(nullif(lang, 'fr'), 'unknown') AS dump FROM documents WHERE n_chars > 1000")
+def hive_partitions(spark, d):
+    path = _folder(spark, "hive-partitions")
+    own = table(spark, d, "documents").select("doc_id", "n_chars", F.when(F.col("lang") != "fr", F.col("lang")).alias("dump"))
+    sinks.parquet_by(own, path)
+    return readers.select_parquet(spark, path, "n_chars > 1000", ["doc_id", "dump"])
+
+
+@query(f"WITH {BYTES}, s AS (SELECT *, unnest(range((len(h) // 2 + 8191) // 8192)) AS shard FROM h) SELECT source, printf('shard-%05d.u32le.bin', shard) AS name, length(substr(h, 1 + shard * 16384, 16384)) // 2 AS n_tokens FROM s")
+def token_file_counts(spark, d):
+    path = _folder(spark, "token-files")
+    docs = packing.tokenised(table(spark, d, "documents").select("source", "doc_id", "text"))
+    sinks.token_files(sinks.token_shards(docs, "ids", ["doc_id"], 8192, None, ["source"]), path, ["source"])
+    out = readers.token_counts(spark, path + "/*/*.bin")
+    parts = F.split("path", "/")
+    return out.select(F.element_at(parts, -2).alias("source"), F.element_at(parts, -1).alias("name"), "n_tokens")
+
+
+@query("WITH n AS (SELECT doc_id, strlen('{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\"}') + 1 AS n FROM documents), c AS (SELECT doc_id, sum(n) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - n AS excl FROM n) SELECT doc_id, (excl // 500)::INTEGER AS shard FROM c")
+def capped_shards(spark, d):
+    return sinks.size_capped(table(spark, d, "documents").select("doc_id", "lang"), ["doc_id"], 500).select("doc_id", "shard")
+
+
+@query("WITH b AS (SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi, (max(o_orderkey) - min(o_orderkey) + 7) // 7 AS step FROM orders), r AS (SELECT unnest(range(7)) AS part, lo, hi, step FROM b) SELECT part::INTEGER AS part, lo + part * step AS lo, least(hi + 1, lo + part * step + step) AS hi FROM r WHERE lo + part * step <= hi")
+def order_key_ranges(spark, d):
+    low, high = table(spark, d, "orders").agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    return readers.key_ranges(spark, low, high, 7)
+
+
+@query("WITH l AS (SELECT user_id, event_id, CASE WHEN event_id % 4 = 0 THEN event_id END AS head, value FROM events), c AS (SELECT *, last_value(head IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS step FROM l) SELECT user_id::VARCHAR AS path, step, 'eval/loss' AS key, value FROM c WHERE head IS NULL AND step IS NOT NULL AND event_id % 4 <> 3")
+def log_values(spark, d):
+    i = F.col("event_id")
+    line = F.when(i % 4 == 0, F.concat(F.lit("[eval] step="), i, F.lit(" of 9"))).when(i % 4 == 3, "no value here").otherwise(F.concat(F.lit("  eval/loss: "), F.format_string("%.2f", F.col("value"))))
+    return readers.log_points(table(spark, d, "events").select(F.col("user_id").cast("string").alias("path"), i.alias("line_index"), line.alias("value")))
+
+
+@query("SELECT '[' || string_agg('{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || '}', ',' ORDER BY n_nationkey) || ']' AS json FROM nation")
+def canonical_manifest(spark, d):
+    return sinks.manifest(table(spark, d, "nation").select("n_nationkey", "n_name"), ["n_nationkey"])
+
+
+@query("SELECT r_regionkey::VARCHAR AS r_regionkey, r_name FROM region")
+def csv_report(spark, d):
+    path = _folder(spark, "csv-report")
+    sinks.csv(table(spark, d, "region").select("r_regionkey", "r_name"), path)
+    return spark.read.option("header", "true").csv(path)
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def pending_keys(spark, d):
+    return streams.pending(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").where("quality = 1"), "doc_id")
+
+
+@query("SELECT l_orderkey, round(sum(l_discount * 30) / sum(l_quantity), 6) AS avg_nll, round(exp(sum(l_discount * 30) / sum(l_quantity)), 6) AS perplexity FROM lineitem GROUP BY l_orderkey")
+def order_perplexities(spark, d):
+    own = table(spark, d, "lineitem").withColumn("loss", F.col("l_discount") * 30)
+    return ag.nll(own, ["l_orderkey"], "loss", "l_quantity").select("l_orderkey", r6("avg_nll").alias("avg_nll"), r6("perplexity").alias("perplexity"))
+
+
+@query("SELECT e.user_id, round(l.v - e.v, 6) AS learnability FROM (SELECT user_id, sum(value) / count(*) AS v FROM events WHERE event_id % 2 = 0 GROUP BY user_id) e JOIN (SELECT user_id, sum(value) / count(*) AS v FROM events WHERE event_id % 2 = 1 GROUP BY user_id) l USING (user_id)")
+def learnabilities(spark, d):
+    ev = table(spark, d, "events").withColumn("n", F.lit(1))
+    early, late = (ag.nll(ev.where(F.col("event_id") % 2 == k), ["user_id"], "value", "n") for k in (0, 1))
+    return ag.learnability(early, late, "user_id").select("user_id", r6("learnability").alias("learnability"))
+
+
+@query("SELECT count(*) AS n_docs, sum(strlen(text))::BIGINT AS n_tokens, round(avg(n_chars % 5), 6) AS avg_facts, count(*) FILTER (n_chars % 5 = 0) AS n_without_facts FROM documents")
+def fact_report(spark, d):
+    own = documents(spark, d).withColumn("n_facts", F.col("n_chars") % 5)
+    return ag.quality_report(own, "tok", "n_facts").select("n_docs", "n_tokens", r6("avg_facts").alias("avg_facts"), "n_without_facts")
+
+
+@query("SELECT source, sum(strlen(text))::BIGINT AS n_tokens, (sum(strlen(text)) % 512)::BIGINT AS n_dropped FROM documents GROUP BY source")
+def dropped_tails(spark, d):
+    own = documents(spark, d)
+    return packing.dropped_tail(own, "tok", 512, ["source"]).join(own.groupBy("source").agg(F.sum("tok").alias("n_tokens")), "source").select("source", "n_tokens", "n_dropped")
+
+
+@query(f"WITH {MIXTURES}, r AS (SELECT mix_id, domain, round(weight * 1000) AS n FROM m) SELECT mix_id, domain, round(n / sum(n) OVER (PARTITION BY mix_id), 6) AS realised FROM r")
+def realised_weights(spark, d):
+    own = mixtures(spark, d).withColumn("n_sequences", F.round(F.col("weight") * 1000))
+    return mixing.realised(own, ["mix_id"]).select("mix_id", "domain", r6("realised").alias("realised"))
+
+
+@query(f"WITH {MIXTURES}, a AS (SELECT l_returnflag || l_linestatus AS domain, sum(l_quantity) AS available FROM lineitem GROUP BY 1) SELECT mix_id, string_agg(domain, ',' ORDER BY domain) AS short FROM m JOIN a USING (domain) WHERE weight * 2000000 > available GROUP BY mix_id")
+def failing_mixtures(spark, d):
+    available = table(spark, d, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("domain")).agg(F.sum("l_quantity").alias("available"))
+    return ag.failing_mixtures(mixtures(spark, d), available, 2_000_000).select("mix_id", F.array_join("short", ",").alias("short"))
+
+
+@query("SELECT CASE WHEN k = 0 THEN 'a' ELSE 'b' END AS family, round(2 + exp(least(60, sum(t * w))), 6) AS loss FROM (SELECT unnest([0, 1]) AS k), (SELECT event_type, avg(value) / 100 AS w, count(*) AS n FROM events GROUP BY event_type), LATERAL (SELECT (k + 1) * len(event_type) / 10 AS t) GROUP BY k")
+def predicted_losses(spark, d):
+    weights = table(spark, d, "events").groupBy(F.col("event_type").alias("domain")).agg((F.avg("value") / 100).alias("weight"))
+    fit = weights.select("domain", F.explode(F.array(F.struct(F.lit("a").alias("family"), F.lit(1).alias("k1")), F.struct(F.lit("b").alias("family"), F.lit(2).alias("k1")))).alias("x"))
+    fit = fit.select("domain", "x.family", F.lit(2.0).alias("c"), F.lit(1.0).alias("k"), (F.col("x.k1") * F.length("domain") / 10).alias("t"))
+    return mixing.predicted_loss(fit, weights).select("family", r6("loss").alias("loss"))

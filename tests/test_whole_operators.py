@@ -154,3 +154,23 @@ def test_epochs_have_no_end_and_logs_only_grow(spark, tmp_path):
     with pytest.raises(streams.CounterError):
         streams.log_metrics(rows(("n", 1, 1), ("n", 1, 1)), log)
     assert spark.read.json(log).count() == 4
+
+
+def test_listings_curves_and_fixtures(spark, tmp_path):
+    for name, text in (("data/web/1.jsonl", "{}"), ("data/web/2.parquet", "xyz"), ("data/code/1.json.gz", "1"), ("data/code/readme.md", "no")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    got = [(r.path.rsplit("/", 1)[-1], r["size"], r.domain) for r in readers.shard_listing(spark, str(tmp_path / "data")).collect()]
+    assert got == [("1.json.gz", 1, "code"), ("1.jsonl", 2, "web"), ("2.parquet", 3, "web")]
+    run = tmp_path / "runs" / "r7" / "eval"
+    run.mkdir(parents=True)
+    rows = [{"step": 5, "task_loss_bpb": {"arc": 1.0}}, {"step": 10, "task_loss_bpb": {"arc": 0.9, "mmlu": 2.0}}, {"step": 10, "task_loss_bpb": {"arc": 0.8}}, {"other": 1}]
+    (run / "curve.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    assert {tuple(r) for r in readers.curves(spark, str(tmp_path / "runs")).collect()} == {("r7", 5, "arc", 1.0), ("r7", 10, "arc", 0.8)}
+    assert [r.run_name for r in readers.missing_runs(spark.createDataFrame([("r7",), ("r8",)], "run_name string"), readers.curves(spark, str(tmp_path / "runs"))).collect()] == ["r8"]
+    (tmp_path / "fixture.json").write_text('{"a": 1, "_config": "x"}\n{"a": 2}')
+    assert [(r.a, r.config) for r in readers.fixtures(spark, str(tmp_path / "fixture.json")).orderBy("a").collect()] == [(1, "x"), (2, None)]
+    (tmp_path / "parts").mkdir()
+    (tmp_path / "parts" / "a.jsonl").write_text("x" * 2000 + "\n")
+    (tmp_path / "parts" / "b.jsonl").write_text("small\n")
+    assert readers.snapshots(spark, str(tmp_path / "parts")).count() == 1
