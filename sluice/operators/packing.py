@@ -123,13 +123,14 @@ def rebuilt_lengths(docs: DataFrame, packed_counts: DataFrame, by: str = "domain
 
 
 def byte_stream(docs: DataFrame, by: str, order: list[str], text: str = "text", shard_tokens: int = 1 << 30) -> DataFrame:
-    """Layout of newline-ended documents as bytes in shards that are closed once full, two newlines between documents within one.
+    """The documents with n_bytes (with their newline), shard, and n_separators: the newlines between them and the one before.
 
-    The shard is that of the running sum of lengths with separators, as long as no document is longer than a shard.
+    Shards are closed before a document that would overflow them; one longer than a shard has a shard of its own.
     """
-    n = F.octet_length(F.regexp_replace(text, r"\n*\z", "")) + 1
-    run = accumulated(docs.withColumn("n_bytes", n), order, F.col("n_bytes") + 2, [by])
-    return run.withColumn("shard", F.floor(F.col("excl") / (shard_tokens + 2)).cast("int")).withColumn("n_separators", F.when(F.floor(F.col("excl") / (shard_tokens + 2)) == F.floor(F.lag("excl", 1, -1).over(Window.partitionBy(by).orderBy(*order)) / (shard_tokens + 2)), 2).otherwise(0)).drop("rn", "incl", "excl", "total")
+    from sluice.sources.sinks import rotated
+
+    place = rotated(docs, order, by, text, shard_tokens).withColumnRenamed("n", "n_bytes")
+    return docs.join(place, [by, *order]).withColumn("n_separators", F.when(F.col("nth") > 0, 2).otherwise(0)).drop("nth")
 
 
 def one_epoch(shards: DataFrame, seq_len: int, needed: int | None = None, tokens: str = "n_tokens") -> DataFrame:

@@ -153,9 +153,9 @@ def rotated(docs: DataFrame, order: list[str], by: str, text: str = "text", shar
 
 
 def byte_shards(docs: DataFrame, order: list[str], by: str, text: str = "text", shard_tokens: int = 1 << 30) -> DataFrame:
-    """(by, shard, n_docs, n_bytes) of the shards that `rotated` makes."""
+    """(by, shard, n_docs, n_bytes) of the shards that `rotated` makes, in order."""
     out = rotated(docs, order, by, text, shard_tokens).groupBy(by, "shard")
-    return out.agg(F.count("*").alias("n_docs"), (F.sum("n") + 2 * F.count("*") - 2).alias("n_bytes"))
+    return out.agg(F.count("*").alias("n_docs"), (F.sum("n") + 2 * F.count("*") - 2).alias("n_bytes")).orderBy(by, "shard")
 
 
 def byte_shard_contents(docs: DataFrame, order: list[str], by: str, text: str = "text", shard_tokens: int = 1 << 30) -> DataFrame:
