@@ -59,16 +59,21 @@ def fill_budget(df: DataFrame, tokens: str, budget: Column | float, order: list,
 def trim_budget(df: DataFrame, tokens: str, budget: int, order: list[str], by: list[str]) -> DataFrame:
     """All documents until floor(.98 budget); from there those are skipped that would go beyond floor(1.02 budget).
 
-    The head is a running sum. Only what comes behind it is folded, in batches of sorted rows in a task for each
-    group, and the fold ends as soon as the budget is reached.
+    The head is a running sum. What comes behind it is folded row by row, in a task for each group. As long as the budget
+    isn't reached, every document of at most 1.02 - 1 budgets is taken; so the fold gets no rows from where these alone
+    have reached it.
     """
     low, high = int(budget * 0.98), int(budget * 1.02)
+    names = df.columns
     run = accumulated(df, order, tokens, by)
     head = run.where(F.col("excl") < low)
     base = head.groupBy(*by).agg(F.sum(tokens).alias("_kept"))
+    kept = F.coalesce("_kept", F.lit(0))
     # a document of n tokens can only be kept while n <= high - kept, and kept is at least the head's sum
-    tail = run.where(F.col("excl") >= low).join(base, by, "left").where((F.coalesce("_kept", F.lit(0)) < budget) & (F.col(tokens) + F.coalesce("_kept", F.lit(0)) <= high))
-    names = run.columns
+    tail = run.where(F.col("excl") >= low).join(base, by, "left").where((kept < budget) & (F.col(tokens) + kept <= high))
+    sure = F.when(F.col(tokens) <= high - budget, F.col(tokens)).otherwise(0)
+    tail = accumulated(tail.select(*names, kept.alias("_kept"), F.col("rn").alias("_rn"), sure.alias("_sure")), ["_rn"], "_sure", by)
+    tail = tail.where(F.col("excl") < budget - F.col("_kept")).select(*names, "_kept", "_rn")
     n_at, k_at, by_at = names.index(tokens), len(names), [names.index(b) for b in by]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,15 +83,14 @@ def trim_budget(df: DataFrame, tokens: str, budget: int, order: list[str], by: l
             for row in pdf.itertuples(index=False, name=None):
                 own = tuple(row[i] for i in by_at)
                 if own != group:
-                    group, kept = own, int(row[k_at] or 0)
+                    group, kept = own, int(row[k_at])
                 ok = kept < budget and kept + row[n_at] <= high
                 kept += row[n_at] if ok else 0
                 take.append(ok)
             yield pdf[take][names]
 
-    tail = tail.select(*names, "_kept").repartition(*by).sortWithinPartitions(*by, "rn")
-    rest = tail.mapInPandas(fold, run.schema)
-    return head.unionByName(rest).drop("rn", "incl", "excl", "total")
+    rest = tail.repartition(*by).sortWithinPartitions(*by, "_rn").mapInPandas(fold, df.schema)
+    return head.select(*names).unionByName(rest)
 
 
 def upsample_budget(df: DataFrame, tokens: str, budget: int, key: str, by: list[str], cycles: int, seed: int = 42) -> DataFrame:
