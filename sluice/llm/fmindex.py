@@ -36,15 +36,17 @@ class Wavelet:
 
     def __init__(self, symbols: np.ndarray, bits: int):
         self.bits, self.words, self.counts, self.zeros = bits, [], [], []
-        s = symbols
+        s = symbols.astype(np.int32)
         for b in range(bits - 1, -1, -1):
-            bit = (s >> b) & 1
-            packed = np.packbits(np.append(bit, np.zeros(64 + (-len(bit)) % 64, np.int64)).astype(np.uint8), bitorder="little").view(np.uint64)
+            bit = np.zeros(len(s) + 64 + (-len(s)) % 64, bool)
+            bit[: len(s)] = (s >> b) & 1
+            packed = np.packbits(bit, bitorder="little").view(np.uint64)
+            bit = bit[: len(s)]
             ones = np.bitwise_count(packed).astype(np.int64)
             self.words.append(packed)
             self.counts.append((np.cumsum(ones) - ones).astype(np.int32))
             self.zeros.append(int(len(bit) - bit.sum()))
-            s = np.concatenate([s[bit == 0], s[bit == 1]])
+            s = np.concatenate([s[~bit], s[bit]])
         self.base = self._down(np.arange(1 << bits), np.zeros(1 << bits, np.int64)) if bits <= 20 else None
 
     def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -62,23 +64,32 @@ class Wavelet:
 
 
 class FMIndex:
-    """Backward search over segments laid end to end with separators; each occurrence counts its segment's weight."""
+    """Backward search over segments laid end to end with separators; each occurrence counts its segment's weight.
+
+    Symbols and positions are 32 bits, and little else of the text's length lives at a time: an index takes some 40 bytes
+    a word while it is built.
+    """
 
     def __init__(self, symbols: np.ndarray, weights: np.ndarray, depth: int):
         n = len(symbols)
-        _, rank = np.unique(symbols, return_inverse=True)
+        rank = symbols.astype(np.int32)
         width = 1
         while width < depth:  # suffixes by their first `width` symbols, then twice as many
-            key = rank.astype(np.int64) * (n + 1)
+            key = rank * np.int64(n + 1)
             key[: n - width] += rank[width:] + 1
-            order = np.argsort(key, kind="stable")
-            new = np.append(0, np.cumsum(key[order][1:] != key[order][:-1]))
-            rank = np.empty(n, np.int64)
+            order = np.argsort(key, kind="stable").astype(np.int32)
+            key = key[order]
+            new = np.zeros(n, np.int32)
+            np.cumsum(key[1:] != key[:-1], out=new[1:])
+            del key
+            rank = np.empty(n, np.int32)
             rank[order] = new
             width *= 2
             if new[-1] == n - 1:
                 break
-        suffixes = np.argsort(rank, kind="stable")
+        del order, new
+        suffixes = np.argsort(rank, kind="stable").astype(np.int32)
+        del rank
         self.n = n
         self.total = np.append(0, np.cumsum(weights[suffixes]))
         count = np.bincount(symbols)
@@ -295,22 +306,35 @@ def _searched(segments: DataFrame, window: int, k: int) -> DataFrame:
     """(seg, flags): a bit for each window of each different segment, out of its shard's index."""
     depth = 1 << (2 * window - 1 - k).bit_length()
 
-    def run(shard: pa.Table) -> pa.Table:
-        seg = _fixed16(shard["seg"])
-        ids, first, group = np.unique(seg, return_index=True, return_inverse=True)
-        n = np.bincount(group, shard["n"].to_numpy()).astype(np.int64)
-        parts = [np.frombuffer(x.as_py(), np.uint64) for x in shard["words"].take(pa.array(first))]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place: dict[bytes, int] = {}
+        n, parts = [], []  # of each different segment; its words are kept once, whatever number of batches has them
+        for batch in batches:
+            seg = _fixed16(batch.column(1))
+            ids, first, group = np.unique(seg, return_index=True, return_inverse=True)
+            again = np.bincount(group, batch.column(2).to_numpy()).astype(np.int64).tolist()
+            for key, at, times in zip((x.ljust(16, b"\0") for x in ids.tolist()), first.tolist(), again, strict=True):
+                if (i := place.setdefault(key, len(n))) < len(n):
+                    n[i] += times
+                else:
+                    n.append(times)
+                    parts.append(np.frombuffer(batch.column(3)[at].as_py(), np.uint64))
         size = np.array([len(x) for x in parts])
-        _, symbol = np.unique(np.concatenate(parts), return_inverse=True)
+        words = np.concatenate(parts)
+        del parts
+        symbol = np.unique(words, return_inverse=True)[1].astype(np.int32)
+        del words
         start = np.cumsum(size + 1) - size - 1
-        text = np.ones(int((size + 1).sum()) + 1, np.int64)  # 1 separates, 0 ends
+        text = np.ones(int((size + 1).sum()) + 1, np.int32)  # 1 separates, 0 ends
         text[-1] = 0
         text[ranges(start, size)] = symbol + 2
-        weight = np.append(np.repeat(n, size + 1), 0)
+        del symbol
+        weight = np.append(np.repeat(np.array(n), size + 1), 0)
         index = FMIndex(text, weight, depth)
+        del weight
         flags = repeated_windows(index, text, start, size, window)
         cut = np.append(0, np.cumsum(size - window + 1)).tolist()
-        return pa.table({"seg": _binary16(ids), "flags": pa.array([np.packbits(flags[a:b]).tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())})
+        yield pa.RecordBatch.from_arrays([pa.array(list(place), pa.binary()), pa.array([np.packbits(flags[a:b]).tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], ["seg", "flags"])
 
     return segments.where("words is not null").select("shard", "seg", "n", "words").groupBy("shard").applyInArrow(run, "seg binary, flags binary")
 
