@@ -91,6 +91,31 @@ def test_secrets(spark, sf_dir):
     secret_scan.fit(empty(spark))
 
 
+def test_markov_spans_by_hand(spark):
+    rows = secret_scan.samples(["house", "garden"], 300)
+    detector, rnd = secret_scan.trained(rows), random.Random(21)
+    n = len(secret_scan.ALPHABET)
+
+    def chances(texts):
+        first, step = collections.Counter(t[0] for t in texts), collections.Counter(p for t in texts for p in zip(t, t[1:], strict=False))
+        before = collections.Counter(a for t in texts for a in t[:-1])
+        return lambda s: (np.log((first[s[0]] + 0.5) / (len(texts) + 0.5 * n)) + sum(np.log((step[p] + 0.5) / (before[p[0]] + 0.5 * n)) for p in zip(s, s[1:], strict=False))) / len(s)
+
+    random_of, ordinary_of = chances([s for s, y in rows if y]), chances([s for s, y in rows if not y])
+    tokens = [s for s, _ in secret_scan.samples([], 40, seed=8)] + ["short", "secret=abcdefgh", "0123456789abcdef" * 2, "AKIA" + "Z" * 20, "é" * 30]
+    texts = ["", *[" ".join(rnd.choice(tokens) + rnd.choice(["", "==", ".", "é"]) for _ in range(8)) for _ in range(60)]]
+    got = {r.doc_id: r.spans for r in secret_scan.found(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), detector).collect()}
+    hits = 0
+    for i, t in enumerate(texts):
+        base, more = plain_scan(t), []
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}", t):
+            if all(b <= m.start() or m.end() <= a for a, _, b in base) and random_of(m[0]) - ordinary_of(m[0]) > detector.threshold:
+                more.append((m.start(), 3, m.end()))
+        hits += len(more)
+        assert got[i] == secret_scan.spelled(sorted(base + more))
+    assert hits > 50
+
+
 # --- 2, 5 classifiers ---
 
 
