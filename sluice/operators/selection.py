@@ -67,10 +67,11 @@ def trim_budget(df: DataFrame, tokens: str, budget: int, order: list[str], by: l
     names = df.columns
     run = accumulated(df, order, tokens, by)
     head = run.where(F.col("excl") < low)
-    base = head.groupBy(*by).agg(F.sum(tokens).alias("_kept"))
+    base = head.groupBy(*by).agg(F.sum(tokens).alias("_kept")).withColumnsRenamed({b: f"_b_{b}" for b in by})
+    same = reduce(lambda x, b: x & F.col(b).eqNullSafe(F.col(f"_b_{b}")), by, F.lit(True))  # a null is a group like any other
     kept = F.coalesce("_kept", F.lit(0))
     # a document of n tokens can only be kept while n <= high - kept, and kept is at least the head's sum
-    tail = run.where(F.col("excl") >= low).join(base, by, "left").where((kept < budget) & (F.col(tokens) + kept <= high))
+    tail = run.where(F.col("excl") >= low).join(base, same, "left").where((kept < budget) & (F.col(tokens) + kept <= high))
     sure = F.when(F.col(tokens) <= high - budget, F.col(tokens)).otherwise(0)
     tail = accumulated(tail.select(*names, kept.alias("_kept"), F.col("rn").alias("_rn"), sure.alias("_sure")), ["_rn"], "_sure", by)
     tail = tail.where(F.col("excl") < budget - F.col("_kept")).select(*names, "_kept", "_rn")

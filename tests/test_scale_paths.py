@@ -207,3 +207,18 @@ def test_fitting_takes_the_first_that_fits():
             left.remove(fits[0])
             got += sizes[fits[0]]
         assert selection._fitting(np.array(sizes), target) == want
+
+
+def test_trimming_by_definition(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choice(["a", "b", None]), i, rnd.choice([1, 2, 5, 40, 90])) for i in range(300)]
+    want = []
+    for g in ("a", "b", None):
+        kept = 0
+        for r in rows:
+            if r[0] == g and (kept < 980 or (kept < 1000 and kept + r[2] <= 1020)):
+                want.append(r[1])
+                kept += r[2]
+    df = spark.createDataFrame(rows, "g string, k int, n int").repartition(3)
+    got = selection.trim_budget(df, "n", 1000, ["k"], ["g"])
+    assert sorted(r.k for r in got.collect()) == sorted(want) and got.columns == df.columns
