@@ -88,7 +88,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     return own.join(F.broadcast(chosen), "doc_id")
 
 
-def bounded(features: DataFrame, sizes: list[str], limit_bytes: int) -> list[dict]:
+def bounded(features: DataFrame, sizes: list[str], limit_bytes: int) -> pa.Table:
     """The rows of a labelled sample's features, one for each doc_id, in the order of ids, of at most `limit_bytes` together.
 
     Rows are taken by the hash of their ids as long as they fit; one that doesn't is left out. Only their sizes come to
@@ -105,7 +105,16 @@ def bounded(features: DataFrame, sizes: list[str], limit_bytes: int) -> list[dic
             chosen.append(i)
     if len(chosen) < len(at["n"]):
         one = one.join(F.broadcast(features.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")), "doc_id")
-    return one.toArrow().sort_by("doc_id").to_pylist()
+    return one.toArrow().combine_chunks().sort_by("doc_id").combine_chunks()
+
+
+def slices(col: pa.ChunkedArray, dtype) -> list[np.ndarray]:
+    """Each binary value as an array of `dtype`; views of the column's buffer, no copies."""
+    if not len(col):
+        return []
+    raw, offsets = buffers(as_array(col))
+    whole, cut = raw.view(dtype), (offsets // np.dtype(dtype).itemsize).tolist()
+    return [whole[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
 
 def as_array(col: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -144,6 +153,10 @@ def packed(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     return docs.select(*keys, text).mapInArrow(run, f"{kinds}, z binary")
 
 
+def unpacked_one(z: bytes) -> bytes:
+    return pa.decompress(z[8:], int.from_bytes(z[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _sizes(col: pa.Array) -> np.ndarray:
     """Bytes of each compressed text when unpacked."""
     raw, offsets = buffers(col)

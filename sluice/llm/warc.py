@@ -34,14 +34,14 @@ ROLL, PIECE = 8 << 20, 1 << 18
 
 
 def typed(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
-    """(page_id, url, payload, sha1, type, refers_to): which rows carry their payload and which refer to another's."""
+    """(page_id, url, z, sha1, type, refers_to): which rows carry their payload (compressed, z) and which refer to another's."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
     # copies meet within tasks before the shuffle, and only digests that repeat go on
     keeper = rows.where(F.octet_length("payload") >= min_bytes).groupBy("sha1").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
-    return rows.join(keeper, "sha1", "left").select(
-        "page_id", "url", "payload", "sha1", F.when(again, "revisit").otherwise("response").alias("type"), F.when(again, F.col("keeper")).alias("refers_to")
+    return common.packed(rows, ["page_id", "url", "sha1"], "payload").join(keeper, "sha1", "left").select(
+        "page_id", "url", "z", "sha1", F.when(again, "revisit").otherwise("response").alias("type"), F.when(again, F.col("keeper")).alias("refers_to")
     )
 
 
@@ -81,8 +81,9 @@ def archived(rows: DataFrame, level: int = 3, roll: int = ROLL) -> DataFrame:
         for batch in batches:
             cols = [batch.column(i) for i in range(6)]
             for i in range(batch.num_rows):
-                page, url, payload, sha1, kind, to = (c[i].as_py() for c in cols)
-                out.append(z.compress(record(page, url, payload.encode(), sha1, kind, to)))
+                page, url, packed, sha1, kind, to = (c[i].as_py() for c in cols)
+                payload = common.unpacked_one(packed)
+                out.append(z.compress(record(page, url, payload, sha1, kind, to)))
                 size += len(payload)
                 if size >= roll:
                     yield done()
@@ -90,7 +91,7 @@ def archived(rows: DataFrame, level: int = 3, roll: int = ROLL) -> DataFrame:
         if out:
             yield done()
 
-    return rows.select("page_id", "url", "payload", "sha1", "type", "refers_to").mapInArrow(run, "archive string, content binary")
+    return rows.select("page_id", "url", "z", "sha1", "type", "refers_to").mapInArrow(run, "archive string, content binary")
 
 
 def inflated(content: bytes, piece: int = PIECE) -> Iterator[bytes]:
