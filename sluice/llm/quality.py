@@ -113,8 +113,11 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = 6000, bits: int = 18, l
 
     sample = common.labelled_sample(docs, labels, "quality", limit)
     got = common.bounded(sample.mapInArrow(run, "doc_id long, label int, i binary, x binary"), ["i", "x"], limit_bytes)
-    rows = [(r["label"], np.frombuffer(r["i"], np.int32), np.frombuffer(r["x"], np.float32).astype(float)) for r in got]
-    return ftrl(rows, bits)
+    # the driver holds the features once, in Arrow's buffers, and gives these back
+    model = ftrl(list(zip(got["label"].to_pylist(), common.slices(got["i"], np.int32), common.slices(got["x"], np.float32), strict=True)), bits)
+    del got
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
