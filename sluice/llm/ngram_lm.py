@@ -38,9 +38,9 @@ from . import common, wordhash
 from .wordhash import U
 
 #: Bytes of text of a run, n-grams of a part, steps of a unit of log10.
-RUN_BYTES, PART_KEYS, STEPS = 1 << 23, 1 << 22, 2048
+RUN_BYTES, PART_KEYS, STEPS = 1 << 24, 1 << 22, 2048
 #: Prior weights of orders 2, 3, ...
-PRIORS = (30.0, 10.0)
+PRIORS = (300.0, 10.0)
 END = U(0x2545F4914F6CDD1D)
 RUN = "run long, n_tokens long, n_trained long, ids binary, nulls binary, held binary, trained binary, first binary, words binary, codes binary"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -61,19 +61,15 @@ def restored(z, dtype) -> np.ndarray:
 
 # --- Elias-Fano ---
 
-_POP = np.array([bin(b).count("1") for b in range(256)], np.uint8)
-#: Place of the k-th set bit of a byte.
-_NTH = np.array([[([i for i in range(8) if b >> i & 1] + [0] * 8)[k] for k in range(8)] for b in range(256)], np.uint8)
-
-
 def _nth_bit(words: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Place of the k-th (from 0) set bit of each 64-bit word."""
-    octets = np.ascontiguousarray(words).view(np.uint8).reshape(len(words), 8)
-    upto = np.cumsum(_POP[octets], axis=1, dtype=np.uint8)
-    which = (upto <= k[:, None]).sum(1)
-    at = np.arange(len(words))
-    before = np.where(which > 0, upto[at, which - 1], 0)
-    return 8 * which + _NTH[octets[at, which], k - before]
+    """Place of the k-th (from 0) set bit of each 64-bit word: halves the word six times."""
+    place, k = np.zeros(len(words), np.int64), k.astype(np.int64)
+    for width in (32, 16, 8, 4, 2, 1):
+        ones = np.bitwise_count((words >> place.astype(np.uint64)) & U((1 << width) - 1))
+        right = ones <= k
+        k = k - np.where(right, ones, 0)
+        place += np.where(right, width, 0)
+    return place
 
 
 class EliasFano:
@@ -87,50 +83,56 @@ class EliasFano:
     def of(cls, values: np.ndarray) -> EliasFano:
         n, top = len(values), int(values[-1]) + 1 if len(values) else 1
         bits = max(0, (top // max(1, n)).bit_length() - 1)
-        v = values.astype(np.uint64)
-        low = np.zeros((n * bits + 127) // 64, np.uint64)
-        if bits:
-            at = np.arange(n, dtype=np.uint64) * U(bits)
-            part = v & U((1 << bits) - 1)
-            np.bitwise_or.at(low, at >> U(6), part << (at & U(63)))
-            over = (at & U(63)) + U(bits) > U(64)
-            np.bitwise_or.at(low, (at[over] >> U(6)) + U(1), part[over] >> (U(64) - (at[over] & U(63))))
-        place = (v >> U(bits)).astype(np.int64) + np.arange(n)
+        flags = np.zeros((n * bits + 127) // 64 * 64, np.uint8)
+        for b in range(bits):
+            flags[b : n * bits : bits] = (values >> b) & 1
+        low = np.packbits(flags, bitorder="little").view(np.uint64)
+        place = (values >> bits) + np.arange(n)
         flags = np.zeros(((int(place[-1]) + 2 if n else 1) + 63) // 64 * 64, np.uint8)
         flags[place] = 1
         high = np.packbits(flags, bitorder="little").view(np.uint64)
-        ones = np.append(0, np.cumsum(_POP[high.view(np.uint8)].reshape(-1, 8).sum(1)))[:-1]
+        ones = np.append(0, np.cumsum(np.bitwise_count(high), dtype=np.int64))[:-1]
         return cls(n, bits, low, high, ones.astype(np.uint32))
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
             return np.zeros(len(i), np.int64)
-        at = i.astype(np.uint64) * U(self.low_bits)
-        word, shift = (at >> U(6)).astype(np.int64), at & U(63)
+        at = i * self.low_bits
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
         got = self.low[word] >> shift
         got |= np.where(shift > U(0), self.low[word + 1] << ((U(64) - shift) & U(63)), U(0))
         return (got & U((1 << self.low_bits) - 1)).astype(np.int64)
 
     def at(self, i: np.ndarray) -> np.ndarray:
-        """The values at these places."""
-        word = np.searchsorted(self.ones, i, "right") - 1
+        """The values at these places; quickest if they rise."""
+        word = np.searchsorted(self.ones, i.astype(np.uint32), "right") - 1
         place = word * 64 + _nth_bit(self.high[word], i - self.ones[word])
         return ((place - i) << self.low_bits) | self._low(i)
 
-    def _bucket(self, h: np.ndarray) -> np.ndarray:
-        """How many values have high bits under h."""
+    def _bucket(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(how many values have high bits under h, how many have h or less)."""
         k = np.maximum(h - 1, 0)  # the zero that ends the bucket before
         word = np.searchsorted(self.zeros, k, "right") - 1
-        place = word * 64 + _nth_bit(~self.high[word], k - self.zeros[word])
-        return np.where(h == 0, 0, np.minimum(place - k, self.n))
-
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """Place of the first value that isn't less than x (n: none)."""
-        top = (len(self.high) * 64 - self.n - 1) if self.n else 0  # the last zero
-        h = np.minimum(x >> self.low_bits, max(0, top))
-        beyond = (x >> self.low_bits) > h
-        a, b = self._bucket(h), self._bucket(h + 1)
-        low = x & ((1 << self.low_bits) - 1)
+        place = np.where(h == 0, -1, word * 64 + _nth_bit(~self.high[word], k - self.zeros[word]))
+        begin = place + 1 - h
+        # the bucket's ones follow, up to the next zero
+        size, at = np.zeros(len(h), np.int64), place + 1
+        live = np.flatnonzero(at < len(self.high) * 64)
+        while len(live):
+            rest = ~(self.high[at[live] >> 6] >> (at[live] & 63).astype(np.uint64))
+            ones = np.bitwise_count((rest & (~rest + U(1))) - U(1)).astype(np.int64)
+            room = 64 - (at[live] & 63)
+            size[live] += np.minimum(ones, room)
+            at[live] += room
+            live = live[(ones >= room) & (at[live] < len(self.high) * 64)]
+        return begin, begin + size
+
+    def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the first value that isn't less than x (n: none), whether it is x)."""
+        high = x >> self.low_bits
+        h = np.minimum(high, len(self.high) * 64 - self.n - 1)  # the last zero
+        a, end = self._bucket(h)
+        low, b = x & ((1 << self.low_bits) - 1), end.copy()
         live = np.flatnonzero(a < b)
         while len(live):  # halves the bucket
             mid = (a[live] + b[live]) >> 1
@@ -138,7 +140,10 @@ class EliasFano:
             a[live[less]] = mid[less] + 1
             b[live[~less]] = mid[~less]
             live = live[a[live] < b[live]]
-        return np.where(beyond, self.n, a)
+        a[high > h] = self.n
+        same = a < end
+        same[same] = self._low(a[same]) == low[same]
+        return a, same
 
     def arrays(self) -> list[np.ndarray]:
         return [np.array([self.n, self.low_bits], np.int64), self.low, self.high, self.ones]
@@ -183,32 +188,32 @@ class Trie:
         return cls(out, n_words)
 
     def child(self, k: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Place in level k of each context's (places in level k - 1) child of that word, or -1."""
+        """Place in level k of each context's (places in level k - 1, rising) child of that word, or -1."""
         level = self.levels[k]
-        if not level.words.n:
+        if not level.words.n or not len(word):
             return np.full(len(word), -1)
-        a, b = level.heads.at(context), level.heads.at(context + 1)
+        new = np.ones(len(context), bool)
+        new[1:] = context[1:] != context[:-1]
+        each, size = context[new], np.diff(np.append(np.flatnonzero(new), len(context)))
+        a, b = level.heads.at(each), level.heads.at(each + 1)
         raised = np.where(a > 0, level.words.at(np.maximum(a - 1, 0)) + 1, 0)
-        at = level.words.successor(raised + word)
-        found = at < b
-        found[found] = level.words.at(at[found]) == (raised + word)[found]
-        return np.where(found, at, -1)
-
-    def walked(self, tokens: np.ndarray, nth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(steps, n-gram order used) of each token; nth is its place in its text."""
-        steps, used = self.levels[0].value[tokens].astype(np.int64), np.ones(len(tokens), np.int64)
-        behind = np.zeros(len(tokens), np.int64)  # for falling back from contexts longer than the one used
-        node = tokens.astype(np.int64)
+        at, same = level.words.successor(np.repeat(raised, size) + word)
+        return np.where(same & (at < np.repeat(b, size)), at, -1)
+
+    def costs(self, grams: list[Grams]) -> list[np.ndarray]:
+        """Of each order's n-grams: the probability's steps, from the trie or, by falling back, from the n-gram's end."""
+        place, out = np.arange(self.n_words), [self.levels[0].value.astype(np.int64)]
         for k in range(1, len(self.levels)):
-            own = np.flatnonzero(nth >= k)
-            own = own[node[own - 1] >= 0]  # the context has been seen
-            at = self.child(k, node[own - 1], tokens[own])
-            behind[own] += self.levels[k - 1].back[node[own - 1]]
-            there = own[at >= 0]
-            node = np.full(len(tokens), -1)
-            node[there] = at[at >= 0]
-            steps[there], used[there], behind[there] = self.levels[k].value[node[there]], k + 1, 0
-        return steps + behind, used
+            context, word = place[grams[k].context], grams[k].word
+            known = np.flatnonzero(context >= 0)
+            place = np.full(len(word), -1)
+            place[known] = self.child(k, context[known], word[known])
+            cost = out[-1][grams[k].suffix]
+            cost[known] += self.levels[k - 1].back[context[known]]
+            there = place >= 0
+            cost[there] = self.levels[k].value[place[there]]
+            out.append(cost)
+        return out
 
     def arrays(self) -> list[np.ndarray]:
         out = [np.array([self.n_words, len(self.levels)], np.int64)]
@@ -259,27 +264,42 @@ class Grams:
     word: np.ndarray
     key: np.ndarray
     trained: np.ndarray  # how often training texts of the run have it
+    tokens: np.ndarray  # the tokens with which one ends
+    at: np.ndarray  # which one that is
+
+
+def _different(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different values in order, place of each among them), by sorting value and place as one number if that fits."""
+    bits = max(1, len(x) - 1).bit_length()
+    if int(x.max(initial=0)) >> (63 - bits):
+        return np.unique(x, return_inverse=True)
+    both = np.sort((x << bits) | np.arange(len(x)))
+    value = both >> bits
+    new = np.ones(len(x), bool)
+    new[1:] = value[1:] != value[:-1]
+    inverse = np.empty(len(x), np.int64)
+    inverse[both & ((1 << bits) - 1)] = np.cumsum(new) - 1
+    return value[new], inverse
 
 
 def grams_of(words: np.ndarray, codes: np.ndarray, first: np.ndarray, trained: np.ndarray, order: int) -> list[Grams]:
     """The n-grams of orders 1 to `order`: words are hashes, codes their places, trained a flag for each text."""
     m, nth = len(words), np.arange(len(codes)) - np.repeat(first[:-1], np.diff(first))
     learnt = np.repeat(trained, np.diff(first))
-    key = lambda h, k: (wordhash.mix(h) & ~U(3)) | U(min(k, 3))  # noqa: E731  the last bits tell orders apart
-    every = np.arange(m)
-    out = [Grams(every, every, every, key(words + U(1), 1), np.bincount(codes, learnt, m).astype(np.int64))]
-    node, chain = codes.astype(np.int64), words
+    key = lambda h, k: (wordhash.mix(h + U(k)) & ~U(3)) | U(min(k, 3))  # noqa: E731  the last bits tell orders apart
+    every, node, chain = np.arange(m), codes.astype(np.int64), words
+    out = [Grams(every, every, every, key(words, 1), np.bincount(codes, learnt, m).astype(np.int64), np.arange(len(codes)), node)]
     for k in range(2, order + 1):
         own = np.flatnonzero(nth >= k - 1)
-        each, inverse = np.unique(node[own - 1] * m + codes[own], return_inverse=True)
-        context, word = each // m, each % m
+        each, at = _different(node[own - 1] * m + codes[own])
+        context, word = each // max(1, m), each % max(1, m)
         one = np.empty(len(each), np.int64)
-        one[inverse] = own  # any place that has the n-gram
+        one[at] = own  # any token at which it ends
         suffix = node[one]
         chain = wordhash.mix(chain[context] * U(0xD6E8FEB86659FD93) + words[word])
-        out.append(Grams(context, suffix, word, key(chain + U(k), k), np.bincount(inverse, learnt[own], len(each)).astype(np.int64)))
+        out.append(Grams(context, suffix, word, key(chain, k), np.bincount(at, learnt[own], len(each)).astype(np.int64), own, at))
         node = np.full(len(codes), -1)
-        node[own] = inverse
+        node[own] = at
     return out
 
 
@@ -300,7 +320,13 @@ def runs(docs: DataFrame, modulus: int = 7, held: int = 2, run_bytes: int = RUN_
                 of_words = np.ones(len(hashes), bool)
                 of_words[ends] = False
                 hashes[of_words], hashes[ends] = wordhash.span_hashes(low, start, end), END
-                words, codes = np.unique(hashes, return_inverse=True)
+                coded = pa.array(hashes).dictionary_encode()
+                words, codes = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+                # frequent words have small codes, which compress
+                by = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+                rank = np.empty(len(words), np.int32)
+                rank[by] = np.arange(len(words), dtype=np.int32)
+                words, codes = words[by], rank[codes]
                 ids = part.column(0)
                 fold = np.array([-1 if i is None else zlib.crc32(str(i).encode()) % modulus for i in ids.to_pylist()])
                 learnt = (fold >= 0) & (fold != held)
@@ -315,7 +341,7 @@ def runs(docs: DataFrame, modulus: int = 7, held: int = 2, run_bytes: int = RUN_
                     [learnt.tobytes()],
                     [squeezed(first)],
                     [words.tobytes()],
-                    [squeezed(codes.astype(np.int32))],
+                    [squeezed(codes)],
                 ]
                 at += 1
                 kinds = [pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 7]
@@ -354,12 +380,13 @@ def totals(of_runs: DataFrame, order: int, parts: int) -> DataFrame:
 
     def summed(group: pa.Table) -> pa.Table:
         keys = [np.cumsum(restored(x.as_buffer(), np.uint64)) for x in group["keys"]]
-        n = np.concatenate([restored(x.as_buffer(), np.int64) for x in group["n"]])
-        each, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        n = [restored(x.as_buffer(), np.int64) for x in group["n"]]
+        each = np.unique(np.concatenate(keys))
+        place = [np.searchsorted(each, x) for x in keys]
         own = np.zeros(len(each), np.int64)
-        np.add.at(own, inverse, n)
-        cut = np.append(0, np.cumsum([len(x) for x in keys]))
-        back = [squeezed(own[inverse[a:b]]) for a, b in zip(cut, cut[1:], strict=False)]
+        for at, x in zip(place, n, strict=True):
+            np.add.at(own, at, x)
+        back = [squeezed(own[at]) for at in place]
         n_words = np.zeros(len(back), np.int64)
         n_words[0] = int(((each & U(3) == U(1)) & (own > 0)).sum())  # each word is in one part
         return pa.table({"run": group["run"], "part": group["part"], "sums": pa.array(back, pa.binary()), "n_words": pa.array(n_words)})
@@ -401,7 +428,9 @@ def scored(docs: DataFrame, order: int = 3, priors: tuple[float, ...] = PRIORS,
         n[np.argsort(keys)] = np.concatenate([restored(x.as_buffer(), np.int64) for x in parts["sums"]])
         n = np.split(n, np.cumsum([len(g.key) for g in grams])[:-1])
         trie = Trie.opened(trie_of(grams, n, n_train, n_words, priors).buffer())
-        steps, _ = trie.walked(codes, np.arange(len(codes)) - np.repeat(first[:-1], np.diff(first)))
+        steps = np.empty(len(codes), np.int64)
+        for g, cost in zip(grams, trie.costs(grams), strict=True):
+            steps[g.tokens] = cost[g.at]  # the longest n-gram comes last
         at = first[:-1]  # every text has its end at least
         base = np.log10((n[0] + 1) / (n_train + n_words + 1))
         size = np.diff(first)
