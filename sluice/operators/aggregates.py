@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sluice.sources.storage import checkpointed
 
 from .filters import is_usable
-from .prefix import SINGLE_TASK_ROWS, accumulated, planned_bytes
+from .prefix import SINGLE_TASK_ROWS, accumulated, is_small
 
 
 def totals(df: DataFrame, tokens: str = "n_tokens") -> DataFrame:
@@ -24,7 +24,7 @@ def with_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], by: l
     Spark's exact percentile holds all different values of a group in one buffer. Beyond small inputs the two ranks at a
     quantile's place are looked up instead, in ranks that no single task has to make.
     """
-    if planned_bytes(df) <= 16 * single_task_rows:
+    if is_small(df, single_task_rows):
         return df.groupBy(*by).agg(*others, *[F.percentile(value, F.lit(q)).alias(k) for k, q in quantiles.items()])
     df = checkpointed(df)
     ranked = accumulated(df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v")), ["_v"], None, by, single_task_rows)

@@ -77,9 +77,16 @@ def with_lookup(docs: DataFrame, table: DataFrame, on: str, rules: list[tuple[st
 
 
 def zipped(left: DataFrame, right: DataFrame, by: str, left_order: list[str], right_order: list[str]) -> DataFrame:
-    """The k-th row of each group of one side with the k-th of the other; sides of different length leave nulls."""
+    """The k-th row of each group of one side with the k-th of the other; sides of different length leave nulls.
+
+    A null group is a group like any other.
+    """
     number = lambda df, order: accumulated(df, order, None, [by]).withColumn("ordinal", F.col("rn") - 1).drop("rn", "incl", "excl", "total")
-    return number(left, left_order).join(number(right, right_order), [by, "ordinal"], "full")
+    a, b = number(left, left_order), number(right, right_order).withColumnsRenamed({by: "_b_by", "ordinal": "_b_ordinal"})
+    both = a.join(b, F.col(by).eqNullSafe(F.col("_b_by")) & (F.col("ordinal") == F.col("_b_ordinal")), "full")
+    # which side has the row is told by its ordinal, as the group may be null
+    out = both.withColumn(by, F.when(F.col("ordinal").isNull(), F.col("_b_by")).otherwise(F.col(by))).withColumn("ordinal", F.coalesce("ordinal", "_b_ordinal"))
+    return out.select(by, "ordinal", *[c for c in a.columns if c not in (by, "ordinal")], *[c for c in b.columns if c not in ("_b_by", "_b_ordinal")])
 
 
 def to_do(manifest: DataFrame, done: DataFrame, failed: DataFrame | None = None, on: str = "path", order: str = "index") -> DataFrame:

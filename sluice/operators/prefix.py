@@ -1,6 +1,7 @@
 """Ranks and running sums, by group or over everything; the heart of budgets, bands, ranks and layouts.
 
-A window brings a group (or all rows) into one task. What the plan's statistics show to be small takes it. Anything
+A window brings a group (or all rows) into one task. What the plan's statistics show to be small takes it, unless the
+plan makes rows (by explode or Python, whose results statistics don't see) or starts from rows without any. Anything
 else is written once, and its largest group is counted from there; beyond `single_task_rows` rows two phases follow:
 rows are range-partitioned by group and order, each range sums its part of each group, these few sums are accumulated
 and joined back, and a window runs within each range. All ways give the same numbers.
@@ -8,6 +9,8 @@ and joined back, and a window runs within each range. All ways give the same num
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,14 +25,24 @@ def _named(order: list) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the result's size; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+#: What makes rows that statistics don't see, or has none of its own: a written result keeps those of the plan behind it.
+_UNSEEN = re.compile(r"\b(Generate|Expand|LogicalRDD|MapIn\w+|MapPartitions\w*|MapGroups|FlatMap\w*|CoGroup\w*|\w*PythonUDTF\w*|Sample)\b")
+
+
+def planned_bytes(df: DataFrame) -> int | None:
+    """The optimizer's estimate of the result's size, None if it can't see that; no job runs."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return None if _UNSEEN.search(plan.toString()) else int(str(plan.stats().sizeInBytes()))
+
+
+def is_small(df: DataFrame, rows: int) -> bool:
+    size = planned_bytes(df)
+    return size is not None and size <= 16 * rows
 
 
 def ranged(df: DataFrame, by: list[str], order: list[Column], single_task_rows: int = SINGLE_TASK_ROWS, ranges: int | None = None) -> tuple[DataFrame, bool]:
     """(rows, whether they have a _range): _range is there if a group is too large for one task."""
-    if planned_bytes(df) <= 16 * single_task_rows:
+    if is_small(df, single_task_rows):
         return df, False
     df = checkpointed(df)
     largest = df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0

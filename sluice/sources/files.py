@@ -1,19 +1,23 @@
 """A sink for files that Spark has no format for: one file for each row (name, content), committed by renaming.
 
-Tasks write below a folder of the job, by the file system that the path names (as pyarrow knows it); once all tasks are
-done, the files are moved to their names and `_SUCCESS` follows. A task that is run again writes to a folder of its own.
+Tasks write below a folder of the job, by the file system that the path names (as pyarrow knows it). Their names come
+back as rows, so a task that is run again, or twice at once, counts once. The commit is a second pass over these: names
+that stand twice are an error before anything moves, tasks rename the files in parallel, and `_SUCCESS` follows.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
-from pyspark.sql.types import StructType
+
+from .storage import checkpointed
+
+#: Files that a task of the commit renames, and bytes that a task copies at once.
+COMMIT_FILES, COPY_BYTES = 256, 1 << 24
 
 
 def file_system(path: str) -> tuple[object, str]:
@@ -25,65 +29,126 @@ def file_system(path: str) -> tuple[object, str]:
     return fs.LocalFileSystem(), path
 
 
-@dataclass
-class Written(WriterCommitMessage):
-    folder: str
-    names: list[str]
-
-
-class FileWriter(DataSourceWriter):
-    def __init__(self, path: str, schema: StructType):
-        self.path, self.at = path.rstrip("/"), [schema.names.index("name"), schema.names.index("content")]
-        self.job = f"_temporary-{uuid.uuid4().hex}"
-
-    def write(self, iterator: Iterator) -> Written:
-        fs, root = file_system(self.path)
-        folder, names = f"{self.job}/{uuid.uuid4().hex}", []
-        for row in iterator:
-            name, content = (row[i] for i in self.at)
-            target = f"{root}/{folder}/{name}"
-            fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
-            with fs.open_output_stream(target, compression=None) as out:  # the content is what it is, whatever the suffix
-                out.write(bytes(content or b""))
-            names.append(name)
-        return Written(folder, names)
-
-    def commit(self, messages: list) -> None:
-        fs, root = file_system(self.path)
-        fs.create_dir(root, recursive=True)
-        for m in messages:
-            for name in m.names if m is not None else ():
-                fs.create_dir(f"{root}/{name}".rsplit("/", 1)[0], recursive=True)
-                fs.move(f"{root}/{m.folder}/{name}", f"{root}/{name}")
-        self._drop(fs, root)
-        with fs.open_output_stream(f"{root}/_SUCCESS", compression=None) as out:
-            out.write(b"")
-
-    def abort(self, messages: list) -> None:
-        self._drop(*file_system(self.path))
-
-    def _drop(self, fs, root: str) -> None:
-        from pyarrow.fs import FileType
+def _staged(rows: DataFrame, path: str, job: str) -> DataFrame:
+    """(name, folder) of files written below the job's folder, a folder for each attempt of a task."""
 
-        if fs.get_file_info(f"{root}/{self.job}").type == FileType.Directory:
-            fs.delete_dir(f"{root}/{self.job}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = file_system(path)
+        folder, known = f"{job}/{uuid.uuid4().hex}", set()
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            for i, (name, content) in enumerate(zip(names, batch.column(1), strict=True)):
+                # a name that stands twice in a task must not lose a row before the commit sees it
+                target = f"{root}/{folder}/{i if name in known else ''}{name}"
+                known.add(name)
+                fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(target, compression=None) as out:  # the content is what it is, whatever the suffix
+                    if content.is_valid:
+                        out.write(content.as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([folder] * len(names), pa.string())], ["name", "folder"])
 
+    return rows.select(F.col("name").cast("string").alias("name"), F.col("content").cast("binary").alias("content")).mapInArrow(run, "name string, folder string")
 
-class Files(DataSource):
-    """Format `sluice_files` for writing rows (name string, content binary)."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "sluice_files"
+def _renamed(staged: DataFrame, path: str) -> DataFrame:
+    """Moves each file to its name; one that is there already (the task is run again) stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileType
 
-    def writer(self, schema: StructType, overwrite: bool) -> FileWriter:
-        return FileWriter(self.options["path"], schema)
+        fs, root = file_system(path)
+        made: set[str] = set()
+        for batch in batches:
+            for name, folder in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                target = f"{root}/{name}"
+                if (parent := target.rsplit("/", 1)[0]) not in made:
+                    fs.create_dir(parent, recursive=True)
+                    made.add(parent)
+                if fs.get_file_info(f"{root}/{folder}/{name}").type == FileType.File:
+                    fs.move(f"{root}/{folder}/{name}", target)
+                elif fs.get_file_info(target).type != FileType.File:
+                    raise FileNotFoundError(f"{folder}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
+    return staged.mapInArrow(run, "n long")
 
-def write(rows: DataFrame, path: str) -> None:
-    """Writes each row's content under its name below path; names are different, and the commit replaces older files."""
-    rows.sparkSession.dataSource.register(Files)
-    rows.select(F.col("name").cast("string"), F.col("content").cast("binary")).write.format("sluice_files").mode("append").save(path)
+
+def write(rows: DataFrame, path: str, commit_files: int = COMMIT_FILES) -> int:
+    """Writes each row's content under its name below path, and gives the number of files; the commit replaces older ones.
+
+    A null name, or a name of two rows, is an error, and nothing is committed then.
+    """
+    path, job = path.rstrip("/"), f"_temporary-{uuid.uuid4().hex}"
+    fs, root = file_system(path)
+    fs.create_dir(root, recursive=True)
+    try:
+        staged = checkpointed(_staged(rows, path, job))
+        n, twice, none = staged.groupBy("name").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.max(F.when(F.col("n") > 1, F.col("name"))), F.count_if(F.col("name").isNull())).first()
+        if twice is not None or none:
+            raise ValueError(f"a file name stands in two rows: {twice}" if twice is not None else "a file without a name")
+        _renamed(staged.repartition(max(1, -(-n // commit_files)), "name"), path).agg(F.sum("n")).collect()
+    finally:
+        _drop(fs, f"{root}/{job}")
+    with fs.open_output_stream(f"{root}/_SUCCESS", compression=None) as out:
+        out.write(b"")
+    return n
+
+
+def _drop(fs, folder: str) -> None:
+    from pyarrow.fs import FileType
+
+    if fs.get_file_info(folder).type == FileType.Directory:
+        fs.delete_dir(folder)
+
+
+def concatenate(parts: DataFrame, path: str, order: list[str], item_bytes: int = 4, copy_bytes: int = COPY_BYTES) -> int:
+    """One file at `path` of the files that `parts` has (path, length) in order; its bytes.
+
+    Where each part begins is planned by a running sum of lengths. On a file system that is mounted everywhere tasks copy
+    their pieces side by side to the planned places; elsewhere, where a file has one writer, a task copies all pieces
+    one after another. Either way no task holds more than a piece. A part that isn't whole items is an error; the file
+    takes its name when it is whole.
+    """
+    from sluice.operators.prefix import accumulated
+
+    fits = F.when(F.col("length") % item_bytes == 0, F.col("length")).otherwise(F.raise_error(F.concat(F.lit("not whole items: "), "path")).cast("long"))
+    layout = checkpointed(accumulated(parts.withColumn("length", fits), order, "length").select("path", "length", F.col("excl").alias("at"), "rn"))
+    total = layout.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(copy_bytes).cast("long"))).alias("from")
+    pieces = layout.where("length > 0").select("path", "length", "at", "rn", piece)
+    pieces = pieces.select("path", "from", F.least(F.lit(copy_bytes), F.col("length") - F.col("from")).alias("n"), (F.col("at") + F.col("from")).alias("to"))
+    fs, root = file_system(path)
+    fs.create_dir(root.rsplit("/", 1)[0], recursive=True)
+    target, local = f"{root}.{uuid.uuid4().hex}", fs.type_name == "local"
+
+    def copied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, _ = file_system(path)
+        out = open(target, "r+b") if local else own.open_output_stream(target, compression=None)
+        with out:
+            for batch in batches:
+                for name, begin, n, to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    other, at = file_system(name)
+                    with other.open_input_file(at) as source:
+                        source.seek(begin)
+                        content = source.read(n)
+                    if len(content) != n:
+                        raise ValueError(f"{name} is shorter than its length says")
+                    if local:
+                        out.seek(to)
+                    out.write(content)
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    if local:
+        with open(target, "wb") as out:
+            out.truncate(total)
+        pieces = pieces.repartition(max(1, -(-total // (8 * copy_bytes))), "to")
+    elif total:
+        pieces = pieces.repartition(1).sortWithinPartitions("to")
+    else:
+        fs.open_output_stream(target, compression=None).close()
+    pieces.mapInArrow(copied, "n long").agg(F.sum("n")).collect()
+    fs.move(target, root)
+    return total
 
 
 def mark_done(keys: DataFrame, path: str, key: str = "key", suffix: str = ".done") -> None:

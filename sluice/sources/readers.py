@@ -6,7 +6,6 @@ import io
 from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +14,8 @@ from pyspark.sql import types as T
 from sluice.functions import text as tx
 from sluice.operators.prefix import accumulated
 
+from . import ranges
+
 DOC = "id string, text string, source string, metadata string"
 
 
@@ -42,13 +43,23 @@ def _binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
 
+def _packed_lines(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".zst", ".zstd")) -> DataFrame:
+    """Lines of Zstandard files by runs of frames; where only Spark opens the path, a task for each whole file."""
+    try:
+        ranges.file_system(path)
+    except (OSError, pa.ArrowException):
+        names = "{" + ",".join(f"*{s}" for s in suffixes) + "}"
+        return _zstd_lines(spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter=names).load(path))
+    return ranges.zstd_lines(spark, path, suffixes=suffixes)
+
+
 def lines(spark: SparkSession, path: str, zstd: bool = False) -> DataFrame:
-    """(path, line_index, value); plain and gzip files through Spark's text source, zstd ones by stream.
+    """(path, line_index, value); plain and gzip files through Spark's text source, zstd ones by runs of frames.
 
     Line numbers follow the file: the text source's rows of a file are in order within and across its splits.
     """
     if zstd or path.endswith((".zst", ".zstd")):
-        return _zstd_lines(_binary(spark, path))
+        return _packed_lines(spark, path)
     raw = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"), "value")
     # a split's rows have growing numbers, the splits of a file growing starts; a very long file is no single task
     at = accumulated(raw, ["_b", "_i"], None, ["path"])
@@ -77,9 +88,10 @@ def mixed(spark: SparkSession, root: str, columns: list[str] | None = None, zstd
         files = spark.read.format("binaryFile").options(**options, pathGlobFilter=glob).load(root).select("path")
         if not files.isEmpty():
             parts.append(spark.read.options(**options, pathGlobFilter=glob).format(kind).load(root))
-    packed = spark.read.format("binaryFile").options(**options, pathGlobFilter="*.jsonl.{zst,zstd}").load(root)
-    if not packed.select("path").isEmpty():
-        parts.append(_zstd_lines(packed).select(F.from_json("value", zstd_schema).alias("r")).where("r is not null").select("r.*"))
+    packed = (".jsonl.zst", ".jsonl.zstd")
+    files = spark.read.format("binaryFile").options(**options, pathGlobFilter="*.jsonl.{zst,zstd}").load(root).select("path")
+    if not files.isEmpty():
+        parts.append(_packed_lines(spark, root, packed).select(F.from_json("value", zstd_schema).alias("r")).where("r is not null").select("r.*"))
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else spark.createDataFrame([], DOC)
     return out if columns is None else out.select(*[c for c in columns if c in out.columns])
 
@@ -95,7 +107,7 @@ def records(spark: SparkSession, path: str, text_field: str = "text", schema: st
     if stem not in UNIVERSAL:
         raise ValueError(f"unknown suffix: {path}")
     if zipped:
-        rows = _zstd_lines(_binary(spark, path))
+        rows = _packed_lines(spark, path)
         if stem == "txt":
             return rows.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_index", "value"))), lambda x: x["value"]), "\n").alias(text_field)).select(text_field)
         return rows.where(F.try_parse_json("value").isNotNull()).select(F.from_json("value", schema or DOC).alias("r")).select("r.*")
@@ -238,35 +250,6 @@ def fixtures(spark: SparkSession, path: str, config_field: str = "_config") -> D
     return df.withColumn("config", config).drop(config_field)
 
 
-TOKENS = "path string, n_tokens long, dtype string, ids array<bigint>"
-
-
-def _dtype_of(content: bytes, dtype: str | None) -> tuple[str, np.ndarray]:
-    if content[:6] == b"\x93NUMPY":
-        return "npy", np.load(io.BytesIO(content), allow_pickle=False).reshape(-1)
-    if dtype is None:  # 16 bits if the first values may be ids of a vocabulary, else 32
-        head = np.frombuffer(content[: 2 * min(4096, len(content) // 2)], "<u2")
-        dtype = "<u2" if len(content) % 2 == 0 and len(head) and head.max() < 100_000 else "<u4"
-        if dtype == "<u2" and len(content) % 4 == 0 and len(head) >= 2 and not head[1::2].any():
-            dtype = "<u4"  # every other value is 0: upper halves
-    size = np.dtype(dtype).itemsize
-    if len(content) % size:
-        raise ValueError(f"{len(content)} bytes are no whole number of {size}-byte tokens")
-    return dtype, np.frombuffer(content, dtype)
-
-
-def token_files(spark: SparkSession, path: str, dtype: str | None = "<u4", with_ids: bool = True) -> DataFrame:
-    """(path, n_tokens, dtype, ids) of raw token arrays; with dtype None it is sniffed (.npy, 16 or 32 bits)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                kind, ids = _dtype_of(content.as_py(), dtype)
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(ids)], pa.int64()), pa.array([kind]), pa.array([ids.astype(np.int64) if with_ids else None], pa.list_(pa.int64()))], ["path", "n_tokens", "dtype", "ids"])
-
-    return _binary(spark, path).select("path", "content").mapInArrow(run, TOKENS)
-
-
 def token_counts(spark: SparkSession, path: str, item_bytes: int = 4) -> DataFrame:
     """Counts from file lengths alone: no content is read."""
     files = _binary(spark, path).select("path", "length")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sluice.operators.prefix import accumulated
 
-from . import files
+from . import files, ranges
 
 
 def jsonl(df: DataFrame, path: str, docs_per_shard: int = 50_000, compression: str = "gzip") -> None:
@@ -40,8 +40,8 @@ def jsonl_capped(df: DataFrame, path: str, order: list[str], cap: int = 1 << 30)
     size_capped(df, order, cap).repartition("shard").write.partitionBy("shard").option("compression", "none").json(path)
 
 
-def jsonl_zstd(df: DataFrame, path: str, text: str = "text", docs_per_shard: int = 50_000, prefix: str = "part") -> dict:
-    """Zstandard JSON lines, at most `docs_per_shard` records a file; gives n_docs and n_chars, counted while writing."""
+def jsonl_zstd(df: DataFrame, path: str, text: str = "text", docs_per_shard: int = 50_000, prefix: str = "part", frame_docs: int = 1024) -> dict:
+    """Zstandard JSON lines, at most `docs_per_shard` records a file and `frame_docs` a frame; gives n_docs and n_chars, counted while writing."""
     from pyspark.sql import Observation
 
     seen = Observation()
@@ -51,17 +51,19 @@ def jsonl_zstd(df: DataFrame, path: str, text: str = "text", docs_per_shard: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        def shard(number: int, task: int, parts: list[bytes]) -> pa.RecordBatch:
-            # frames one after another are a Zstandard file like any other
-            return pa.RecordBatch.from_arrays([pa.array([f"{prefix}-{task:05d}-{number:05d}.jsonl.zst"]), pa.array([b"".join(parts)], pa.binary())], ["name", "content"])
+        def shard(number: int, task: int, parts: list[tuple[bytes, int]]) -> pa.RecordBatch:
+            # frames one after another are a Zstandard file like any other; the table says where they begin
+            content = b"".join([*[z for z, _ in parts], ranges.frame_table([(len(z), n) for z, n in parts])])
+            return pa.RecordBatch.from_arrays([pa.array([f"{prefix}-{task:05d}-{number:05d}.jsonl.zst"]), pa.array([content], pa.binary())], ["name", "content"])
 
         number, have, task, parts = 0, 0, 0, []
         for batch in batches:
             at = 0
             while at < batch.num_rows:
-                to = min(batch.num_rows, at + docs_per_shard - have)
+                to = min(batch.num_rows, at + docs_per_shard - have, at + frame_docs)
                 task = batch.column(0)[at].as_py()
-                parts.append(zstandard.ZstdCompressor().compress("".join(x + "\n" for x in batch.column(1).slice(at, to - at).to_pylist()).encode()))
+                plain = "".join(x + "\n" for x in batch.column(1).slice(at, to - at).to_pylist()).encode()
+                parts.append((zstandard.ZstdCompressor().compress(plain), len(plain)))
                 have, at = have + to - at, to
                 if have == docs_per_shard:
                     yield shard(number, task, parts)

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """That folder; where the setting is unset, a local one, which only a session on one machine may use."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints"))
+        folder = sc.getConf().get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or "/tmp/checkpoints")
     return sc._jsc.sc().getCheckpointDir().get()
 
 

@@ -11,7 +11,7 @@ from sluice.functions import text as tx
 from sluice.operators import aggregates as ag
 from sluice.operators import contracts, filters, joins, mixing, packing, rules, selection, sets
 from sluice.operators.prefix import accumulated
-from sluice.sources import readers, sinks
+from sluice.sources import ranges, readers, sinks
 
 
 def one(spark, column, **values):
@@ -221,7 +221,7 @@ def test_files(spark, tmp_path):
     shards = sinks.token_shards(ids, "ids", ["k"], 4, eos=9).orderBy("shard").collect()
     assert [bytes(r.content) for r in shards] == [sinks.u32le([1, 2, 3, 9]), sinks.u32le([4, 5, 9])]
     (tmp_path / "t.bin").write_bytes(bytes(shards[0].content))
-    assert readers.token_files(spark, str(tmp_path / "t.bin")).first().ids == [1, 2, 3, 9]
+    assert ranges.token_ranges(spark, str(tmp_path / "t.bin")).first().ids == [1, 2, 3, 9]
     assert readers.token_counts(spark, str(tmp_path / "t.bin")).first().n_tokens == 4
     log = spark.createDataFrame([("f", i, v) for i, v in enumerate(["x", "step=5", " loss: 1.5", "junk here", "step=6", "loss: 1.25"])], "path string, line_index long, value string")
     assert [(r.step, r.value) for r in readers.log_points(log).orderBy("step").collect()] == [(5, 1.5), (6, 1.25)]

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.operators import mixing, packing, selection
-from sluice.sources import readers
+from sluice.sources import ranges, readers
 from sluice.streaming import streams
 
 
@@ -20,16 +20,6 @@ def pilots(n=24, seed=0):
     return t, 1.0 + 0.6 * np.exp(t @ np.array([-2.0, 0.5, 1.0]))
 
 
-def test_moderate_laws_fit_and_stay_moderate():
-    t, y = pilots()
-    found = mixing.moderate_laws(t, y, starts=6)
-    assert found and found[0]["rmse"] < 0.01 and [f["moderation"] for f in found] == sorted(f["moderation"] for f in found)
-    least = min(f["rmse"] for f in found)
-    assert all(f["rmse"] <= 1.35 * least and max(map(abs, f["r"])) <= 8 and np.exp(f["a"]) <= y.min() + 1e-9 for f in found)
-    assert mixing.moderation(np.array([0, np.log(0.1), 0, 0, 0.0]), 0.1) == pytest.approx(0)
-    assert mixing.moderation(np.array([0, np.log(10.0), 1, -1, 1.0]), 0.1) == pytest.approx(1 + 0.25 + 0.5 * (2 + np.log10(5)))
-
-
 def test_trees_learn_steps_and_bound_their_leaves():
     rng = np.random.default_rng(1)
     x = rng.random((60, 3))
@@ -40,7 +30,7 @@ def test_trees_learn_steps_and_bound_their_leaves():
     assert mixing.Trees(rounds=3).fit(x[:2], y[:2]).predict(x[:2]) == pytest.approx([y[:2].mean()] * 2)
 
 
-def test_surrogate_grid_and_global_search(spark):
+def test_surrogate_grid(spark):
     t, y = pilots(10)
     rows = [(f"r{i}", f, float(v + 0.1 * (f == "b")), *map(float, w)) for f in ("a", "b") for i, (w, v) in enumerate(zip(t, y, strict=True))]
     df = spark.createDataFrame(rows, "run_name string, family string, loss double, d0 double, d1 double, d2 double")
@@ -51,9 +41,6 @@ def test_surrogate_grid_and_global_search(spark):
         left = [float(mixing.Trees(3, 2, int(r.min_rows), 0.1, 0.1, 20).fit(np.delete(t[order], i, 0), np.delete(y[order], i)).predict(t[order][i : i + 1])[0]) - y[order][i] for i in range(10)]
         assert r.mean_rmse == pytest.approx(np.sqrt(np.mean(np.square(left)))) and r.macro_rmse == pytest.approx(r.mean_rmse)
     assert len(got) == 2 and got[0].macro_rmse <= got[1].macro_rmse
-    low, high = np.full(3, 0.05), np.full(3, 0.8)
-    point, best = mixing.global_search(lambda x: ((x - np.array([0.7, 0.2, 0.1])) ** 2).sum(1), low, high, 500, 4, 4)
-    assert best < 1e-4 and point.sum() == pytest.approx(1) and (point >= low - 1e-9).all() and (point <= high + 1e-9).all()
 
 
 # --- sources ---
@@ -88,7 +75,7 @@ def test_instruct_rows_fall_back(spark, tmp_path):
 def test_token_files_are_sniffed(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(np.arange(1, 9, dtype="<u2").tobytes())
     (tmp_path / "b.bin").write_bytes(np.arange(1, 9, dtype="<u4").tobytes())
-    got = {r.path[-5:]: r.ids for r in readers.token_files(spark, str(tmp_path), None).collect()}
+    got = {r.path[-5:]: r.ids for r in ranges.token_ranges(spark, str(tmp_path), None).collect()}
     assert got == {"a.bin": list(range(1, 9)), "b.bin": list(range(1, 9))}
 
 
