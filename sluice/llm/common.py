@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +27,13 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as spark.checkpoint.dir names it; a local one only where that is unset."""
+    """The folder all executors share, as spark.checkpoint.dir names it; where that is unset, a local one, on one machine only."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None)
     if folder is None:
         if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if not re.match(r"local(\[|$)", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             sc.setCheckpointDir("/tmp/checkpoints")
         folder = sc._jsc.sc().getCheckpointDir().get()
     elif sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -88,11 +92,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     return own.join(F.broadcast(chosen), "doc_id")
 
 
-def bounded(features: DataFrame, sizes: list[str], limit_bytes: int) -> pa.Table:
-    """The rows of a labelled sample's features, one for each doc_id, in the order of ids, of at most `limit_bytes` together.
+def bounded(features: DataFrame, sizes: list[str], limit_bytes: int) -> DataFrame:
+    """The rows of a labelled sample's features, one for each doc_id, of at most `limit_bytes` together.
 
-    Rows are taken by the hash of their ids as long as they fit; one that doesn't is left out. Only their sizes come to
-    the driver before that.
+    Rows are taken by the hash of their ids as long as they fit; one that doesn't is left out. Only the sizes of the
+    sample's rows come to the driver.
     """
     rest = [c for c in features.columns if c != "doc_id"]
     one = checkpointed(features.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("r")).select("doc_id", "r.*"))
@@ -105,7 +109,20 @@ def bounded(features: DataFrame, sizes: list[str], limit_bytes: int) -> pa.Table
             chosen.append(i)
     if len(chosen) < len(at["n"]):
         one = one.join(F.broadcast(features.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")), "doc_id")
-    return one.toArrow().combine_chunks().sort_by("doc_id").combine_chunks()
+    return one
+
+
+def trained(sample: DataFrame, train: Callable[[pa.Table], object]) -> object:
+    """What `train` makes of a bounded sample, in the order of ids, in one task; only the model comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(batches)
+        if rows:
+            made = train(pa.Table.from_batches(rows).combine_chunks().sort_by("doc_id").combine_chunks())
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], ["model"])
+
+    got = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return train(pa.schema([(f.name, pa.int64()) for f in sample.schema]).empty_table()) if got is None else pickle.loads(got[0])
 
 
 def slices(col: pa.ChunkedArray, dtype) -> list[np.ndarray]:

@@ -38,7 +38,7 @@ from . import common, wordhash
 from .wordhash import U
 
 #: Bytes of text of a run, n-grams of a part, steps of a unit of log10.
-RUN_BYTES, PART_KEYS, STEPS = 1 << 24, 1 << 22, 2048
+RUN_BYTES, PART_KEYS, STEPS = 1 << 23, 1 << 21, 2048
 #: Prior weights of orders 2, 3, ...
 PRIORS = (300.0, 10.0)
 END = U(0x2545F4914F6CDD1D)
@@ -61,15 +61,24 @@ def restored(z, dtype) -> np.ndarray:
 
 # --- Elias-Fano ---
 
+# Bit patterns that count the ones of all bytes of a word at once.
+_55, _33, _0F, _01, _80 = (U(int(x * 8, 16)) for x in ("55", "33", "0F", "01", "80"))
+#: Place of the k-th set bit of a byte, at 8 * byte + k.
+_NTH = np.zeros(2048, np.int64)
+for _b in range(256):
+    for _k, _at in enumerate([i for i in range(8) if _b >> i & 1]):
+        _NTH[8 * _b + _k] = _at
+
+
 def _nth_bit(words: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Place of the k-th (from 0) set bit of each 64-bit word: halves the word six times."""
-    place, k = np.zeros(len(words), np.int64), k.astype(np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        ones = np.bitwise_count((words >> place.astype(np.uint64)) & U((1 << width) - 1))
-        right = ones <= k
-        k = k - np.where(right, ones, 0)
-        place += np.where(right, width, 0)
-    return place
+    """Place of the k-th (from 0) set bit of each 64-bit word: the byte by running counts, the bit by a table."""
+    k = k.astype(np.uint64)
+    ones = words - ((words >> U(1)) & _55)
+    ones = (ones & _33) + ((ones >> U(2)) & _33)
+    ones = ((ones + (ones >> U(4))) & _0F) * _01  # in each byte, the ones up to it
+    shift = np.bitwise_count(((k * _01) | _80) - ones & _80).astype(np.uint64) << U(3)  # bytes that end before the bit
+    before = ((ones << U(8)) >> shift) & U(255)
+    return shift.astype(np.int64) + _NTH[((words >> shift) & U(255)) * U(8) + k - before]
 
 
 class EliasFano:
@@ -116,15 +125,19 @@ class EliasFano:
         place = np.where(h == 0, -1, word * 64 + _nth_bit(~self.high[word], k - self.zeros[word]))
         begin = place + 1 - h
         # the bucket's ones follow, up to the next zero
-        size, at = np.zeros(len(h), np.int64), place + 1
-        live = np.flatnonzero(at < len(self.high) * 64)
-        while len(live):
-            rest = ~(self.high[at[live] >> 6] >> (at[live] & 63).astype(np.uint64))
-            ones = np.bitwise_count((rest & (~rest + U(1))) - U(1)).astype(np.int64)
-            room = 64 - (at[live] & 63)
-            size[live] += np.minimum(ones, room)
-            at[live] += room
-            live = live[(ones >= room) & (at[live] < len(self.high) * 64)]
+        at = place + 1
+        bit = at & 63
+        rest = ~(self.high[np.minimum(at >> 6, len(self.high) - 1)] >> bit.astype(np.uint64))
+        size = np.bitwise_count((rest & (~rest + U(1))) - U(1)).astype(np.int64)
+        live = np.flatnonzero(size >= 64 - bit)
+        size[live] = 64 - bit[live]
+        at[live] += size[live]
+        while len(live := live[at[live] < len(self.high) * 64]):  # on in the next words
+            rest = ~self.high[at[live] >> 6]
+            more = np.bitwise_count((rest & (~rest + U(1))) - U(1)).astype(np.int64)
+            size[live] += more
+            at[live] += more
+            live = live[more == 64]
         return begin, begin + size
 
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -367,7 +380,8 @@ def totals(of_runs: DataFrame, order: int, parts: int) -> DataFrame:
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = {n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)}
                 grams, _, _ = _opened(row, order)
                 keys, n = np.concatenate([g.key for g in grams]), np.concatenate([g.trained for g in grams])
                 by = np.argsort(keys)

@@ -4,8 +4,9 @@ Features of a text are its words (runs of letters, of digits, or of one sign), t
 of neighbours, hashed to buckets; a bucket's value is its share of the text's features. Scores are sparse dot products
 through the logistic function. The fit reads at most `limit` labelled rows (a documented bound); scoring reads all.
 
-Null and empty texts have no features and score what the bias gives. Repeated rows are scored each by itself.
-With no labelled rows at all every score is 0.5.
+Null and empty texts have no features and score what the bias gives. Repeated rows are scored each by itself. Texts are
+taken whole, however long. With no labelled rows at all every score is 0.5; an empty table gives no rows. Further
+columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -96,7 +97,7 @@ def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int, epochs: int
 def fit(docs: DataFrame, labels: DataFrame, limit: int = 6000, bits: int = 18, limit_bytes: int = 1 << 28) -> Model:
     """Learns from at most `limit` labelled rows outside the held-out fold.
 
-    The driver gets their sparse features, `limit_bytes` at most; a repeated doc_id counts once.
+    One task gets their sparse features, `limit_bytes` at most, and the driver the model; a repeated doc_id counts once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,12 +113,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = 6000, bits: int = 18, l
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], ["doc_id", "label", "i", "x"])
 
     sample = common.labelled_sample(docs, labels, "quality", limit)
-    got = common.bounded(sample.mapInArrow(run, "doc_id long, label int, i binary, x binary"), ["i", "x"], limit_bytes)
-    # the driver holds the features once, in Arrow's buffers, and gives these back
-    model = ftrl(list(zip(got["label"].to_pylist(), common.slices(got["i"], np.int32), common.slices(got["x"], np.float32), strict=True)), bits)
-    del got
-    pa.default_memory_pool().release_unused()
-    return model
+    chosen = common.bounded(sample.mapInArrow(run, "doc_id long, label int, i binary, x binary"), ["i", "x"], limit_bytes)
+    return common.trained(chosen, lambda t: ftrl(list(zip(t["label"].to_pylist(), common.slices(t["i"], np.int32), common.slices(t["x"], np.float32), strict=True)), bits))
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -513,9 +513,9 @@ def test_samples_are_bounded_and_repeated_ids_count_once(spark):
     docs, labels = labelled(spark, 300, ["fine"], 0.4)
     both = docs.union(docs)
     own = common.labelled_sample(both, labels.withColumnRenamed("label", "quality"), "quality", 100, lang=True)
-    rows = common.bounded(own.select("doc_id", "label", F.encode("text", "utf-8").alias("x")), ["x"], 1 << 30).to_pylist()
+    rows = common.bounded(own.select("doc_id", "label", F.encode("text", "utf-8").alias("x")), ["x"], 1 << 30).toArrow().to_pylist()
     assert len(rows) == 100 == len({r["doc_id"] for r in rows})
-    few = common.bounded(own.select("doc_id", "label", F.encode("text", "utf-8").alias("x")), ["x"], 5000).to_pylist()
+    few = common.bounded(own.select("doc_id", "label", F.encode("text", "utf-8").alias("x")), ["x"], 5000).toArrow().to_pylist()
     assert 0 < sum(len(r["x"]) for r in few) <= 5000 and {r["doc_id"] for r in few} < {r["doc_id"] for r in rows}
     for module, name in ((toxicity, "toxic"), (quality, "quality")):
         one, two = (module.fit(d, labels.withColumnRenamed("label", name), 80) for d in (docs, both))
