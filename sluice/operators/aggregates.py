@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sluice.sources.storage import checkpointed
 
 from .filters import is_usable
-from .prefix import SINGLE_TASK_ROWS, accumulated, is_small
+from .prefix import SINGLE_TASK_ROWS, accumulated, is_small, lagged
 
 
 def totals(df: DataFrame, tokens: str = "n_tokens") -> DataFrame:
@@ -173,11 +173,11 @@ def uniform(df: DataFrame, fields: list[str]) -> DataFrame:
     return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("n_values")) for c in fields]))).where("n_values <> 1")
 
 
-def changes(df: DataFrame, key: str, order: list[str], by: list[str] | None = None) -> DataFrame:
-    """How many runs of one key the ordered rows have: the documents in a stream of tokens."""
-    w = Window.partitionBy(*(by or [])).orderBy(*order)
-    new = F.coalesce(F.col(key) != F.lag(key).over(w), F.lit(True))
-    return df.withColumn("_new", new.cast("int")).groupBy(*(by or [])).agg(F.sum("_new").alias("n_docs"))
+def changes(df: DataFrame, key: str, order: list[str], by: list[str] | None = None, single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
+    """How many runs of one key the ordered rows have: the documents in a stream of tokens. No task gets a whole long group."""
+    before = lagged(df, order, [key], by, single_task_rows)
+    new = F.coalesce(F.col(key) != F.col(f"_before.{key}"), F.lit(True))
+    return before.withColumn("_new", new.cast("int")).groupBy(*(by or [])).agg(F.sum("_new").alias("n_docs"))
 
 
 def window_stats(df: DataFrame, by: str, token: str = "token", doc: str = "doc") -> DataFrame:

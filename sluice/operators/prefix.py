@@ -93,3 +93,16 @@ def carried(df: DataFrame, order: list, value: str, by: list[str] | None = None,
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     before = ends.select(*by, "_range", F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
     return with_before(out, by, before).withColumn("_last", F.coalesce("_last", "_carry")).drop("_carry", "_range")
+
+
+def lagged(df: DataFrame, order: list, values: list[str], by: list[str] | None = None, single_task_rows: int = SINGLE_TASK_ROWS, ranges: int | None = None) -> DataFrame:
+    """Adds `_before`: struct of the values of the row before in its group's order; null for the first one."""
+    by, order = by or [], _named(order)
+    df, split = ranged(df, by, order, single_task_rows, ranges)
+    own = F.struct(*values)
+    out = df.withColumn("_before", F.lag(own).over(Window.partitionBy(*by, *(["_range"] if split else [])).orderBy(*order)))
+    if not split:
+        return out
+    ends = df.groupBy(*by, "_range").agg(F.max_by(own, F.struct(*order)).alias("_end"))  # a row for each group and range
+    before = ends.select(*by, "_range", F.lag("_end").over(Window.partitionBy(*by).orderBy("_range")).alias("_ahead"))
+    return with_before(out, by, before).withColumn("_before", F.coalesce("_before", "_ahead")).drop("_ahead", "_range")

@@ -14,7 +14,7 @@ from sluice.functions.text import let
 from sluice.sources.storage import checkpointed
 
 from .filters import is_usable, token_weight
-from .prefix import accumulated
+from .prefix import SINGLE_TASK_ROWS, accumulated, lagged
 
 
 def seeded(seed: int | str, *keys: str) -> Column:
@@ -298,10 +298,10 @@ def random_blocks(domains: DataFrame, block: int, by: str = "domain", available:
     whole = F.floor(F.col(available) / block)
     tiny = own.where(whole == 0).select(by, F.lit(0).cast("long").alias("start"), F.col(needed).cast("long").alias("n"))
     blocks = own.where(whole > 0).select(by, needed, available, F.explode(F.sequence(F.lit(0).cast("long"), whole - 1)).alias("block"))
-    w = Window.partitionBy(by)
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(mix)), F.col(by), F.col("block").cast("string")))
-    chosen = blocks.withColumn("_k", F.row_number().over(w.orderBy(order, "block"))).where(F.col("_k") <= F.ceil(F.col(needed) / block))
-    chosen = chosen.withColumn("_i", F.row_number().over(w.orderBy("block"))).withColumn("n", F.least(F.lit(block).cast("long"), F.col(needed) - (F.col("_i") - 1) * block))
+    ranked = lambda df, by_order, name: accumulated(df, by_order, None, [by]).withColumnRenamed("rn", name).drop("incl", "excl", "total")
+    chosen = ranked(blocks, [order, "block"], "_k").where(F.col("_k") <= F.ceil(F.col(needed) / block))
+    chosen = ranked(chosen, ["block"], "_i").withColumn("n", F.least(F.lit(block).cast("long"), F.col(needed) - (F.col("_i") - 1) * block))
     got = chosen.where("n > 0").select(by, (F.col("block") * block).alias("start"), F.col("n").cast("long").alias("n"))
     rest = F.col(needed) - whole * block
     tail = own.where((whole > 0) & (rest > 0)).select(by, (whole * block).cast("long").alias("start"), rest.cast("long").alias("n"))
@@ -394,10 +394,9 @@ def masked_loss(loss: Column, mask: Column) -> Column:
     return F.struct(F.aggregate(kept, F.lit(0.0), lambda a, x: a + x).alias("sum"), F.size(kept).alias("n"))
 
 
-def rate_between(df: DataFrame, at: str, value: str, by: list[str] | None = None, target: float | None = None) -> DataFrame:
+def rate_between(df: DataFrame, at: str, value: str, by: list[str] | None = None, target: float | None = None, single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
     """Rate between each two samples, and time left until `target` at that rate."""
-    w = Window.partitionBy(*(by or [])).orderBy(at)
-    t = F.col(at).cast("double")
-    rate = F.try_divide(F.col(value) - F.lag(value).over(w), t - F.lag(t).over(w))
-    out = df.withColumn("rate", rate)
+    own = lagged(df, [at], [at, value], by, single_task_rows)
+    rate = F.try_divide(F.col(value) - F.col(f"_before.{value}"), F.col(at).cast("double") - F.col(f"_before.{at}").cast("double"))
+    out = own.withColumn("rate", rate).drop("_before")
     return out if target is None else out.withColumn("eta", F.when(F.col("rate") > 0, (F.lit(target) - F.col(value)) / F.col("rate")))

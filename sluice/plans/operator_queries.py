@@ -195,18 +195,18 @@ def english_scores(spark, d):
 
 
 @query(rf"""WITH s AS (SELECT doc_id, text, list_transform(string_split(text, chr(10)), lambda x: len(x)) AS ls, len(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^\sA-Za-z0-9_]')) AS tokens FROM documents)
-SELECT doc_id, len(regexp_extract_all(text, '{filters.SECRETS.replace("'", "''")}')) = 0 AND list_avg(ls) <= 300 AND list_max(ls) <= 2000 AND len(regexp_extract_all(text, '[A-Za-z0-9]')) / greatest(1, len(text)) >= 0.35 AND len(regexp_extract_all(text, '[A-Za-z]')) / greatest(1, tokens) >= 2.0 AS keep FROM s""")
+SELECT doc_id, list_avg(ls) <= 80 AND list_max(ls) <= 750 AND keep AS keep, list_avg(ls) <= 300 AND list_max(ls) <= 2000 AND keep AS keep_long FROM (SELECT *, len(regexp_extract_all(text, '{filters.SECRETS.replace("'", "''")}')) = 0 AND len(regexp_extract_all(text, '[A-Za-z0-9]')) / greatest(1, len(text)) >= 0.35 AND len(regexp_extract_all(text, '[A-Za-z]')) / greatest(1, tokens) >= 2.0 AS keep FROM s)""")
 def code_keeps(spark, d):
-    return table(spark, d, "documents").select("doc_id", filters.code_quality(F.col("text"), 300, 2000).alias("keep"))
+    return table(spark, d, "documents").select("doc_id", filters.code_quality(F.col("text")).alias("keep"), filters.code_quality(F.col("text"), 300, 2000).alias("keep_long"))
 
 
-@query("SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 5) || '#' ELSE substr(text, 1, 10) END || CASE WHEN doc_id % 3 = 0 THEN substr(text, 11, 10) || '#' ELSE substr(text, 11, 20) END || substr(text, 31)) AS many, sha256(CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 5) || substr(text, 11) ELSE text END) AS one FROM documents WHERE len(text) >= 30")
+@query("SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 5) || '#' ELSE substr(text, 1, 10) END || CASE WHEN doc_id % 3 = 0 THEN substr(text, 11, 10) || '#' ELSE substr(text, 11, 20) END || substr(text, 31)) AS many, sha256(CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 5) || substr(text, 11) ELSE text END) AS one FROM documents")
 def replaced_spans(spark, d):
     score = lambda k: F.when(F.col("doc_id") % k == 0, 0.3).otherwise(0.2)
     span = lambda s, e, k: F.struct(F.lit(s).alias("s"), F.lit(e).alias("e"), score(k).alias("score"))
     many = filters.replace_scored_spans(F.col("text"), F.array(span(20, 30, 3), span(5, 10, 2)), by="#")
     one = filters.replace_scored_span(F.col("text"), F.lit(5), F.lit(10), score(2))
-    return table(spark, d, "documents").where(F.length("text") >= 30).select("doc_id", F.sha2(many, 256).alias("many"), F.sha2(one, 256).alias("one"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(many, 256).alias("many"), F.sha2(one, 256).alias("one"))
 
 
 @query("SELECT doc_id, doc_id % 5 IN (0, 2, 4) AS data FROM documents")
@@ -342,25 +342,26 @@ def span_masks(spark, d):
     return own.select("doc_id", F.array_join("m", "").alias("mask"), F.array_join(tx.labels_with_mask(F.array(*map(F.lit, range(8))), F.col("m")), ",").alias("labels"))
 
 
-@query("SELECT doc_id, doc_id % 4 = 0 AND len(text) >= 9 AS valid, (CASE WHEN len(text) < 9 OR doc_id % 4 = 1 AND substr(text, 5, 5) <> substr(text, 4, 5) THEN 1 ELSE 0 END + CASE WHEN doc_id % 4 = 3 AND substr(text, 1, 2) <> 'x' THEN 1 ELSE 0 END)::INTEGER AS n_bad FROM documents WHERE len(text) >= 9 AND (doc_id % 4 <> 1 OR substr(text, 5, 5) <> substr(text, 4, 5)) AND doc_id % 4 <> 2")
+SAID = "x AS (SELECT doc_id, text, CASE WHEN doc_id % 4 = 1 THEN substr(text, 4, 5) ELSE substr(text, 5, 5) END AS a, CASE WHEN doc_id % 4 = 3 THEN 'x' ELSE substr(text, 1, 2) END AS b FROM documents)"
+
+
+@query(f"WITH {SAID} SELECT doc_id, len(text) >= 9 AND a = substr(text, 5, 5) AND b = substr(text, 1, 2) AS valid, ((a <> substr(text, 5, 5))::INT + (b <> substr(text, 1, 2))::INT)::INTEGER AS n_bad FROM x")
 def span_checks(spark, d):
     said = lambda t, s, e: F.struct(t.alias("span"), F.lit(s).alias("char_start"), F.lit(e).alias("char_end"))
     t, i = F.col("text"), F.col("doc_id")
     spans = F.array(said(F.when(i % 4 == 1, F.substring(t, 4, 5)).otherwise(F.substring(t, 5, 5)), 4, 9), said(F.when(i % 4 == 3, F.lit("x")).otherwise(F.substring(t, 1, 2)), 0, 2))
-    own = table(spark, d, "documents").where((F.length(t) >= 9) & ((i % 4 != 1) | (F.substring(t, 5, 5) != F.substring(t, 4, 5))) & (i % 4 != 2))
-    return own.select("doc_id", tx.spans_valid(t, spans).alias("valid"), tx.bad_spans(t, spans).alias("n_bad"))
+    return table(spark, d, "documents").select("doc_id", tx.spans_valid(t, spans).alias("valid"), tx.bad_spans(t, spans).alias("n_bad"))
 
 
-BIO = "b AS (SELECT doc_id, text, unnest(CASE doc_id % 3 WHEN 0 THEN [0, 6] WHEN 1 THEN [3] ELSE [0, 3, 12] END) AS s, unnest(CASE doc_id % 3 WHEN 0 THEN [6, 12] WHEN 1 THEN [12] ELSE [3, 6, 15] END) AS e FROM documents WHERE len(text) >= 15), c AS (SELECT *, substr(text, s + 1, e - s) AS cut FROM b), t AS (SELECT doc_id, s + len(cut) - len(ltrim(cut, ' ' || chr(10) || chr(9))) AS s, e - len(cut) + len(rtrim(cut, ' ' || chr(10) || chr(9))) AS e FROM c)"
+BIO = "b AS (SELECT doc_id, text, unnest(CASE doc_id % 3 WHEN 0 THEN [0, 6] WHEN 1 THEN [3] ELSE [0, 3, 12] END) AS s, unnest(CASE doc_id % 3 WHEN 0 THEN [6, 12] WHEN 1 THEN [12] ELSE [3, 6, 15] END) AS e FROM documents), c AS (SELECT doc_id, s, least(e, len(text)) AS e, substr(text, s + 1, e - s) AS cut FROM b), t AS (SELECT doc_id, s + len(cut) - len(ltrim(cut, ' ' || chr(10) || chr(9))) AS s, e - len(cut) + len(rtrim(cut, ' ' || chr(10) || chr(9))) AS e FROM c), j AS (SELECT doc_id, string_agg(s || '-' || e, ',' ORDER BY s) AS spans FROM t WHERE s < e GROUP BY doc_id)"
 
 
-@query(f"WITH {BIO} SELECT doc_id, string_agg(s || '-' || e, ',' ORDER BY s) AS spans FROM t WHERE s < e GROUP BY doc_id")
+@query(f"WITH {BIO} SELECT doc_id, coalesce(spans, '') AS spans FROM documents LEFT JOIN j USING (doc_id)")
 def bio_spans(spark, d):
     tags = _id(3, F.array(*map(F.lit, "BIBIO")), F.array(*map(F.lit, "IBIIO")), F.array(*map(F.lit, "BBOIB")))
     offsets = F.array(*[F.struct(F.lit(3 * k).alias("s"), F.lit(3 * k + 3).alias("e")) for k in range(5)])
     spans = F.transform(tx.bio_spans(tags, offsets, F.col("text")), lambda x: F.concat_ws("-", x["s"], x["e"]))
-    own = table(spark, d, "documents").where(F.length("text") >= 15).select("doc_id", F.array_join(spans, ",").alias("spans"))
-    return own.where("spans <> ''")
+    return table(spark, d, "documents").select("doc_id", F.array_join(spans, ",").alias("spans"))
 
 
 @query("SELECT item_id, 'Question: ' || text || chr(10) || ' A. ' || item_id || chr(10) || ' B. none' || chr(10) || 'Answer: B' AS prompt FROM benchmark")

@@ -25,21 +25,24 @@ RUN_BYTES, ROWS = 1 << 26, 4096
 
 
 def listed(path: str, suffixes: tuple[str, ...] = ()) -> list[tuple[str, int]]:
-    """(path, length) of a file, of the files below a folder, or of those that a pattern with * names; by path."""
+    """(path, length) of a file, of the files below a folder, or of those that a pattern with * names; by path.
+
+    Local paths have file:// in front.
+    """
     from pyarrow.fs import FileSelector, FileType
 
     fs, root = file_system(path)
     if "*" in root:
-        top = root[: root.index("*")].rsplit("/", 1)[0]
-        wanted = re.compile("[^/]*".join(map(re.escape, root.split("*"))))
-        infos = [i for i in fs.get_file_info(FileSelector(top, recursive=True)) if wanted.fullmatch(i.path)]
+        pattern, root = root, root[: root.index("*")].rsplit("/", 1)[0]
+        wanted = re.compile("[^/]*".join(map(re.escape, pattern.split("*"))))
+        infos = [i for i in fs.get_file_info(FileSelector(root, recursive=True)) if wanted.fullmatch(i.path)]
     else:
         own = fs.get_file_info(root)
         if own.type == FileType.NotFound:
             raise FileNotFoundError(path)
         infos = [own] if own.type == FileType.File else fs.get_file_info(FileSelector(root, recursive=True))
     hidden = lambda p: any(x.startswith(("_", ".")) for x in p.removeprefix(root).split("/"))
-    head = path[: path.index(root)] if root in path else ""
+    head = "file://" if fs.type_name == "local" else path[: path.index(root)] if root in path else ""
     return sorted((head + i.path, i.size) for i in infos if i.type == FileType.File and not hidden(i.path) and (not suffixes or i.path.endswith(suffixes)))
 
 
@@ -387,7 +390,9 @@ def lines_at(wanted: DataFrame, index: DataFrame) -> DataFrame:
     """
     from sluice.operators.joins import owners
 
-    own = owners(wanted.select("path", "line").where("path IS NOT NULL AND line >= 0").distinct(), index.withColumnRenamed("line", "start").select("path", "start", "offset", "end", "next_line"), "path", "line", "start", "next_line")
+    # local paths are file:/x or file:///x, as they were given to Spark
+    path = F.regexp_replace("path", "^(?:file:)?/+", "file:///").alias("path")
+    own = owners(wanted.select(path, "line").where("path IS NOT NULL AND line >= 0").distinct(), index.select(path, F.col("line").alias("start"), "offset", "end", "next_line"), "path", "line", "start", "next_line")
     ranges = own.where("offset IS NOT NULL").groupBy("path", "start", "offset", "end").agg(F.sort_array(F.collect_list("line")).alias("lines"))  # at most as many as a point has
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,12 +7,12 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.functions import text as tx
-from sluice.operators.prefix import accumulated
+from sluice.operators.prefix import accumulated, carried
 
 from . import ranges
 
@@ -161,22 +161,30 @@ def select_parquet(spark: SparkSession, path: str, predicate: Column | str, colu
 
 
 def batches(df: DataFrame, columns: list[str], rows: int = 2048) -> Iterator[pa.RecordBatch]:
-    """The chosen columns in Arrow batches of at most so many rows; one partition at a time comes to the driver."""
-    names = {c: df.schema[c].dataType for c in columns}
-    have: list = []
-    for row in df.select(*columns).toLocalIterator(prefetchPartitions=True):
-        have.append(row.asDict(True))
-        if len(have) == rows:
-            yield pa.RecordBatch.from_pylist(have, schema=to_arrow_schema(names))
-            have = []
-    if have:
-        yield pa.RecordBatch.from_pylist(have, schema=to_arrow_schema(names))
+    """The chosen columns in Arrow batches of `rows` rows (the last one of what is left), columnar all the way.
 
-
-def to_arrow_schema(columns: dict) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return pa.schema([(name, to_arrow_type(kind)) for name, kind in columns.items()])
+    Tasks send Arrow streams of at most so many rows; one partition at a time comes to the driver.
+    """
+    own = df.select(*columns)
+
+    def packed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for a in range(0, part.num_rows, rows):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as out:
+                    out.write_batch(part.slice(a, rows))
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["z"])
+
+    have, n = [], 0
+    for row in own.mapInArrow(packed, "z binary").toLocalIterator(prefetchPartitions=True):
+        have += pa.ipc.open_stream(bytes(row.z)).read_all().to_batches()
+        n = sum(b.num_rows for b in have)
+        while n >= rows:
+            whole = pa.Table.from_batches(have).combine_chunks()
+            yield whole.slice(0, rows).to_batches()[0]
+            have, n = whole.slice(rows).to_batches(), n - rows
+    if n:
+        yield pa.Table.from_batches(have).combine_chunks().to_batches()[0]
 
 
 def key_ranges(spark: SparkSession, low: int, high: int, n: int) -> DataFrame:
@@ -290,7 +298,6 @@ def missing_runs(expected: DataFrame, found: DataFrame, on: str = "run_name") ->
 def log_points(raw: DataFrame, step: str = r"step[= ](\d+)", value: str = r"^\s*([\w./-]+)\s*[:=]\s*(-?\d+(?:\.\d+)?(?:e-?\d+)?)\s*$") -> DataFrame:
     """(path, step, key, value) from log lines (path, line_index, value): values under the last step header above them."""
     head = F.regexp_extract("value", step, 1)
-    w = Window.partitionBy("path").orderBy("line_index").rowsBetween(Window.unboundedPreceding, 0)
-    own = raw.withColumn("step", F.last(F.when(head != "", head.cast("long")), ignorenulls=True).over(w))
+    own = carried(raw.withColumn("_head", F.when(head != "", head.cast("long"))), ["line_index"], "_head", ["path"]).withColumnRenamed("_last", "step")
     key = F.regexp_extract("value", value, 1)
     return own.where((key != "") & (head == "") & F.col("step").isNotNull()).select("path", "step", key.alias("key"), F.regexp_extract("value", value, 2).cast("double").alias("value"))

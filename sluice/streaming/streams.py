@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import itertools
+import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -14,24 +15,84 @@ from sluice.operators.prefix import accumulated
 from sluice.sources.storage import checkpointed
 
 
-def ingest_until(stream: DataFrame, sink: str, checkpoint: str, budget: int, tokens: str = "n_tokens"):
-    """Appends micro-batches until the sink holds the budget's tokens; what is there is counted before each batch.
+class Ingest:
+    """A running ingestion: `awaitTermination` returns once the input or the budget is used up."""
 
-    A batch's rows are written under its number, so that a repeated batch replaces itself.
+    def __init__(self, query, reached: threading.Event):
+        self.query, self.reached, self._ended = query, reached, threading.Event()
+        threading.Thread(target=self._watch, daemon=True).start()
+
+    def _watch(self) -> None:
+        while self.query.isActive and not self.reached.wait(0.2):
+            pass
+        if self.reached.is_set():
+            self.query.stop()
+        self._ended.set()
+
+    def awaitTermination(self, timeout: float | None = None) -> bool:  # noqa: N802  as Spark's queries have it
+        done = self._ended.wait(timeout)
+        if done and not self.reached.is_set():
+            self.query.awaitTermination()  # raises what has ended it
+        return done
+
+
+def ingest_until(stream: DataFrame, sink: str, checkpoint: str, budget: int, tokens: str = "n_tokens") -> Ingest:
+    """Appends micro-batches until their tokens reach the budget, and ends the query then; what is behind stays unread.
+
+    A batch's tokens are counted while it is written. The total so far goes into a log beside the checkpoint, a small
+    file for each batch, so that neither a batch nor a restart reads the sink. A batch's rows are written under its
+    number, so that a repeated batch replaces itself.
     """
+    spark, reached = stream.sparkSession, threading.Event()
+    log = f"{checkpoint}-totals"
+
+    def total_before(epoch: int) -> int:
+        before = [e for e in _numbers(spark, log) if e < epoch]
+        return int(_text(spark, f"{log}/{max(before)}")) if before else 0
 
     def step(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        try:
-            have = spark.read.parquet(sink).where(F.col("epoch") != epoch).agg(F.coalesce(F.sum(tokens), F.lit(0))).first()[0]
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            have = 0
+        have = total_before(epoch)
         if have < budget:
-            batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(sink)
+            seen = Observation()
+            own = batch.withColumn("epoch", F.lit(epoch)).observe(seen, F.coalesce(F.sum(tokens), F.lit(0)).alias("n"))
+            own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(sink)
+            have += int(seen.get["n"])
+            _put(spark, f"{log}/{epoch}", str(have))
+        if have >= budget:
+            reached.set()
+
+    return Ingest(stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), reached)
+
 
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _store(spark: SparkSession, path: str):
+    """(file system, path) as Spark's own Hadoop client has them: any storage that Spark can write."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), own
+
+
+def _numbers(spark: SparkSession, folder: str) -> list[int]:
+    fs, path = _store(spark, folder)
+    return [int(s.getPath().getName()) for s in fs.listStatus(path) if s.getPath().getName().isdigit()] if fs.exists(path) else []
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, there as a whole or not at all."""
+    fs, final = _store(spark, path)
+    _, part = _store(spark, f"{path}.part")
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(final, False)
+    fs.rename(part, final)
+
+
+def _text(spark: SparkSession, path: str) -> str:
+    fs, own = _store(spark, path)
+    stream = fs.open(own)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
 
 
 def poll_evaluations(spark: SparkSession, folder: str, labels: int, max_files: int = 100) -> DataFrame:

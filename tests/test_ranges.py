@@ -85,7 +85,7 @@ def test_lines_by_offset_read_only_their_ranges(spark, tmp_path):
     points = {(r.path.rsplit("/", 1)[-1], r.line): r.offset for r in index.collect()}
     at = np.append(0, np.cumsum([len(x.encode()) + 1 for x in lines]))
     assert all(at[line] == offset for (p, line), offset in points.items() if p == "a.txt") and len(points) < 5000 / 8
-    a, b = (str(tmp_path / x) for x in ("a.txt", "b.txt"))
+    a, b = (f"file://{tmp_path / x}" for x in ("a.txt", "b.txt"))
     asked = [0, 1, 15, 16, 17, 1234, 4999, 5000, 70_000, -1]
     wanted = spark.createDataFrame([(a, i) for i in asked] + [(a, 16), (b, 0), (b, 2), (b, 3), (b, 4), (None, 1), ("nowhere", 1)], "path string, line long")
     got = {(r.path[-5:], r.line): (r.value, r.n_bytes) for r in ranges.lines_at(wanted, index).collect()}
