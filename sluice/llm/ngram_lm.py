@@ -17,7 +17,7 @@ Log10 probabilities and those of falling back from a context are whole numbers o
 score is an exact sum, whatever the order. All levels lie in one buffer of plain arrays, which `Trie.opened` views where
 it is, be it a batch of Arrow or a memory-mapped file.
 
-Words are told apart by 64-bit hashes, n-grams by 62-bit ones. Null texts are empty, and an empty text is one end.
+Words are told apart by 62-bit hashes, longer n-grams by as many bits as leave one in 2^22 with another's number added. Null texts are empty, and an empty text is one end.
 A row without an id is scored and never learnt from; repeated rows are learnt from and scored each by itself. Texts
 are taken whole, however long: one longer than a run is a run. Without training texts every probability is 1. Empty
 tables give no rows; further columns aren't read.
@@ -295,11 +295,17 @@ def _different(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return value[new], inverse
 
 
-def grams_of(words: np.ndarray, codes: np.ndarray, first: np.ndarray, trained: np.ndarray, order: int) -> list[Grams]:
+def key_bits(tokens: int, order: int) -> int:
+    """Bits of the keys of n-grams beyond words: so many that of all n-grams one in 2^22 shares its key with another."""
+    return min(62, max(24, (max(1, tokens * order) - 1).bit_length() + 22))
+
+
+def grams_of(words: np.ndarray, codes: np.ndarray, first: np.ndarray, trained: np.ndarray, order: int, bits: int = 62) -> list[Grams]:
     """The n-grams of orders 1 to `order`: words are hashes, codes their places, trained a flag for each text."""
     m, nth = len(words), np.arange(len(codes)) - np.repeat(first[:-1], np.diff(first))
     learnt = np.repeat(trained, np.diff(first))
-    key = lambda h, k: (wordhash.mix(h + U(k)) & ~U(3)) | U(min(k, 3))  # noqa: E731  the last bits tell orders apart
+    kept = ~U((1 << (64 - bits)) - 1)
+    key = lambda h, k: (wordhash.mix(h + U(k)) & (~U(3) if k == 1 else kept)) | U(min(k, 3))  # noqa: E731  the last bits tell orders apart
     every, node, chain = np.arange(m), codes.astype(np.int64), words
     out = [Grams(every, every, every, key(words, 1), np.bincount(codes, learnt, m).astype(np.int64), np.arange(len(codes)), node)]
     for k in range(2, order + 1):
@@ -363,10 +369,10 @@ def runs(docs: DataFrame, modulus: int = 7, held: int = 2, run_bytes: int = RUN_
     return common.id_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, RUN)
 
 
-def _opened(row: dict, order: int) -> tuple[list[Grams], np.ndarray, np.ndarray]:
+def _opened(row: dict, order: int, bits: int) -> tuple[list[Grams], np.ndarray, np.ndarray]:
     """(n-grams, codes, first) of a run."""
     words, codes, first = np.frombuffer(row["words"], np.uint64), restored(row["codes"], np.int32), restored(row["first"], np.int64)
-    return grams_of(words, codes, first, np.frombuffer(row["trained"], bool), order), codes, first
+    return grams_of(words, codes, first, np.frombuffer(row["trained"], bool), order, bits), codes, first
 
 
 def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -375,14 +381,14 @@ def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
 
 
-def totals(of_runs: DataFrame, order: int, parts: int) -> DataFrame:
+def totals(of_runs: DataFrame, order: int, parts: int, bits: int) -> DataFrame:
     """(run, part, sums, n_words): how often training texts have each of a run's n-grams, in the order of their keys."""
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)}
-                grams, _, _ = _opened(row, order)
+                grams, _, _ = _opened(row, order, bits)
                 keys, n = np.concatenate([g.key for g in grams]), np.concatenate([g.trained for g in grams])
                 by = np.argsort(keys)
                 keys, n = keys[by], n[by]
@@ -431,12 +437,13 @@ def scored(docs: DataFrame, order: int = 3, priors: tuple[float, ...] = PRIORS,
     """
     own = common.written(runs(docs, modulus, held, run_bytes, id_col, text_col), "text-runs")
     tokens, n_train = own.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_trained"), F.lit(0))).first()
-    sums = common.written(totals(own, order, max(1, -(-tokens * order // part_keys))), "n-gram-sums")
+    bits = key_bits(tokens, order)
+    sums = common.written(totals(own, order, max(1, -(-tokens * order // part_keys)), bits), "n-gram-sums")
     n_words = sums.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
 
     def score(texts: pa.Table, parts: pa.Table) -> pa.Table:
         row = texts.to_pylist()[0]
-        grams, codes, first = _opened(row, order)
+        grams, codes, first = _opened(row, order, bits)
         parts = parts.sort_by("part")
         keys, n = np.concatenate([g.key for g in grams]), np.empty(sum(len(g.key) for g in grams), np.int64)
         n[np.argsort(keys)] = np.concatenate([restored(x.as_buffer(), np.int64) for x in parts["sums"]])
