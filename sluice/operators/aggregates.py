@@ -209,7 +209,7 @@ def merged(states: DataFrame, alpha: float | None = None, ckpt: str = "ckpt", ke
     place = order.withColumn("_i", F.row_number().over(Window.orderBy(ckpt)) - 1)
     weights = ema_weights(n, alpha) if alpha is not None else [1.0 / max(1, n)] * n
     weight = F.element_at(F.array(*map(F.lit, weights or [0.0])), F.col("_i") + 1)
-    own = states.join(F.broadcast(place), ckpt).withColumn("_w", weight)
+    own = states.join(F.broadcast(place) if n <= 100_000 else place, ckpt).withColumn("_w", weight)
     return own.groupBy(*key).agg((F.sum(F.col("_w") * F.col(value).cast("double")) / F.sum("_w")).alias(value))
 
 

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from sluice.sources.storage import checkpointed
 
 SINGLE_TASK_ROWS = 2_000_000
-#: Rows of sums by group and range that may be broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of sums by group and range (as text) that may be broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 1 << 26
 
 
 def _named(order: list) -> list[Column]:
@@ -58,7 +58,8 @@ def with_before(rows: DataFrame, by: list[str], before: DataFrame) -> DataFrame:
     on = F.col("_range") == F.col("_b__range")
     for b in by:
         on = on & F.col(b).eqNullSafe(F.col(f"_b_{b}"))
-    side = F.broadcast(before) if before.count() <= BROADCAST_ROWS else before
+    size = before.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*"))) + 64), F.lit(0))).first()[0]
+    side = F.broadcast(before) if size <= BROADCAST_BYTES else before
     return rows.join(side, on).drop("_b__range", *[f"_b_{b}" for b in by])
 
 

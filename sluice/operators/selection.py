@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,7 +61,8 @@ def fill_budget(df: DataFrame, tokens: str, budget: Column | float, order: list,
 def trim_budget(df: DataFrame, tokens: str, budget: int, order: list[str], by: list[str]) -> DataFrame:
     """All documents until floor(.98 budget); from there those are skipped that would go beyond floor(1.02 budget).
 
-    The head is a running sum. What comes behind it is folded row by row, in a task for each group. As long as the budget
+    The head is a running sum. What comes behind it is gone through in a task for each group, by jumps from one document that
+    is skipped to the next. As long as the budget
     isn't reached, every document of at most 1.02 - 1 budgets is taken; so the fold gets no rows from where these alone
     have reached it.
     """
@@ -77,20 +80,29 @@ def trim_budget(df: DataFrame, tokens: str, budget: int, order: list[str], by: l
     tail = tail.where(F.col("excl") < budget - F.col("_kept")).select(*names, "_kept", "_rn")
     n_at, k_at, by_at = names.index(tokens), len(names), [names.index(b) for b in by]
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, kept = None, 0
-        for pdf in batches:
-            take = []
-            for row in pdf.itertuples(index=False, name=None):
-                own = tuple(row[i] for i in by_at)
-                if own != group:
-                    group, kept = own, int(row[k_at])
-                ok = kept < budget and kept + row[n_at] <= high
-                kept += row[n_at] if ok else 0
-                take.append(ok)
-            yield pdf[take][names]
-
-    rest = tail.repartition(*by).sortWithinPartitions(*by, "_rn").mapInPandas(fold, df.schema)
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, kept = object(), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, first = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (n_at, k_at))
+            new = np.zeros(batch.num_rows, bool)
+            for i in by_at:
+                code = batch.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                new[1:] |= code[1:] != code[:-1]
+            take = np.zeros(batch.num_rows, bool)
+            for a, b in itertools.pairwise([0, *np.flatnonzero(new), batch.num_rows]):
+                if (own := tuple(batch.column(i)[a].as_py() for i in by_at)) != group:
+                    group, kept = own, int(first[a])
+                total, at = np.append(0, np.cumsum(n[a:b])), 0
+                while at < b - a and kept < budget:  # from document to document that is skipped
+                    fits = int(np.searchsorted(total, total[at] + high - kept, "right")) - 1
+                    to = min(fits, int(np.searchsorted(total, total[at] + budget - kept, "left")), b - a)
+                    take[a + at : a + to] = True
+                    kept, at = kept + int(total[to] - total[at]), to + 1
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(take)).columns[: len(names)], names)
+
+    rest = tail.repartition(*by).sortWithinPartitions(*by, "_rn").mapInArrow(fold, df.schema)
     return head.select(*names).unionByName(rest)
 
 
@@ -229,20 +241,13 @@ def fitting_sample(files: DataFrame, by: str, key: str, tokens: str = "est_token
 
 
 def top_up(files: DataFrame, by: str, key: str, size: str = "size", rate: str = "rate", current: str = "current", target: str = "target", tolerance: float = 0.02) -> DataFrame:
-    """Smallest files first until current + taken reaches target / (1 + tolerance), skipping what passes target / (1 - tolerance)."""
-    schema = files.schema
+    """Smallest files (by size x rate) first until current + taken reaches target / (1 + tolerance), skipping what passes target / (1 - tolerance).
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([size, key])
-        goal = float(pdf[target].iloc[0])
-        low, high, got, take = goal / (1 + tolerance), goal / (1 - tolerance), float(pdf[current].iloc[0]), []
-        for n in pdf[size] * pdf[rate]:
-            ok = got < low and got + n <= high
-            got += n if ok else 0
-            take.append(ok)
-        return pdf[take][schema.names]
-
-    return files.groupBy(by).applyInPandas(run, schema)
+    As sizes rise, what is skipped is followed by skipped files only: the files taken are a prefix, given by running sums.
+    """
+    run = accumulated(files.withColumn("_n", F.col(size) * F.col(rate)), ["_n", key], "_n", [by])
+    low, high = F.col(target) / (1 + tolerance), F.col(target) / (1 - tolerance)
+    return run.where((F.col(current) + F.col("excl") < low) & (F.col(current) + F.col("incl") <= high)).select(*files.columns)
 
 
 def holdout(df: DataFrame, key: str, by: list[str], fraction: float = 0.0015, seed: int = 42) -> DataFrame:

@@ -36,7 +36,7 @@ def test_two_phases_give_what_a_window_gives(spark, by):
 
 
 def test_sums_of_many_groups_are_joined_by_a_shuffle(spark, monkeypatch):
-    monkeypatch.setattr(prefix, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(prefix, "BROADCAST_BYTES", 0)
     df = grouped(spark)
     got = prefix.accumulated(df, ["k"], "v", ["g"], single_task_rows=20, ranges=7)
     want = prefix.accumulated(df, ["k"], "v", ["g"])
