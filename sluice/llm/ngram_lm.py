@@ -17,7 +17,7 @@ Log10 probabilities and those of falling back from a context are whole numbers o
 score is an exact sum, whatever the order. All levels lie in one buffer of plain arrays, which `Trie.opened` views where
 it is, be it a batch of Arrow or a memory-mapped file.
 
-Words are told apart by 62-bit hashes, longer n-grams by as many bits as leave one in 2^22 with another's number added. Null texts are empty, and an empty text is one end.
+Words are told apart by 62-bit hashes, longer n-grams by as many bits as leave one in 2^20 with another's number added. Null texts are empty, and an empty text is one end.
 A row without an id is scored and never learnt from; repeated rows are learnt from and scored each by itself. Texts
 are taken whole, however long: one longer than a run is a run. Without training texts every probability is 1. Empty
 tables give no rows; further columns aren't read.
@@ -38,7 +38,9 @@ from . import common, wordhash
 from .wordhash import U
 
 #: Bytes of text of a run, n-grams of a part, steps of a unit of log10.
-RUN_BYTES, PART_KEYS, STEPS = 1 << 23, 1 << 21, 2048
+RUN_BYTES, PART_KEYS, STEPS = 5 << 20, 1 << 21, 2048
+#: N-grams that are looked up together.
+TOGETHER = 1 << 17
 #: Prior weights of orders 2, 3, ...
 PRIORS = (300.0, 10.0)
 END = U(0x2545F4914F6CDD1D)
@@ -215,12 +217,14 @@ class Trie:
 
     def costs(self, grams: list[Grams]) -> list[np.ndarray]:
         """Of each order's n-grams: the probability's steps, from the trie or, by falling back, from the n-gram's end."""
-        place, out = np.arange(self.n_words), [self.levels[0].value.astype(np.int64)]
+        place, out = np.arange(self.n_words), [self.levels[0].value.astype(np.int32)]
         for k in range(1, len(self.levels)):
             context, word = place[grams[k].context], grams[k].word
             known = np.flatnonzero(context >= 0)
             place = np.full(len(word), -1)
-            place[known] = self.child(k, context[known], word[known])
+            for a in range(0, len(known), TOGETHER):
+                part = known[a : a + TOGETHER]
+                place[part] = self.child(k, context[part], word[part])
             cost = out[-1][grams[k].suffix]
             cost[known] += self.levels[k - 1].back[context[known]]
             there = place >= 0
@@ -281,43 +285,56 @@ class Grams:
     at: np.ndarray  # which one that is
 
 
+#: Places within a run: a run's tokens stay far below 2^31.
+PLACE = np.int32
+
+
 def _different(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(different values in order, place of each among them), by sorting value and place as one number if that fits."""
     bits = max(1, len(x) - 1).bit_length()
     if int(x.max(initial=0)) >> (63 - bits):
-        return np.unique(x, return_inverse=True)
-    both = np.sort((x << bits) | np.arange(len(x)))
-    value = both >> bits
+        each, inverse = np.unique(x, return_inverse=True)
+        return each, inverse.astype(PLACE)
+    x = x << bits
+    x |= np.arange(len(x))
+    x.sort()
+    at = (x & ((1 << bits) - 1)).astype(PLACE)
+    x >>= bits
     new = np.ones(len(x), bool)
-    new[1:] = value[1:] != value[:-1]
-    inverse = np.empty(len(x), np.int64)
-    inverse[both & ((1 << bits) - 1)] = np.cumsum(new) - 1
-    return value[new], inverse
+    new[1:] = x[1:] != x[:-1]
+    inverse = np.empty(len(x), PLACE)
+    inverse[at] = np.cumsum(new, dtype=PLACE) - 1
+    return x[new], inverse
 
 
 def key_bits(tokens: int, order: int) -> int:
-    """Bits of the keys of n-grams beyond words: so many that of all n-grams one in 2^22 shares its key with another."""
-    return min(62, max(24, (max(1, tokens * order) - 1).bit_length() + 22))
+    """Bits of the keys of n-grams beyond words: so many that of all n-grams one in 2^20 shares its key with another."""
+    return min(62, max(24, (max(1, tokens * order) - 1).bit_length() + 20))
 
 
 def grams_of(words: np.ndarray, codes: np.ndarray, first: np.ndarray, trained: np.ndarray, order: int, bits: int = 62) -> list[Grams]:
     """The n-grams of orders 1 to `order`: words are hashes, codes their places, trained a flag for each text."""
-    m, nth = len(words), np.arange(len(codes)) - np.repeat(first[:-1], np.diff(first))
+    m, nth = len(words), (np.arange(len(codes)) - np.repeat(first[:-1], np.diff(first))).astype(PLACE)
     learnt = np.repeat(trained, np.diff(first))
     kept = ~U((1 << (64 - bits)) - 1)
     key = lambda h, k: (wordhash.mix(h + U(k)) & (~U(3) if k == 1 else kept)) | U(min(k, 3))  # noqa: E731  the last bits tell orders apart
-    every, node, chain = np.arange(m), codes.astype(np.int64), words
-    out = [Grams(every, every, every, key(words, 1), np.bincount(codes, learnt, m).astype(np.int64), np.arange(len(codes)), node)]
+    every, node, chain = np.arange(m, dtype=PLACE), codes.astype(PLACE), words
+    out = [Grams(every, every, every, key(words, 1), np.bincount(codes, learnt, m).astype(np.int64), np.arange(len(codes), dtype=PLACE), node)]
     for k in range(2, order + 1):
-        own = np.flatnonzero(nth >= k - 1)
-        each, at = _different(node[own - 1] * m + codes[own])
-        context, word = each // max(1, m), each % max(1, m)
-        one = np.empty(len(each), np.int64)
+        own = np.flatnonzero(nth >= k - 1).astype(PLACE)
+        pair = node[own - 1].astype(np.int64)
+        pair *= m
+        pair += codes[own]
+        each, at = _different(pair)
+        del pair
+        context = (each // max(1, m)).astype(PLACE)
+        word = (each - context.astype(np.int64) * m).astype(PLACE)
+        one = np.empty(len(each), PLACE)
         one[at] = own  # any token at which it ends
         suffix = node[one]
         chain = wordhash.mix(chain[context] * U(0xD6E8FEB86659FD93) + words[word])
-        out.append(Grams(context, suffix, word, key(chain, k), np.bincount(at, learnt[own], len(each)).astype(np.int64), own, at))
-        node = np.full(len(codes), -1)
+        out.append(Grams(context, suffix, word, key(chain, k), np.bincount(at[learnt[own]], minlength=len(each)), own, at))
+        node = np.full(len(codes), -1, PLACE)
         node[own] = at
     return out
 
@@ -388,14 +405,15 @@ def totals(of_runs: DataFrame, order: int, parts: int, bits: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)}
-                grams, _, _ = _opened(row, order, bits)
+                run_id, (grams, _, _) = row["run"], _opened(row, order, bits)
                 keys, n = np.concatenate([g.key for g in grams]), np.concatenate([g.trained for g in grams])
+                del grams, row
                 by = np.argsort(keys)
                 keys, n = keys[by], n[by]
                 cut = _cuts(keys, parts)
                 some = [(p, a, b) for p, (a, b) in enumerate(zip(cut.tolist(), cut[1:].tolist(), strict=False)) if a < b]
                 gaps = [squeezed(np.diff(keys[a:b], prepend=U(0))) for _, a, b in some]
-                cols = [pa.array([row["run"]] * len(some), pa.int64()), pa.array([p for p, _, _ in some], pa.int64()), pa.array(gaps, pa.binary()), pa.array([squeezed(n[a:b]) for _, a, b in some], pa.binary())]
+                cols = [pa.array([run_id] * len(some), pa.int64()), pa.array([p for p, _, _ in some], pa.int64()), pa.array(gaps, pa.binary()), pa.array([squeezed(n[a:b]) for _, a, b in some], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["run", "part", "keys", "n"])
 
     def summed(group: pa.Table) -> pa.Table:
@@ -424,9 +442,9 @@ def trie_of(grams: list[Grams], n: list[np.ndarray], n_train: int, n_words: int,
             prior = priors[min(k - 1, len(priors) - 1)]
             p = (c + prior * p[g.suffix]) / (n[k - 1][g.context] + prior)
         seen = c > 0 if k else np.ones(len(c), bool)
-        context = place[g.context[seen]] if k else np.zeros(len(c), np.int64)
+        context = place[g.context[seen]] if k else np.zeros(len(c), PLACE)
         levels.append((context, g.word[seen], np.log10(p[seen]), np.log10(mu / (c[seen] + mu))))
-        place = np.where(seen, np.cumsum(seen) - 1, -1)
+        place = np.where(seen, np.cumsum(seen, dtype=PLACE) - 1, -1)
     return Trie.of(levels, len(grams[0].word))
 
 
@@ -449,7 +467,7 @@ def scored(docs: DataFrame, order: int = 3, priors: tuple[float, ...] = PRIORS,
         n[np.argsort(keys)] = np.concatenate([restored(x.as_buffer(), np.int64) for x in parts["sums"]])
         n = np.split(n, np.cumsum([len(g.key) for g in grams])[:-1])
         trie = Trie.opened(trie_of(grams, n, n_train, n_words, priors).buffer())
-        steps = np.empty(len(codes), np.int64)
+        steps = np.empty(len(codes), np.int64)  # sums of steps
         for g, cost in zip(grams, trie.costs(grams), strict=True):
             steps[g.tokens] = cost[g.at]  # the longest n-gram comes last
         at = first[:-1]  # every text has its end at least
