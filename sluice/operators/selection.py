@@ -384,7 +384,8 @@ def loss_mask(method: str, valid: Column, k: float, current: Column | None = Non
     if warmup or method in ("full", "warmup"):
         return F.transform(valid, lambda v: v.cast("int"))
     if method == "random":
-        at = F.transform(valid, lambda v, i: F.pmod(F.xxhash64(F.lit(seed), row if row is not None else F.lit(0), i), F.lit(1 << 40)).cast("double"))
+        place = lambda i: F.concat_ws(":", F.lit(str(seed)), (row if row is not None else F.lit(0)).cast("string"), i.cast("string"))
+        at = F.transform(valid, lambda v, i: F.conv(F.substring(F.md5(place(i)), 1, 12), 16, 10).cast("double"))  # 48 bits of a hash that any engine has
         return row_mask(at, valid, k)
     if method == "middle_ppl":
         return row_mask(reference, valid, k, middle=True)

@@ -13,7 +13,7 @@ from sluice.sources import bucketed, files, ranges, readers, sinks
 from sluice.streaming import stateful, streams
 
 from .operator_queries import BYTES, _folder
-from .registry import query, r6, table
+from .registry import _set_positions, query, r6, table, vectors
 
 # --- parts of files ---
 
@@ -165,6 +165,31 @@ def sketched_quantiles(spark, d):
     return sketches.reported(sketches.rolled_up(stored, ["lang"], 1 << 15), {"p50": 0.5, "p95": 0.95})
 
 
+# --- masks ---
+
+METHODS = """e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings),
+s AS (SELECT vec_id, i, m, CASE m WHEN 'rel_ema' THEN x / 2 - x * x WHEN 'learnability' THEN x - x * x WHEN 'attention' THEN abs(x) WHEN 'middle_ppl' THEN -(x * x) WHEN 'random' THEN ('0x' || substr(md5('7:' || vec_id || ':' || i), 1, 12))::BIGINT::DOUBLE ELSE 0 END AS s FROM e, (SELECT unnest(['full', 'rel_ema', 'learnability', 'attention', 'middle_ppl', 'random']) AS m) WHERE i % 5 <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id, m ORDER BY s DESC, i) AS k, count(*) OVER (PARTITION BY vec_id, m) AS n FROM s),
+q AS (SELECT *, greatest(1, least(n, round_even(n * 0.3, 0))) AS keep FROM r)"""
+
+
+@query(f"WITH {METHODS} SELECT vec_id, m AS method, string_agg(i::VARCHAR, ',' ORDER BY i) AS kept FROM q WHERE CASE m WHEN 'full' THEN true WHEN 'middle_ppl' THEN k > floor((n - keep) / 2) AND k <= floor((n - keep) / 2) + keep ELSE k <= keep END GROUP BY vec_id, m")
+def mask_methods(spark, d):
+    own = F.transform("embedding", lambda x: x.cast("double"))
+    square, half = F.transform(own, lambda x: x * x), F.transform(own, lambda x: x / 2)
+    given = {
+        "full": {},
+        "rel_ema": {"history": half, "current": square},
+        "learnability": {"early": own, "late": square},
+        "attention": {"attention": F.transform(own, F.abs)},
+        "middle_ppl": {"reference": square},
+        "random": {"row": F.col("vec_id"), "seed": 7},
+    }
+    masks = F.array(*[F.struct(F.lit(m).alias("method"), selection.loss_mask(m, F.col("valid"), 0.3, **x).alias("mask")) for m, x in given.items()])
+    each = vectors(spark, d).select("vec_id", F.inline(masks))
+    return each.select("vec_id", "method", _set_positions(F.col("mask")).alias("kept"))
+
+
 # --- state ---
 
 
