@@ -17,6 +17,8 @@ connected components of the links.
 
 Texts without a word (null, empty) resemble nothing and are classes of their own. Repeated rows are in one class and
 count as one document. Classes are named by their smallest doc_id, null if a document without an id is in it.
+Texts are taken whole, however long. An empty table has no classes. Only ids and texts are read, so further columns may
+have any name; `kept` passes them on as they are.
 """
 
 from __future__ import annotations

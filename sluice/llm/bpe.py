@@ -7,7 +7,8 @@ again. A token starts where the state and the class say so. No regular expressio
 slices go through a cache to pair merging, which works on all slices that the cache lacks at once.
 
 Null texts count as empty; an empty text has no tokens. Repeated rows are encoded each by itself. Texts of any length
-are taken whole. Offsets (in bytes) of every token are kept by `Encoded.offsets`.
+are taken whole. An empty table gives no rows; further columns aren't read, whatever their names. Offsets (in bytes) of
+every token are kept by `Encoded.offsets`.
 """
 
 from __future__ import annotations

@@ -6,6 +6,8 @@ the token alphabet outside every pattern's span; it is a secret if the mean rati
 which lies above every ordinary sample's. Counts of patterns hold whatever the models say.
 
 Null texts count as empty; empty texts have no spans. Repeated rows are scanned each by itself. Texts are scanned whole.
+An empty table gives no rows, and a detector of made-up names alone. Only ids and texts are read, so further columns may
+have any name; `redacted` passes them on as they are.
 """
 
 from __future__ import annotations
