@@ -12,8 +12,8 @@ a shard and not each document's context, and are dealt by a second minimiser as
 
 Copies (equal word sequences) are searched once; each of their windows starts elsewhere. Texts of fewer than `window`
 words lose nothing; null and empty texts have no words. Repeated rows are copies. Words are compared by 64-bit hashes, segments
-by 128 bits, copies by SHA-256. Texts are taken whole, however long: a very long one is one segment of a shard. An empty
-table gives no rows; further columns aren't read, whatever their names.
+by 128 bits, copies by SHA-256. Texts are taken whole, however long. An empty table gives no
+rows; further columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
