@@ -200,7 +200,7 @@ def segment_totals(spark, d):
     own = own.join(own.groupBy("id").agg(F.count("*").alias("n_total")), "id").withColumn("at", F.timestamp_seconds(F.col("segment") + 86_400))
     own.repartition(3, "segment").write.parquet(f"{path}/in")
     stream = stateful.prepared(spark).readStream.schema(own.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    stateful.document_totals(stream).writeStream.option("checkpointLocation", f"{path}/log").trigger(availableNow=True).format("parquet").start(f"{path}/out").awaitTermination()
+    stateful.document_totals(stream, late="1000 days").writeStream.option("checkpointLocation", f"{path}/log").trigger(availableNow=True).format("parquet").start(f"{path}/out").awaitTermination()
     got = spark.read.schema(stateful.TOTALS).parquet(f"{path}/out")
     return got.withColumn("sum_loss", r6("sum_loss"))
 
