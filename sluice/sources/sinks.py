@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,24 +88,34 @@ def parquet(df: DataFrame, path: str, compression: str = "zstd") -> None:
 def token_shards(df: DataFrame, ids: str, order: list[str], shard_tokens: int, eos: int | None = None, by: list[str] | None = None, dtype: str = "<u4") -> DataFrame:
     """([by,] shard, n_tokens, content): the stream of ids (with an end token each) in aligned shards of raw tokens.
 
-    Documents are cut at shard borders; a shard's parts meet in one task.
+    Documents become bytes first and are cut at shard borders, so that bytes are shuffled; a shard's parts meet in one task.
     """
     own = df if eos is None else df.withColumn(ids, F.concat(ids, F.array(F.lit(eos))))
-    run = accumulated(own.where(F.size(ids) > 0), order, F.size(ids), by)
+    item = np.dtype(dtype).itemsize
+    n = (F.octet_length("raw") / item).cast("long")
+    raw = own.where(F.size(ids) > 0).select(*(by or []), *order, _raw_tokens(dtype)(F.col(ids)).alias("raw")).withColumn("n", n)
+    run = accumulated(raw, order, "n", by)
     first, last = F.floor(F.col("excl") / shard_tokens), F.floor((F.col("incl") - 1) / shard_tokens)
-    cut = run.select(*(by or []), "excl", ids, F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("shard"))
+    cut = run.select(*(by or []), "excl", "n", "raw", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("shard"))
     low = F.greatest(F.lit(0), F.col("shard") * shard_tokens - F.col("excl"))
-    part = F.slice(ids, (low + 1).cast("int"), (F.least(F.size(ids), (F.col("shard") + 1) * shard_tokens - F.col("excl")) - low).cast("int"))
-    cut = cut.select(*(by or []), "shard", F.col("excl").alias("at"), part.alias("ids"))
-    keys = [*(by or []), "shard"]
-    schema = ", ".join(f"{c} {cut.schema[c].dataType.simpleString()}" for c in keys) + ", n_tokens long, content binary"
+    high = F.least(F.col("n"), (F.col("shard") + 1) * shard_tokens - F.col("excl"))
+    part = F.substring("raw", (low * item + 1).cast("int"), ((high - low) * item).cast("int"))
+    cut = cut.select(*(by or []), "shard", F.col("excl").alias("at"), part.alias("raw"))
+    joined = cut.groupBy(*(by or []), "shard").agg(F.expr("listagg(raw) WITHIN GROUP (ORDER BY at)").alias("content"))
+    return joined.select(*(by or []), "shard", (F.octet_length("content") / item).cast("long").alias("n_tokens"), "content")
 
-    def run_group(t: pa.Table) -> pa.Table:
-        t = t.sort_by("at")
-        flat = t["ids"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(dtype)
-        return pa.table({**{c: t[c].slice(0, 1) for c in keys}, "n_tokens": pa.array([len(flat)], pa.int64()), "content": pa.array([flat.tobytes()], pa.binary())})
 
-    return cut.groupBy(*keys).applyInArrow(run_group, schema)
+def _raw_tokens(dtype: str):
+    """Ids as the bytes of their raw array."""
+
+    @F.arrow_udf("binary")
+    def raw(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in ids:
+            own = part.flatten().to_numpy(zero_copy_only=False).astype(dtype)
+            ends = np.append(0, np.cumsum(pc.list_value_length(part).to_numpy(zero_copy_only=False))).astype(np.int32) * np.int32(own.itemsize)
+            yield pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends), pa.py_buffer(own)])
+
+    return raw
 
 
 def token_files(shards: DataFrame, path: str, by: list[str] | None = None, suffix: str = ".u32le.bin") -> None:
