@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -141,21 +143,36 @@ def one_epoch(shards: DataFrame, seq_len: int, needed: int | None = None, tokens
     return out.withColumn("n_sequences", F.when(F.col("n_sequences") < needed, F.raise_error(F.lit("more than one epoch")).cast("long")).otherwise(F.col("n_sequences")))
 
 
-def fingerprint(df: DataFrame, order: list[str], fields: list[str], fan: int = 4096) -> DataFrame:
+def fingerprint(df: DataFrame, order: list[str], fields: list[str], fan: int = 4096, levels: int | None = None) -> DataFrame:
     """SHA-256 over the ordered rows' canonical JSON (fields by name), as a tree.
 
     Each `fan` neighbouring digests are joined by newlines and hashed again, until one is left; no task gets more. Of no
-    rows it is the hash of nothing.
+    rows it is the hash of nothing. With `levels`, the tree has as many whatever the number of rows: the last one hashes
+    all that are left, which a task reads in order as a stream.
     """
     row = F.sha2(F.to_json(F.struct(*sorted(fields))), 256)
     level = accumulated(df.select(*order, row.alias("h")), list(order)).select((F.col("rn") - 1).alias("i"), "h")
-    n = level.count()
+    n, done = level.count(), 1
     while True:
         joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]), "\n")
-        if n <= fan:
+        if levels is None and n <= fan:
             return level.agg(F.sha2(joined, 256).alias("fingerprint"))
+        if levels is not None and done >= levels:
+            one = level.repartition(1).sortWithinPartitions("i").select("h").mapInArrow(_streamed_sha256, "h string")
+            return one.agg(F.coalesce(F.max("h"), F.sha2(F.lit(""), 256)).alias("fingerprint"))
         level = checkpointed(level.groupBy(F.floor(F.col("i") / fan).alias("g")).agg(F.sha2(joined, 256).alias("h")).select(F.col("g").alias("i"), "h"))
-        n = -(-n // fan)
+        n, done = -(-n // fan), done + 1
+
+
+def _streamed_sha256(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of a task's digests, joined by newlines; nothing for a task without any."""
+    own, between = hashlib.sha256(), b""
+    for batch in batches:
+        if batch.num_rows:
+            own.update(between + "\n".join(batch.column(0).to_pylist()).encode())
+            between = b"\n"
+    if between:
+        yield pa.RecordBatch.from_arrays([pa.array([own.hexdigest()])], ["h"])
 
 
 def segments(ids: Column, seq_len: int) -> Column:
