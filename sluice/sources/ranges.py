@@ -22,6 +22,8 @@ from .files import file_system
 
 #: Bytes of a file that a task reads, and rows that it sends on together.
 RUN_BYTES, ROWS = 1 << 26, 4096
+#: Tasks that runs and small files are dealt to before tasks get more than `run_bytes` each (RUN_BYTES at most).
+TASKS = 256
 
 
 def listed(path: str, suffixes: tuple[str, ...] = ()) -> list[tuple[str, int]]:
@@ -250,10 +252,10 @@ def array_layout(source, length: int, dtype: str | None) -> tuple[str, int]:
 
 
 @dataclass
-class TokenRun(InputPartition):
+class TokenRun:
     path: str
-    dtype: str
-    at: int  # byte of the file's first token
+    dtype: str | None
+    at: int  # byte of the file's first token; -1: the whole file, whose layout the task looks up
     start: int  # token
     end: int
 
@@ -262,30 +264,60 @@ class TokenReader(DataSourceReader):
     def __init__(self, path: str, dtype: str | None, row_tokens: int, run_bytes: int):
         self.path, self.dtype, self.row_tokens, self.run_bytes = path, dtype, row_tokens, run_bytes
 
-    def partitions(self) -> list[TokenRun]:
-        out = []
-        for name, length in listed(self.path):
+@dataclass
+class TokenRuns(InputPartition):
+    runs: list[TokenRun]
+
+
+#: What opening a file counts for when files are dealt to tasks, and ids that a task holds at once.
+OPEN_BYTES, HELD_IDS = 1 << 12, 1 << 18
+
+
+    def partitions(self) -> list[TokenRuns]:
+        found = listed(self.path)
+        most = max(self.run_bytes, min(RUN_BYTES, sum(max(OPEN_BYTES, length) for _, length in found) // TASKS))
+        runs: list[tuple[int, TokenRun]] = []
+        for name, length in found:
+            if length <= most:
+                runs.append((max(OPEN_BYTES, length), TokenRun(name, self.dtype, -1, 0, 0)))
+                continue
             fs, root = file_system(name)
             with fs.open_input_file(root) as source:
                 dtype, at = array_layout(source, length, self.dtype)
             item = np.dtype(dtype).itemsize
-            n, step = (length - at) // item, max(1, self.run_bytes // item // self.row_tokens) * self.row_tokens
-            out += [TokenRun(name, dtype, at, s, min(n, s + step)) for s in range(0, n, step)]
-        return out or [TokenRun("", "<u4", 0, 0, 0)]
-
-    def read(self, run: TokenRun) -> Iterator[pa.RecordBatch]:
-        if run.start == run.end:
-            return
+            n, step = (length - at) // item, max(1, most // item // self.row_tokens) * self.row_tokens
+            runs += [((min(n, s + step) - s) * item, TokenRun(name, dtype, at, s, min(n, s + step))) for s in range(0, n, step)]
+        out, have = [TokenRuns([])], 0
+        for size, run in runs:
+            if out[-1].runs and have + size > most:
+                out.append(TokenRuns([]))
+                have = 0
+            out[-1].runs.append(run)
+            have += size
+        return out
+
+    def read(self, part: TokenRuns) -> Iterator[pa.RecordBatch]:
+        for run in part.runs:
+            yield from self._rows(run)
+
+    def _rows(self, run: TokenRun) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(run.path)
-        item = np.dtype(run.dtype).itemsize
         with fs.open_input_file(root) as source:
-            for s in range(run.start, run.end, self.row_tokens):
-                n = min(self.row_tokens, run.end - s)
-                source.seek(run.at + s * item)
-                ids = np.frombuffer(source.read(n * item), run.dtype).astype(np.int64)
+            dtype, at, end = run.dtype, run.at, run.end
+            if at < 0:
+                dtype, at = array_layout(source, source.size(), dtype)
+                end = (source.size() - at) // np.dtype(dtype).itemsize
+            item, kind = np.dtype(dtype).itemsize, np.dtype(dtype).str
+            held = max(1, HELD_IDS // self.row_tokens) * self.row_tokens
+            for s in range(run.start, end, held):
+                n = min(held, end - s)
+                source.seek(at + s * item)
+                ids = np.frombuffer(source.read(n * item), dtype).astype(np.int64)
                 if len(ids) != n:
                     raise ValueError(f"{run.path} ends before token {s + n}")
-                yield pa.RecordBatch.from_arrays([pa.array([run.path]), pa.array([s], pa.int64()), pa.array([np.dtype(run.dtype).str]), pa.array([ids], pa.list_(pa.int64()))], ["path", "start", "dtype", "ids"])
+                starts = np.arange(0, n, self.row_tokens)
+                rows = pa.ListArray.from_arrays(pa.array(np.append(starts, n), pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([pa.array([run.path] * len(rows)), pa.array(s + starts, pa.int64()), pa.array([kind] * len(rows)), rows], ["path", "start", "dtype", "ids"])
 
 
 class Tokens(DataSource):
@@ -305,7 +337,8 @@ class Tokens(DataSource):
 def token_ranges(spark: SparkSession, path: str, dtype: str | None = "<u4", row_tokens: int = 1 << 16, run_bytes: int = RUN_BYTES) -> DataFrame:
     """(path, start, dtype, ids) of raw token arrays: rows of at most `row_tokens` ids from token `start` on.
 
-    Files are cut into ranges of whole rows by their lengths; only heads are read to plan, if dtype is None or for .npy.
+    Files are cut into ranges of whole rows by their lengths; only heads of files that are cut are read to plan. A task
+    gets about `run_bytes`, of as many files as it takes; more (up to RUN_BYTES) where there were over TASKS tasks else.
     """
     spark.dataSource.register(Tokens)
     rows = spark.read.format("sluice_tokens").option("rowTokens", row_tokens).option("runBytes", run_bytes)
