@@ -32,22 +32,37 @@ def file_system(path: str) -> tuple[object, str]:
 def _staged(rows: DataFrame, path: str, job: str) -> DataFrame:
     """(name, folder) of files written below the job's folder, a folder for each attempt of a task."""
 
+    pieces = "more" in rows.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(path)
-        folder, known = f"{job}/{uuid.uuid4().hex}", set()
-        for batch in batches:
-            names = batch.column(0).to_pylist()
-            for i, (name, content) in enumerate(zip(names, batch.column(1), strict=True)):
-                # a name that stands twice in a task must not lose a row before the commit sees it
-                target = f"{root}/{folder}/{i if name in known else ''}{name}"
-                known.add(name)
-                fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
-                with fs.open_output_stream(target, compression=None) as out:  # the content is what it is, whatever the suffix
+        folder, known, out = f"{job}/{uuid.uuid4().hex}", set(), None
+        try:
+            for batch in batches:
+                names, done = batch.column(0).to_pylist(), []
+                follows = batch.column(2).to_pylist() if pieces else [False] * len(names)
+                for i, (name, content, more) in enumerate(zip(names, batch.column(1), follows, strict=True)):
+                    if out is None:
+                        # a name that stands twice in a task must not lose a row before the commit sees it
+                        target = f"{root}/{folder}/{i if name in known else ''}{name}"
+                        known.add(name)
+                        fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                        out = fs.open_output_stream(target, compression=None)  # the content is what it is, whatever the suffix
                     if content.is_valid:
                         out.write(content.as_buffer())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([folder] * len(names), pa.string())], ["name", "folder"])
+                    if not more:
+                        out.close()
+                        out = None
+                        done.append(name)
+                yield pa.RecordBatch.from_arrays([pa.array(done, pa.string()), pa.array([folder] * len(done), pa.string())], ["name", "folder"])
+            if out is not None:
+                raise ValueError(f"a file without its last piece: {name}")
+        finally:
+            if out is not None:
+                out.close()
 
-    return rows.select(F.col("name").cast("string").alias("name"), F.col("content").cast("binary").alias("content")).mapInArrow(run, "name string, folder string")
+    more = [F.col("more").cast("boolean").alias("more")] if pieces else []
+    return rows.select(F.col("name").cast("string").alias("name"), F.col("content").cast("binary").alias("content"), *more).mapInArrow(run, "name string, folder string")
 
 
 def _renamed(staged: DataFrame, path: str) -> DataFrame:
@@ -76,7 +91,8 @@ def _renamed(staged: DataFrame, path: str) -> DataFrame:
 def write(rows: DataFrame, path: str, commit_files: int = COMMIT_FILES) -> int:
     """Writes each row's content under its name below path, and gives the number of files; the commit replaces older ones.
 
-    A null name, or a name of two rows, is an error, and nothing is committed then.
+    A null name, or a name of two rows, is an error, and nothing is committed then. With a column `more`, content comes in
+    pieces, each written at once: a file's rows follow each other in their task, and all but the last say that more follows.
     """
     path, job = path.rstrip("/"), f"_temporary-{uuid.uuid4().hex}"
     fs, root = file_system(path)

@@ -120,9 +120,13 @@ class Run(InputPartition):
 
 
 def frame_runs(path: str, run_bytes: int = RUN_BYTES, suffixes: tuple[str, ...] = (".zst", ".zstd")) -> list[Run]:
-    """Runs of whole frames of about `run_bytes` compressed bytes; only files longer than that are looked into."""
-    out = []
-    for name, length in listed(path, suffixes):
+    """Runs of whole frames of about `run_bytes` compressed bytes; only files longer than that are looked into.
+
+    Runs get longer (up to RUN_BYTES) where there were over TASKS of them else.
+    """
+    out, found = [], listed(path, suffixes)
+    run_bytes = max(run_bytes, min(RUN_BYTES, sum(length for _, length in found) // TASKS))
+    for name, length in found:
         starts = [0]
         if length > run_bytes:
             fs, at = file_system(name)
@@ -260,10 +264,6 @@ class TokenRun:
     end: int
 
 
-class TokenReader(DataSourceReader):
-    def __init__(self, path: str, dtype: str | None, row_tokens: int, run_bytes: int):
-        self.path, self.dtype, self.row_tokens, self.run_bytes = path, dtype, row_tokens, run_bytes
-
 @dataclass
 class TokenRuns(InputPartition):
     runs: list[TokenRun]
@@ -273,6 +273,10 @@ class TokenRuns(InputPartition):
 OPEN_BYTES, HELD_IDS = 1 << 12, 1 << 18
 
 
+class TokenReader(DataSourceReader):
+    def __init__(self, path: str, dtype: str | None, row_tokens: int, run_bytes: int):
+        self.path, self.dtype, self.row_tokens, self.run_bytes = path, dtype, row_tokens, run_bytes
+
     def partitions(self) -> list[TokenRuns]:
         found = listed(self.path)
         most = max(self.run_bytes, min(RUN_BYTES, sum(max(OPEN_BYTES, length) for _, length in found) // TASKS))

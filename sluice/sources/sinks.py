@@ -52,27 +52,29 @@ def jsonl_zstd(df: DataFrame, path: str, text: str = "text", docs_per_shard: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        def shard(number: int, task: int, parts: list[tuple[bytes, int]]) -> pa.RecordBatch:
-            # frames one after another are a Zstandard file like any other; the table says where they begin
-            content = b"".join([*[z for z, _ in parts], ranges.frame_table([(len(z), n) for z, n in parts])])
-            return pa.RecordBatch.from_arrays([pa.array([f"{prefix}-{task:05d}-{number:05d}.jsonl.zst"]), pa.array([content], pa.binary())], ["name", "content"])
+        def piece(content: bytes, more: bool) -> pa.RecordBatch:
+            name = f"{prefix}-{task:05d}-{number:05d}.jsonl.zst"
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content], pa.binary()), pa.array([more])], ["name", "content", "more"])
 
-        number, have, task, parts = 0, 0, 0, []
+        # frames one after another are a Zstandard file like any other; the table at its end says where they begin
+        number, have, task, sizes = 0, 0, 0, []
         for batch in batches:
             at = 0
             while at < batch.num_rows:
                 to = min(batch.num_rows, at + docs_per_shard - have, at + frame_docs)
                 task = batch.column(0)[at].as_py()
                 plain = "".join(x + "\n" for x in batch.column(1).slice(at, to - at).to_pylist()).encode()
-                parts.append((zstandard.ZstdCompressor().compress(plain), len(plain)))
+                frame = zstandard.ZstdCompressor().compress(plain)
+                sizes.append((len(frame), len(plain)))
+                yield piece(frame, True)
                 have, at = have + to - at, to
                 if have == docs_per_shard:
-                    yield shard(number, task, parts)
-                    number, have, parts = number + 1, 0, []
+                    yield piece(ranges.frame_table(sizes), False)
+                    number, have, sizes = number + 1, 0, []
         if have:
-            yield shard(number, task, parts)
+            yield piece(ranges.frame_table(sizes), False)
 
-    files.write(rows.mapInArrow(run, "name string, content binary"), path)
+    files.write(rows.mapInArrow(run, "name string, content binary, more boolean"), path)
     return seen.get
 
 
