@@ -3,6 +3,7 @@
 A Feistel network over a grid of a x b places (a b >= n, both about the root of n): rounds add a keyed function of one
 coordinate to the other, so each round, and the whole, is one-to-one on the grid. A number that leaves the range is sent
 through again until it is back (cycle walking); the grid has fewer than a places more than the range, so that is rare.
+A batch of numbers goes through at once, as numpy arrays.
 """
 
 from __future__ import annotations
@@ -11,6 +12,9 @@ import math
 from collections.abc import Iterator
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,35 +32,41 @@ def keys(seed: int, rounds: int = ROUNDS) -> list[int]:
     return [((seed + 1) * 1_000_003 + 7_919 * (r + 1) ** 3) % M for r in range(rounds)]
 
 
-def _mixed(x: Column, key: Column) -> Column:
+def _mixed(x: np.ndarray, key: np.ndarray) -> np.ndarray:
     """A round's function: products stay under 2^48 in any order of seeds and places."""
-    return (((x % M + key) % M * A % M + 12_345) * B) % N
+    return np.fmod((np.fmod(np.fmod(np.fmod(x, M) + key, M) * A, M) + 12_345) * B, N)
 
 
-def _div(x: Column, by: int) -> Column:
-    """Whole division of longs; a quotient of doubles is inexact beyond 2^53."""
-    return F.call_function("div", x, F.lit(by).cast("long"))
+def _once(v: np.ndarray, seed: np.ndarray, n: int, inverse: bool) -> np.ndarray:
+    """All rounds, once: place v of the grid under each seed."""
+    (a, b), sign = grid(n), -1 if inverse else 1
+    r = np.mod(v, b)
+    left = (v - np.fmod(v, b)) // b
+    for i in range(ROUNDS - 1, -1, -1) if inverse else range(ROUNDS):
+        key = np.fmod((seed + 1) * 1_000_003 + 7_919 * (i + 1) ** 3, M)  # as in `keys`
+        if i % 2:
+            r = np.mod(r + sign * np.fmod(_mixed(left, key), b), b)
+        else:
+            left = np.mod(left + sign * np.fmod(_mixed(r, key), a), a)
+    return left * b + r
 
 
 def _turned(x: Column, n: int, seed: Column | int, inverse: bool) -> Column:
-    a, b = grid(n)
-    seed = seed if isinstance(seed, Column) else F.lit(seed)
-    rounds = range(ROUNDS - 1, -1, -1) if inverse else range(ROUNDS)
-    # the key of each round, as in `keys`, for seeds in columns
-    own = F.array(*[F.struct((((seed.cast("long") + 1) * 1_000_003 + 7_919 * (r + 1) ** 3) % M).alias("k"), F.lit(r % 2).alias("odd")) for r in rounds])
-
-    def step(p: Column, key: Column) -> Column:
-        sign = -1 if inverse else 1
-        left = F.struct(F.pmod(p["l"] + sign * (_mixed(p["r"], key["k"]) % a), F.lit(a)).cast("long").alias("l"), p["r"].alias("r"))
-        right = F.struct(p["l"].alias("l"), F.pmod(p["r"] + sign * (_mixed(p["l"], key["k"]) % b), F.lit(b)).cast("long").alias("r"))
-        return F.when(key["odd"] == 1, right).otherwise(left)
-
-    def once(v: Column) -> Column:
-        start = F.struct(_div(v, b).alias("l"), F.pmod(v, F.lit(b)).cast("long").alias("r"))
-        return F.aggregate(own, start, step, lambda p: p["l"] * b + p["r"])
-
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), once(x.cast("long")), lambda v, _: F.when(v < n, v).otherwise(once(v)))
-    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("the walk did not come back")).cast("long"))
+    @F.arrow_udf("bigint")
+    def turned(x: pa.Array, seed: pa.Array) -> pa.Array:
+        known = pc.and_(pc.is_valid(x), pc.is_valid(seed))
+        key = pc.fill_null(seed, 0).to_numpy(zero_copy_only=False)
+        v = _once(pc.fill_null(x, 0).to_numpy(zero_copy_only=False), key, n, inverse)
+        for _ in range(WALKS):
+            out = np.flatnonzero(v >= n)
+            if not len(out):
+                break
+            v[out] = _once(v[out], key[out], n, inverse)
+        if ((v >= n) & known.to_numpy(zero_copy_only=False)).any():
+            raise ValueError("the walk did not come back")
+        return pc.if_else(known, pa.array(v), pa.scalar(None, pa.int64()))
+
+    return turned(x.cast("long"), (seed if isinstance(seed, Column) else F.lit(seed)).cast("long"))
 
 
 def permuted(x: Column, n: int, seed: Column | int = 0) -> Column:

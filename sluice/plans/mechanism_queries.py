@@ -134,8 +134,9 @@ def _network(walks: int = 4, seed: str = "42000::BIGINT + epoch") -> str:
 
 @query(f"WITH o AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) - 1 AS v, count(*) OVER () AS n FROM orders), g AS (SELECT *, floor(sqrt(n - 1))::BIGINT + 1 AS a FROM o), z0 AS (SELECT k, epoch, n, a, (n + a - 1) // a AS b, v FROM g, (SELECT unnest([0, 1]) AS epoch)), {_network()} SELECT k AS o_orderkey, epoch::INTEGER AS epoch, v::BIGINT AS position FROM z")
 def keyed_permutation(spark, d):
-    own = accumulated(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"]).select("o_orderkey", (F.col("rn") - 1).alias("row_index"))
-    return permutation.epoch_positions(own, own.count(), 2).select("o_orderkey", "epoch", "position")
+    orders = table(spark, d, "orders").select("o_orderkey")
+    own = accumulated(orders, ["o_orderkey"]).select("o_orderkey", (F.col("rn") - 1).alias("row_index"))
+    return permutation.epoch_positions(own, orders.count(), 2).select("o_orderkey", "epoch", "position")
 
 
 @query("SELECT doc_id, source, quality, toxic, n FROM documents JOIN labels USING (doc_id) JOIN (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) FROM documents) GROUP BY doc_id) USING (doc_id)")
