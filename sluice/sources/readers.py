@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -43,6 +44,17 @@ def _binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
 
+def _binary_below(spark: SparkSession, path: str) -> DataFrame:
+    """As _binary; where folders of the path hold a *, their common folder is listed once, not each file as a path."""
+    folder, _, name = path.rpartition("/")
+    if "*" not in folder or re.search(r"[?{}\[\]\\]", path):
+        return _binary(spark, path)
+    root = folder[: folder.index("*")].rpartition("/")[0]
+    wanted = "[^/]*".join(re.escape(x) for x in re.sub(r"^\w+:/*|^/+", "", path).split("*"))
+    found = spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter=name).load(root)
+    return found.where(F.col("path").rlike(rf"^\w+:/*{wanted}$"))
+
+
 def _packed_lines(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".zst", ".zstd")) -> DataFrame:
     """Lines of Zstandard files by runs of frames; where only Spark opens the path, a task for each whole file."""
     try:
@@ -260,7 +272,7 @@ def fixtures(spark: SparkSession, path: str, config_field: str = "_config") -> D
 
 def token_counts(spark: SparkSession, path: str, item_bytes: int = 4) -> DataFrame:
     """Counts from file lengths alone: no content is read."""
-    files = _binary(spark, path).select("path", "length")
+    files = _binary_below(spark, path).select("path", "length")
     fits = F.when(F.col("length") % item_bytes == 0, F.col("length") / item_bytes)
     return files.select("path", F.coalesce(fits, F.raise_error(F.concat(F.lit("not whole tokens: "), "path")).cast("double")).cast("long").alias("n_tokens"))
 
