@@ -104,6 +104,17 @@ def packed(docs: DataFrame, ids: str, mask: str | None, seq_len: int, order: lis
     return rows.select(*(by or []), "row", flat("ids"), *([flat("mask")] if mask else []))
 
 
+def packed_raw(docs: DataFrame, ids: str, seq_len: int, order: list[str], by: list[str] | None = None, dtype: str = "<u4") -> DataFrame:
+    """([by,] row, content): the rows of `packed` without a mask, as raw arrays of `dtype`, which has to hold every id.
+
+    Bytes of that width are sorted and shuffled instead of arrays of ids, and no row's ids are numbers of the JVM.
+    """
+    from sluice.sources.sinks import token_shards
+
+    whole = token_shards(docs, ids, order, seq_len, None, by, dtype).where(F.col("n_tokens") == seq_len)
+    return whole.select(*(by or []), F.col("shard").alias("row"), "content")
+
+
 def dropped_tail(docs: DataFrame, tokens: str, seq_len: int, by: list[str]) -> DataFrame:
     return docs.groupBy(*by).agg((F.sum(tokens) % seq_len).alias("n_dropped"), F.floor(F.sum(tokens) / seq_len).alias("n_rows"))
 

@@ -466,8 +466,8 @@ def masked_loss(spark, d):
 @query("WITH p AS (SELECT source, sum(strlen(text) + 1) AS total FROM documents GROUP BY source) SELECT source, (total // 2048)::BIGINT AS n_rows, (total // 2048 * 2048)::BIGINT AS n_tokens FROM p WHERE total >= 2048")
 def pack_rows(spark, d):
     docs = packing.tokenised(table(spark, d, "documents").select("source", "doc_id", "text"), eos=256)
-    rows = packing.packed(docs.select("source", "doc_id", "ids"), "ids", None, 2048, ["doc_id"], ["source"])
-    return rows.groupBy("source").agg(F.count("*").alias("n_rows"), F.sum(F.size("input_ids")).alias("n_tokens"))
+    rows = packing.packed_raw(docs.select("source", "doc_id", "ids"), "ids", 2048, ["doc_id"], ["source"], ">u2")
+    return rows.groupBy("source").agg(F.count("*").alias("n_rows"), F.sum((F.octet_length("content") / 2).cast("long")).alias("n_tokens"))
 
 
 @query("WITH s AS (SELECT source, sum(strlen(text)) AS n FROM documents GROUP BY source) SELECT sum(n // 2048)::BIGINT AS n_sequences FROM s")
