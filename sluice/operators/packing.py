@@ -188,12 +188,23 @@ def _streamed_sha256(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def segments(ids: Column, seq_len: int) -> Column:
     """Overlapping parts of an id array: seq_len long, each beginning with the last token of the one before."""
-    n = F.size(ids)
-    at = F.when(n >= 2, F.sequence(F.lit(0), n - 2, F.lit(seq_len - 1)))
-    parts = let(F.struct(ids.alias("ids"), at.alias("at")), lambda x: F.transform(x["at"], lambda i: F.slice(x["ids"], i + 1, seq_len)))
+    parts = _overlapping(ids, F.size(ids), seq_len, lambda x, i: F.slice(x, i + 1, seq_len))
     return F.coalesce(parts, F.array().cast("array<array<int>>"))
 
 
+def byte_segments(text: Column, seq_len: int) -> Column:
+    """The `segments` of a text's byte tokens as raw bytes, one for each id; the bytes go neither to Python nor into numbers."""
+    raw = text.cast("binary")
+    parts = _overlapping(raw, F.octet_length(raw), seq_len, lambda x, i: F.substring(x, i + 1, F.lit(seq_len)))
+    return F.coalesce(parts, F.array().cast("array<binary>"))
+
+
+def _overlapping(ids: Column, n: Column, seq_len: int, part: Callable[[Column, Column], Column]) -> Column:
+    """part(ids, i) for the first place i of each of the segments of n tokens."""
+    at = F.when(n >= 2, F.sequence(F.lit(0), n - 2, F.lit(seq_len - 1)))
+    return let(F.struct(ids.alias("ids"), at.alias("at")), lambda x: F.transform(x["at"], lambda i: part(x["ids"], i)))
+
+
 def shard_of(position: Column, shard_tokens: int) -> Column:
     return F.floor(position / shard_tokens).cast("long")
 

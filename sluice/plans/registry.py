@@ -478,8 +478,7 @@ def one_epoch_budget(spark, d):
 
 @query("SELECT doc_id, len(range(0, greatest(strlen(text) - 1, 0), 511))::INTEGER AS n_segments FROM documents")
 def overlapping_segments(spark, d):
-    ids = packing.byte_tokens(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(packing.segments(ids, 512)).alias("n_segments"))
+    return table(spark, d, "documents").select("doc_id", F.size(packing.byte_segments(F.col("text"), 512)).alias("n_segments"))
 
 
 @query("WITH s AS (SELECT DISTINCT o_custkey % 2385 AS step FROM orders), g AS (SELECT step, CASE WHEN step >= 2250 THEN 9 ELSE step // 250 END AS seg FROM s) SELECT step, seg::INTEGER AS segment, round(CASE WHEN step >= 1000 THEN 1 ELSE 0.25 + 0.75 * step / 1000 END, 6) AS fraction, least(9, (step - seg * 250) // CASE WHEN seg = 9 THEN 13 ELSE 25 END)::INTEGER AS bucket FROM g")
