@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.operators.prefix import accumulated
+from sluice.operators.prefix import SINGLE_TASK_ROWS, accumulated, is_small
 
 from . import files, ranges
 
@@ -87,15 +88,24 @@ def parquet(df: DataFrame, path: str, compression: str = "zstd") -> None:
     df.write.option("compression", compression).parquet(path)
 
 
-def token_shards(df: DataFrame, ids: str, order: list[str], shard_tokens: int, eos: int | None = None, by: list[str] | None = None, dtype: str = "<u4") -> DataFrame:
+#: Bytes of tokens that a task of token_shards joins at once; wider shards than the second are joined on the JVM.
+BLOCK_BYTES, WIDE_SHARD_BYTES = 1 << 22, 1 << 26
+
+
+def token_shards(df: DataFrame, ids: str, order: list[str], shard_tokens: int, eos: int | None = None, by: list[str] | None = None, dtype: str = "<u4", single_task_rows: int = SINGLE_TASK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """([by,] shard, n_tokens, content): the stream of ids (with an end token each) in aligned shards of raw tokens.
 
     Documents become bytes first and are cut at shard borders, so that bytes are shuffled; a shard's parts meet in one task.
+    Where the plan isn't small, only keys and lengths are written and summed up, and the bytes go, compressed, through one
+    shuffle into blocks of whole shards.
     """
     own = df if eos is None else df.withColumn(ids, F.concat(ids, F.array(F.lit(eos))))
     item = np.dtype(dtype).itemsize
+    own = own.where(F.size(ids) > 0)
+    if shard_tokens * item <= WIDE_SHARD_BYTES and not is_small(own, single_task_rows):
+        return _shards_by_blocks(own, ids, order, shard_tokens, by or [], dtype, block_bytes)
     n = (F.octet_length("raw") / item).cast("long")
-    raw = own.where(F.size(ids) > 0).select(*(by or []), *order, _raw_tokens(dtype)(F.col(ids)).alias("raw")).withColumn("n", n)
+    raw = own.select(*(by or []), *order, _raw_tokens(dtype)(F.col(ids)).alias("raw")).withColumn("n", n)
     run = accumulated(raw, order, "n", by)
     first, last = F.floor(F.col("excl") / shard_tokens), F.floor((F.col("incl") - 1) / shard_tokens)
     cut = run.select(*(by or []), "excl", "n", "raw", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("shard"))
@@ -107,6 +117,92 @@ def token_shards(df: DataFrame, ids: str, order: list[str], shard_tokens: int, e
     return joined.select(*(by or []), "shard", (F.octet_length("content") / item).cast("long").alias("n_tokens"), "content")
 
 
+def _ordered(values: Iterable) -> tuple:
+    """Values as a key that Python orders as Spark does: nulls first, NaN last."""
+    return tuple((0,) if v is None else (2,) if v != v else (1, v) for v in values)
+
+
+def _shards_by_blocks(own: DataFrame, ids: str, order: list[str], shard_tokens: int, by: list[str], dtype: str, block_bytes: int) -> DataFrame:
+    """token_shards by blocks of whole shards.
+
+    The lengths tell which key each block begins with and where; a row for each block goes to all tasks. A document goes
+    to its block, in parts where it ends in another. Of several documents with one key each goes whole to all blocks of
+    the key, and they stand by length and content.
+    """
+    item, kept = np.dtype(dtype).itemsize, list(dict.fromkeys([*by, *order]))
+    size = shard_tokens * max(1, block_bytes // (shard_tokens * item))
+    keys = own.groupBy(*kept).agg(F.sum(F.size(ids)).alias("_n"), F.count("*").alias("_rows"))
+    run = accumulated(keys, order, "_n", by)
+    first, last = F.ceil(F.col("excl") / size).cast("long"), F.floor((F.col("incl") - 1) / size).cast("long")
+    begun = run.where(first <= last).select(*kept, "excl", "_rows", F.explode(F.sequence(first, last)).alias("_block")).toArrow()
+    starts: dict[tuple, tuple[list, list, list]] = {}  # by group: the blocks' first keys, where these begin, their rows
+    for r in sorted(begun.to_pylist(), key=lambda r: r["_block"]):
+        for had, x in zip(starts.setdefault(_ordered(r[c] for c in by), ([], [], [])), (_ordered(r[c] for c in order), r["excl"], r["_rows"]), strict=True):
+            had.append(x)
+    by_at, order_at = [kept.index(c) for c in by], [kept.index(c) for c in order]
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 1)
+        for batch in batches:
+            *columns, own_ids = batch.columns
+            flat = own_ids.flatten().to_numpy(zero_copy_only=False)
+            ends = np.append(0, np.cumsum(pc.list_value_length(own_ids).to_numpy(zero_copy_only=False))).tolist()
+            values, rows, parts = [c.to_pylist() for c in columns], [], []
+            for i in range(batch.num_rows):
+                firsts, begins, docs = starts[_ordered(values[c][i] for c in by_at)]
+                key, n = _ordered(values[c][i] for c in order_at), ends[i + 1] - ends[i]
+                low, high = bisect_left(firsts, key), bisect_right(firsts, key)  # the blocks that begin with the key
+                at, alone = (begins[low], docs[low] == 1) if low < high else (None, False)
+                for block in range(low - (at is None or at < low * size), high):
+                    since, to = (max(0, block * size - at), min(n, (block + 1) * size - at)) if alone else (0, n)
+                    rows.append(i)
+                    parts.append((block, n, since, to - since, codec.compress(flat[ends[i] + since : ends[i] + to].astype(dtype), asbytes=True)))
+            cut = zip(*parts, strict=True) if parts else [()] * 5
+            kinds = (*[pa.int64()] * 4, pa.binary())
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows, pa.int64())) for c in columns), *map(pa.array, cut, kinds)], [*kept, *PART])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, group, block, at, content, own = pa.Codec("zstd"), None, 0, 0, bytearray(), []
+
+        def shards() -> pa.RecordBatch:
+            if block < len(starts[group][0]) - 1 and len(content) != size * item:
+                raise ValueError(f"block {block} of {group} has {len(content)} bytes")
+            edges = np.append(np.arange(0, len(content), shard_tokens * item), len(content)).astype(np.int32)
+            k = len(edges) - 1
+            whole = pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer(edges), pa.py_buffer(content)])
+            numbers = [pa.array(block * (size // shard_tokens) + np.arange(k)), pa.array(np.diff(edges).astype(np.int64) // item)]
+            return pa.RecordBatch.from_arrays([*(c.take(pa.array([0] * k, pa.int64())) for c in own), *numbers, whole], [*by, "shard", "n_tokens", "content"])
+
+        for batch in batches:
+            keys = [_ordered(x) for x in zip(*(batch.column(c).to_pylist() for c in by_at), strict=True)] or [()] * batch.num_rows
+            numbers = [c.to_pylist() for c in batch.columns[len(kept) : -1]]
+            for i, (key, b, n, since, m) in enumerate(zip(keys, *numbers, strict=True)):
+                if (key, b) != (group, block) or group is None:
+                    if group is not None:
+                        yield shards()
+                    group, block, at, content = key, b, starts[key][1][b], bytearray()
+                    own = [batch.column(c).slice(i, 1) for c in by_at]
+                raw = codec.decompress(batch.column(len(kept) + 4)[i].as_buffer(), m * item)
+                low, high = max(at + since, block * size), min(at + since + m, (block + 1) * size)
+                if low < high:
+                    if low != block * size + len(content) // item:
+                        raise ValueError(f"parts of block {block} of {key} don't follow each other")
+                    content += memoryview(raw)[(low - at - since) * item : (high - at - since) * item]
+                at += n
+        if group is not None:
+            yield shards()
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in own.select(*kept).schema.fields]
+    numbers = ", ".join(f"{c} long" for c in PART[:-1])
+    parts = own.select(*kept, ids).mapInArrow(dealt, f"{', '.join(kinds)}, {numbers}, {PART[-1]} binary")
+    placed = parts.repartition(*by, "_block").sortWithinPartitions(*by, "_block", *order, "_n", "_raw")
+    return placed.mapInArrow(joined, ", ".join([*(kinds[c] for c in by_at), "shard long", "n_tokens long", "content binary"]))
+
+
+#: Columns of a document's part of a block: its tokens in all, the part's first one and number, and the part compressed.
+PART = ["_block", "_n", "_since", "_m", "_raw"]
+
+
 def _raw_tokens(dtype: str):
     """Ids as the bytes of their raw array."""
 

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
+import numpy as np
+import pytest
 
+from sluice.operators import prefix
 from sluice.plans import registry
+from sluice.sources import sinks
+from sluice.sources.storage import checkpointed
 from tests.conftest import rows_of
 
 
@@ -28,3 +35,23 @@ def test_gzip_lines_leaves_out_rows_without_text(spark, tmp_path):
     texts = ["one", None, "", " ", "\n", "a\x00b", '{"text": "x"}', " ﻿", "null", "7"]
     rows = [(i, t, "s") for i, t in enumerate(texts)] + [(None, "of no id", "s"), (-3, "", "s")]
     assert _same(spark, _documents(spark, tmp_path, rows), "gzip_lines") == 9
+
+
+@pytest.mark.parametrize("block_bytes", [64, 400])
+def test_token_shards_write_lengths_only(spark, tmp_path, monkeypatch, block_bytes):
+    rng = random.Random(5)
+    rows = [(g, k, [rng.randrange(1 << 16) for _ in range(rng.choice((0, 1, 3, 40, 333)))]) for g in ("a", "b", None) for k in [None, *rng.sample(range(-50, 50), 60)]]
+    rows += [("twice", k // 2, [k] * (k % 7)) for k in range(60)] + [("long", 1, list(range(5000)))]
+    docs = spark.createDataFrame(rows, "s string, k int, ids array<int>").repartition(5)
+    written = []
+    monkeypatch.setattr(prefix, "checkpointed", lambda df: written.append(df.dtypes) or checkpointed(df))
+    got = sinks.token_shards(docs, "ids", ["k"], 8, 7, ["s"], "<u2", single_task_rows=0, block_bytes=block_bytes).collect()
+    assert written and not any(kind in ("binary", "array<int>") for kinds in written for _, kind in kinds)
+    for s in ("a", "b", None, "twice", "long"):
+        # documents of one key are in the order of their lengths and contents
+        own = sorted((r for r in rows if r[0] == s), key=lambda r: (r[1] is not None, r[1], len(r[2])))
+        stream = np.array([x for r in own for x in [*r[2], 7]], "<u2")
+        shards = sorted((r.shard, r.n_tokens, bytes(r.content)) for r in got if r.s == s)
+        assert shards == [(i, len(stream[a : a + 8]), stream[a : a + 8].tobytes()) for i, a in enumerate(range(0, len(stream), 8))]
+    none = sinks.token_shards(docs.where("k > 1000"), "ids", ["k"], 8, single_task_rows=0)
+    assert none.collect() == [] and none.columns == ["shard", "n_tokens", "content"]
