@@ -55,8 +55,7 @@ WHOLE = "w AS (SELECT string_agg(hex(encode(text)), '' ORDER BY doc_id) AS h FRO
 def concatenated_file(spark, d):
     path = _folder(spark, "parts")
     own = table(spark, d, "documents").select(F.concat(F.lit("part-"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("name"), F.encode("text", "utf-8").alias("content"))
-    files.write(own, path)
-    parts = spark.createDataFrame(ranges.listed(path), "path string, length long")
+    parts = files.written(own, path)
     files.concatenate(parts, f"{path}-whole/all.bin", ["path"], 1, 1 << 18)
     spelled = F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), 2, "0")), "")
     return ranges.token_ranges(spark, f"{path}-whole/all.bin", "<u1").select("start", F.size("ids").cast("long").alias("n"), F.sha2(spelled, 256).alias("ids"))

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from .storage import checkpointed
 
-#: Files that a task of the commit renames, and bytes that a task copies at once.
-COMMIT_FILES, COPY_BYTES = 256, 1 << 24
+#: Files that a task of the commit renames (more where there were over COMMIT_TASKS tasks else), and bytes that a task
+#: copies at once.
+COMMIT_FILES, COMMIT_TASKS, COPY_BYTES = 256, 2048, 1 << 24
 
 
 def file_system(path: str) -> tuple[object, str]:
@@ -30,16 +31,16 @@ def file_system(path: str) -> tuple[object, str]:
 
 
 def _staged(rows: DataFrame, path: str, job: str) -> DataFrame:
-    """(name, folder) of files written below the job's folder, a folder for each attempt of a task."""
+    """(name, folder, length) of files written below the job's folder, a folder for each attempt of a task."""
 
     pieces = "more" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(path)
-        folder, known, out = f"{job}/{uuid.uuid4().hex}", set(), None
+        folder, known, out, length = f"{job}/{uuid.uuid4().hex}", set(), None, 0
         try:
             for batch in batches:
-                names, done = batch.column(0).to_pylist(), []
+                names, done, lengths = batch.column(0).to_pylist(), [], []
                 follows = batch.column(2).to_pylist() if pieces else [False] * len(names)
                 for i, (name, content, more) in enumerate(zip(names, batch.column(1), follows, strict=True)):
                     if out is None:
@@ -47,14 +48,16 @@ def _staged(rows: DataFrame, path: str, job: str) -> DataFrame:
                         target = f"{root}/{folder}/{i if name in known else ''}{name}"
                         known.add(name)
                         fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
-                        out = fs.open_output_stream(target, compression=None)  # the content is what it is, whatever the suffix
+                        out, length = fs.open_output_stream(target, compression=None), 0  # the content is what it is, whatever the suffix
                     if content.is_valid:
                         out.write(content.as_buffer())
+                        length += content.as_buffer().size
                     if not more:
                         out.close()
                         out = None
                         done.append(name)
-                yield pa.RecordBatch.from_arrays([pa.array(done, pa.string()), pa.array([folder] * len(done), pa.string())], ["name", "folder"])
+                        lengths.append(length)
+                yield pa.RecordBatch.from_arrays([pa.array(done, pa.string()), pa.array([folder] * len(done), pa.string()), pa.array(lengths, pa.int64())], ["name", "folder", "length"])
             if out is not None:
                 raise ValueError(f"a file without its last piece: {name}")
         finally:
@@ -62,7 +65,7 @@ def _staged(rows: DataFrame, path: str, job: str) -> DataFrame:
                 out.close()
 
     more = [F.col("more").cast("boolean").alias("more")] if pieces else []
-    return rows.select(F.col("name").cast("string").alias("name"), F.col("content").cast("binary").alias("content"), *more).mapInArrow(run, "name string, folder string")
+    return rows.select(F.col("name").cast("string").alias("name"), F.col("content").cast("binary").alias("content"), *more).mapInArrow(run, "name string, folder string, length long")
 
 
 def _renamed(staged: DataFrame, path: str) -> DataFrame:
@@ -94,6 +97,15 @@ def write(rows: DataFrame, path: str, commit_files: int = COMMIT_FILES) -> int:
     A null name, or a name of two rows, is an error, and nothing is committed then. With a column `more`, content comes in
     pieces, each written at once: a file's rows follow each other in their task, and all but the last say that more follows.
     """
+    return _written(rows, path, commit_files)[1]
+
+
+def written(rows: DataFrame, path: str, commit_files: int = COMMIT_FILES) -> DataFrame:
+    """As `write`, but gives (path, length) of the files, as the tasks that wrote them say: no folder is listed."""
+    return _written(rows, path, commit_files)[0].select(F.concat(F.lit(path.rstrip("/") + "/"), "name").alias("path"), "length")
+
+
+def _written(rows: DataFrame, path: str, commit_files: int) -> tuple[DataFrame, int]:
     path, job = path.rstrip("/"), f"_temporary-{uuid.uuid4().hex}"
     fs, root = file_system(path)
     fs.create_dir(root, recursive=True)
@@ -102,12 +114,13 @@ def write(rows: DataFrame, path: str, commit_files: int = COMMIT_FILES) -> int:
         n, twice, none = staged.groupBy("name").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.max(F.when(F.col("n") > 1, F.col("name"))), F.count_if(F.col("name").isNull())).first()
         if twice is not None or none:
             raise ValueError(f"a file name stands in two rows: {twice}" if twice is not None else "a file without a name")
-        _renamed(staged.repartition(max(1, -(-n // commit_files)), "name"), path).agg(F.sum("n")).collect()
+        tasks = min(COMMIT_TASKS, max(1, -(-n // commit_files)))
+        _renamed(staged.select("name", "folder").repartition(tasks, "name"), path).agg(F.sum("n")).collect()
     finally:
         _drop(fs, f"{root}/{job}")
     with fs.open_output_stream(f"{root}/_SUCCESS", compression=None) as out:
         out.write(b"")
-    return n
+    return staged, n
 
 
 def _drop(fs, folder: str) -> None:

@@ -10,7 +10,7 @@ import pytest
 
 from sluice.operators import prefix
 from sluice.plans import registry
-from sluice.sources import sinks
+from sluice.sources import files, ranges, sinks
 from sluice.sources.storage import checkpointed
 from tests.conftest import rows_of
 
@@ -55,3 +55,12 @@ def test_token_shards_write_lengths_only(spark, tmp_path, monkeypatch, block_byt
         assert shards == [(i, len(stream[a : a + 8]), stream[a : a + 8].tobytes()) for i, a in enumerate(range(0, len(stream), 8))]
     none = sinks.token_shards(docs.where("k > 1000"), "ids", ["k"], 8, single_task_rows=0)
     assert none.collect() == [] and none.columns == ["shard", "n_tokens", "content"]
+
+
+def test_the_parts_of_a_file_are_not_listed_by_the_driver(spark, tmp_path, monkeypatch):
+    rows = [(i, "é" * (i % 5), "s") for i in range(40)]
+    monkeypatch.setattr(ranges, "listed", lambda *_: pytest.fail("the driver lists the parts"))
+    whole = registry.QUERIES["concatenated_file"](spark, _documents(spark, tmp_path, rows))
+    assert whole is not None
+    own = spark.createDataFrame([("a", bytearray(b"xyz")), ("b/c", None)], "name string, content binary")
+    assert sorted(map(tuple, files.written(own, f"{tmp_path}/w/").collect())) == [(f"{tmp_path}/w/a", 3), (f"{tmp_path}/w/b/c", 0)]
